@@ -169,12 +169,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = components(docs, id_col, text_col, shingle, distance)
     gone = write_table(found.df.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    kept = docs.join(gone.joinable(), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    lost = gone.joinable()
+    kept = docs.join(lost, docs[id_col].cast("long") == lost["_gone"], "left_anti")
     again = write_table(found.df.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
     if again.df.isEmpty():
         return kept
-    once = kept.join(again.joinable(), F.col(id_col).cast("long") == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again.joinable(), F.col(id_col).cast("long") == F.col("_again"), "left_anti").unionByName(once)
+    more = again.joinable()
+    once = kept.join(more, kept[id_col].cast("long") == more["_again"], "left_semi").dropDuplicates([id_col])
+    return kept.join(more, kept[id_col].cast("long") == more["_again"], "left_anti").unionByName(once)
 
 
 def digest(docs: DataFrame) -> DataFrame:
