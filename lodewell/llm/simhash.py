@@ -157,8 +157,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = roots.df.join(distinct.df, roots.df["node"] == distinct.df["fp"]).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
-    by_fp = distinct.df.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return write_table(own.df.join(by_fp, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
+    by_fp = write_table(distinct.df.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-by-fp")
+    # A plain join of two scans: a fingerprint with very many rows is a skewed partition that adaptive execution splits.
+    return write_table(own.df.join(by_fp.df, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
