@@ -1 +1 @@
-
+"""Table-agnostic relational operators: DataFrame in, DataFrame out."""
