@@ -1,6 +1,598 @@
-"""All catalogue queries and their DuckDB SQL."""
+"""All catalogue queries, each the operators on the given tables with its DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, text
+from ..operators import classify, custody, diff, hierarchy, integrity, intervals, latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cents(c: str):
+    return F.col(c).cast("decimal(18,2)")
+
+
+def month(ts: str):
+    """Months since year 0 as a version number."""
+    return F.year(ts) * 12 + F.month(ts)
+
+
+MONTH_SQL = "(year({0}) * 12 + month({0}))"
+KINDS = ("created", "changed", "destroyed")
+
+
+@query("""select user_id, event_id, event_type, cast(value as decimal(18,2)) as value from events
+qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def q_latest_per_key(spark, d):
+    return latest.newest(t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id", "event_type", "value"]).withColumn("value", cents("value"))
+
+
+@query("""select o_custkey, o_orderkey, o_orderstatus from orders
+qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) = 1""")
+def q_newest_wins_first_tie(spark, d):
+    return latest.newest(t(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), -F.col("o_orderkey")], ["o_orderkey", "o_orderstatus"])
+
+
+@query("""select o_custkey, o_orderkey, o_orderpriority from orders where o_orderdate <= timestamp '1998-01-01'
+qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1""")
+def q_asof_before(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    return latest.as_of(o, ["o_custkey"], F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp"), [F.col("o_orderkey")]).drop("o_orderdate")
+
+
+@query("""select e.event_id, e.user_id, p.event_id as prev_event_id from (select * from events where event_type = 'error') e
+left join (select event_id, user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events where event_type = 'purchase') p
+on e.user_id = p.user_id and p.ts <= e.ts and (p.nxt is null or p.nxt > e.ts)""")
+def q_asof_join(spark, d):
+    e = t(spark, d, "events")
+    errors = e.filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    purchases = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return latest.as_of_join(errors, purchases, ["user_id"], "ts", "ts", ["event_id"], tie=["event_id"]).drop("ts")
+
+
+def _customers_in(spark, d, year: int) -> DataFrame:
+    return t(spark, d, "orders").filter((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp"))).select("o_custkey").distinct()
+
+
+@query("""select distinct o_custkey from orders o where year(o_orderdate) = 1997
+and not exists (select 1 from orders p where p.o_custkey = o.o_custkey and year(p.o_orderdate) = 1996)""")
+def q_created_since(spark, d):
+    return diff.only_in(_customers_in(spark, d, 1997), _customers_in(spark, d, 1996), ["o_custkey"])
+
+
+@query("""select distinct o_custkey from orders o where year(o_orderdate) = 1996
+and not exists (select 1 from orders p where p.o_custkey = o.o_custkey and year(p.o_orderdate) = 1997)""")
+def q_destroyed_since(spark, d):
+    return diff.only_in(_customers_in(spark, d, 1996), _customers_in(spark, d, 1997), ["o_custkey"])
+
+
+@query("""with b as (select o_custkey, count(*) as n from orders where year(o_orderdate) = 1996 group by 1),
+a as (select o_custkey, count(*) as n from orders where year(o_orderdate) = 1997 group by 1)
+select coalesce(b.o_custkey, a.o_custkey) as o_custkey, b.n as before_n, a.n as after_n,
+case when b.n is null then 'created' when a.n is null then 'destroyed' when a.n = b.n then 'same' else 'changed' end as change
+from b full join a on a.o_custkey = b.o_custkey""")
+def q_full_diff(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    before, after = (o.filter(F.col("y") == y).groupBy("o_custkey").agg(F.count("*").alias("n")) for y in (1996, 1997))
+    return diff.full_diff(before, after, ["o_custkey"], ["n"])
+
+
+def _states(spark, d) -> tuple[DataFrame, DataFrame]:
+    o = t(spark, d, "orders").select("o_custkey", month("o_orderdate").alias("version"))
+    states = o.groupBy("version", "o_custkey").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    months = o.select("version").distinct()  # one row a month
+    return states, months.withColumn("next", F.lead("version").over(Window.partitionBy(F.lit(0)).orderBy("version")))
+
+
+_STATES_SQL = f"""o as (select o_custkey, {MONTH_SQL.format('o_orderdate')} as version from orders),
+states as (select version, o_custkey, count(*) as n from o group by all),
+months as (select version, lead(version) over (order by version) as nxt from (select distinct version from o))"""
+
+
+@query(f"""with {_STATES_SQL},
+moved as (select m.nxt as version, s.o_custkey, s.n from states s join months m using (version) where m.nxt is not null),
+later as (select * from states where version > (select min(version) from months)),
+both_sides as (select coalesce(a.version, b.version) as version, coalesce(a.o_custkey, b.o_custkey) as o_custkey, b.n as before, a.n as after
+  from moved b full join later a on a.version = b.version and a.o_custkey = b.o_custkey)
+select version, o_custkey, case when before is null then 'created' when after is null then 'destroyed' else 'changed' end as kind,
+before, after, case when before is null then 0 when after is null then 2 else 1 end as kind_ord
+from both_sides where before is distinct from after""")
+def q_timeline_events(spark, d):
+    states, months = _states(spark, d)
+    events = diff.version_events(states, "version", "o_custkey", "n", months)
+    return events.withColumn("kind_ord", diff.event_order(F.col("kind"), KINDS))
+
+
+@query(f"""with {_STATES_SQL}
+select o_custkey, max(version) as last_seen from states group by 1 having max(version) < (select max(version) from months)""")
+def q_last_seen(spark, d):
+    states, months = _states(spark, d)
+    newest = months.agg(F.max("version").alias("_newest"))
+    return diff.last_seen(states.join(F.broadcast(newest)), "version", "o_custkey", F.lit(newest.first()[0]))
+
+
+@query("""with w as (select *, max(o_orderdate) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as top from orders)
+select w.o_custkey, w.o_orderkey, min(p.o_orderkey) as witness from w join orders p
+on p.o_custkey = w.o_custkey and p.o_orderkey < w.o_orderkey and p.o_orderdate = w.top
+where w.o_orderdate < w.top group by 1, 2""")
+def q_abandoned_rows(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return diff.abandoned(o, ["o_custkey"], "o_orderkey", "o_orderdate").select("o_custkey", "o_orderkey", "witness")
+
+
+@query("""with a as (select p_partkey, p_name from part where p_partkey % 2 = 0), b as (select p_partkey from part where p_size > 25)
+select p_partkey, p_name from a where (p_name = (select min(split_part(p_name, ' ', 1)) from part)
+or starts_with(p_name, (select min(split_part(p_name, ' ', 1)) from part) || ' ')) and not exists (select 1 from b where b.p_partkey = a.p_partkey)""")
+def q_carry_over(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    prefix = p.agg(F.min(text.split_head(F.col("p_name"), " "))).first()[0] or ""
+    return diff.carried_over(p.filter("p_partkey % 2 = 0").drop("p_size"), p.filter("p_size > 25"), "p_partkey", "p_name", [prefix], joints=(" ",))
+
+
+_DAYS_SQL = "date_diff('day', date '1970-01-01', cast(l_shipdate as date))"
+
+
+def _shipping(spark, d) -> DataFrame:
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    return t(spark, d, "lineitem").select("l_suppkey", day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"))
+
+
+_ISLANDS_SQL = f"""iv as (select l_suppkey, {_DAYS_SQL} as s, {_DAYS_SQL} + cast(l_quantity as bigint) as e from lineitem where cast(l_quantity as bigint) > 0),
+m as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as reach from iv),
+g as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as grp from m),
+islands as (select l_suppkey, min(s) as start, max(e) as "end" from g group by l_suppkey, grp)"""
+
+
+@query(f"""with {_ISLANDS_SQL} select * from islands""")
+def q_interval_merge(spark, d):
+    return intervals.merge(_shipping(spark, d), ["l_suppkey"])
+
+
+HOLIDAY = (9500, 9700)
+
+
+@query(f"""with {_ISLANDS_SQL},
+cut as (select l_suppkey, start, least("end", {HOLIDAY[0]}) as "end" from islands union all
+select l_suppkey, greatest(start, {HOLIDAY[1]}) as start, "end" from islands)
+select * from cut where "end" > start""")
+def q_interval_subtract(spark, d):
+    ranges = intervals.merge(_shipping(spark, d), ["l_suppkey"])
+    holes = ranges.select("l_suppkey").distinct().select("l_suppkey", F.lit(HOLIDAY[0]).cast("long").alias("start"), F.lit(HOLIDAY[1]).cast("long").alias("end"))
+    return intervals.subtract(ranges, holes, ["l_suppkey"])
+
+
+@query(f"""with {_ISLANDS_SQL}
+select l_suppkey, greatest(start, {HOLIDAY[0]}) as start, least("end", {HOLIDAY[1]}) as "end" from islands
+where start < {HOLIDAY[1]} and "end" > {HOLIDAY[0]}""")
+def q_interval_intersect(spark, d):
+    ranges = intervals.merge(_shipping(spark, d), ["l_suppkey"])
+    other = ranges.select("l_suppkey").distinct().select("l_suppkey", F.lit(HOLIDAY[0]).cast("long").alias("start"), F.lit(HOLIDAY[1]).cast("long").alias("end"))
+    return intervals.intersect(ranges, other, ["l_suppkey"])
+
+
+def _alloc_log(spark, d) -> DataFrame:
+    """Each order allocates or frees a run that its key and price give."""
+    start = F.col("o_orderkey") % 997
+    kind = F.when(F.col("o_orderstatus") == "F", "free").otherwise("alloc")
+    return t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("space"), F.col("o_orderkey").alias("seq"), kind.alias("kind"), start.alias("start"), (start + 1 + F.col("o_custkey") % 40).alias("end"))
+
+
+@query("""with log as (select o_custkey % 50 as space, o_orderkey as seq, case when o_orderstatus = 'F' then 'free' else 'alloc' end as kind,
+o_orderkey % 997 as s, o_orderkey % 997 + 1 + o_custkey % 40 as e from orders),
+cells as (select space, unnest(range(s, e)) as cell, seq, kind from log),
+last_kind as (select space, cell, arg_max(kind, seq) as kind from cells group by 1, 2),
+g as (select space, cell, cell - row_number() over (partition by space order by cell) as grp from last_kind where kind = 'alloc')
+select space, min(cell) as start, max(cell) + 1 as "end" from g group by space, grp""")
+def q_interval_replay(spark, d):
+    return intervals.replay(_alloc_log(spark, d), ["space"], "seq", "kind")
+
+
+def _sessions(spark, d) -> DataFrame:
+    """Two hours from each login-like event of a user."""
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return t(spark, d, "events").filter("event_type = 'purchase'").select("user_id", s.alias("start"), (s + 7200).alias("end"))
+
+
+@query("""with taken as (select user_id, epoch(ts)::bigint as s, epoch(ts)::bigint + 7200 as e from events where event_type = 'purchase'),
+known as (select user_id, count(*) filter (where event_type = 'error') % 2 as unreadable from events where user_id % 3 <> 0 group by 1),
+r as (select event_id, user_id, epoch(ts)::bigint as s, epoch(ts)::bigint + 60 as e from events where event_type = 'click')
+select r.event_id, case when k.user_id is null then null
+when exists (select 1 from taken t where t.user_id = r.user_id and t.s < r.e and r.s < t.e) then true
+when k.unreadable > 0 then null else false end as allocated
+from r left join known k on k.user_id = r.user_id""")
+def q_overlap_flag(spark, d):
+    e = t(spark, d, "events")
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    ranges = e.filter("event_type = 'click'").select("event_id", "user_id", s.alias("start"), (s + 60).alias("end"))
+    known = e.filter("user_id % 3 <> 0").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") % 2).alias("unreadable"))
+    return intervals.overlap_flag(ranges, _sessions(spark, d), ["user_id"], "event_id", known, "unreadable").select("event_id", "allocated")
+
+
+def _remap_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Parts read a run of bytes; suppliers map bands of a source device, every seventh band missing."""
+    reads = t(spark, d, "part").select((F.col("p_partkey") % 3).alias("vdev"), F.col("p_partkey").alias("read_id"), (F.col("p_partkey") * 37).alias("off"), (F.col("p_size").cast("long") * 11).alias("len"))
+    bands = spark.range(0, 100_000).select("id").filter(F.col("id") % 7 != 3)
+    return reads, bands.select((F.col("id") % 3).alias("vdev"), F.floor(F.col("id") / 3).cast("long").alias("i")).select("vdev", (F.col("i") * 100).alias("src"), F.lit(100).cast("long").alias("len"), (F.col("i") * 1000).alias("dst"))
+
+
+_REMAP_SQL = """r as (select p_partkey % 3 as vdev, p_partkey as read_id, p_partkey * 37 as a, p_partkey * 37 + p_size * 11 as b from part),
+m as (select id % 3 as vdev, (id // 3) * 100 as c, (id // 3) * 100 + 100 as d, (id // 3) * 1000 as dst from range(0, 100000) t(id) where id % 7 <> 3),
+pieces as (select r.vdev, read_id, greatest(a, c) as from_off, least(b, d) as to_off, dst + greatest(a, c) - c as dst_off
+from r join m on r.vdev = m.vdev and a < d and c < b)"""
+
+
+@query(f"""with {_REMAP_SQL} select vdev, read_id, from_off, to_off, dst_off from pieces""")
+def q_range_remap(spark, d):
+    reads, mapping = _remap_tables(spark, d)
+    return intervals.remap(reads, mapping, ["vdev"], "read_id").filter("from_off is not null").select("vdev", "read_id", "from_off", "to_off", "dst_off")
+
+
+@query(f"""with {_REMAP_SQL}, sums as (select vdev, read_id, sum(to_off - from_off) as got from pieces group by 1, 2)
+select r.vdev, r.read_id, r.b - r.a as wanted from r left join sums using (vdev, read_id) where coalesce(got, 0) <> r.b - r.a""")
+def q_coverage_gap(spark, d):
+    reads, mapping = _remap_tables(spark, d)
+    gaps = intervals.remap(reads, mapping, ["vdev"], "read_id").filter("not covered").select("vdev", "read_id").distinct()
+    return gaps.join(reads, ["vdev", "read_id"]).select("vdev", "read_id", F.col("len").alias("wanted"))
+
+
+def _line_checks():
+    return [
+        ("quantity_low", F.col("l_quantity") < 5),
+        ("discount_high", F.col("l_discount") > 0.08),
+        ("tax_high", F.col("l_tax") > 0.07),
+        ("returned", F.col("l_returnflag") == "R"),
+    ]
+
+
+@query("""with x as (select case when l_quantity < 5 then 'quantity_low' when l_discount > 0.08 then 'discount_high'
+when l_tax > 0.07 then 'tax_high' when l_returnflag = 'R' then 'returned' end as reason from lineitem)
+select reason, count(*) as n from x where reason is not null group by 1""")
+def q_first_failure(spark, d):
+    rows = t(spark, d, "lineitem").select(classify.first_failure(_line_checks()).alias("reason"))
+    return classify.counts_by(rows, "reason")
+
+
+@query("""with x as (select unnest([case when l_quantity < 5 then 'quantity_low' end, case when l_discount > 0.08 then 'discount_high' end,
+case when l_tax > 0.07 then 'tax_high' end, case when l_returnflag = 'R' then 'returned' end]) as reason from lineitem)
+select reason, count(*) as n from x where reason is not null group by 1""")
+def q_profile_misses(spark, d):
+    rows = t(spark, d, "lineitem").select(F.explode(classify.misses(_line_checks())).alias("reason"))
+    return classify.counts_by(rows, "reason")
+
+
+def _profile():
+    return [("size", F.col("p_size") > 40), ("brand", ~F.col("p_brand").endswith("1"))]
+
+
+_SCORE_SQL = "(p_size / 50.0)"
+
+
+@query(f"""select p_partkey, cast(round(case when p_size <= 40 and p_brand like '%1' then 0.55 + 0.45 * {_SCORE_SQL} else 0.45 * {_SCORE_SQL} end, 6) as decimal(18,6)) as score,
+p_size <= 40 and p_brand like '%1' as strict_keeps from part""")
+def q_soft_vs_strict(spark, d):
+    missed = F.size(classify.misses(_profile())) == 0
+    score = classify.rank_band(F.col("p_size") / F.lit(50.0), missed)
+    return t(spark, d, "part").select("p_partkey", F.round(score, 6).cast("decimal(18,6)").alias("score"), missed.alias("strict_keeps"))
+
+
+@query(f"""with s as (select p_partkey, round(case when p_size <= 40 and p_brand like '%1' then 0.55 + 0.45 * {_SCORE_SQL} else 0.45 * {_SCORE_SQL} end, 6) as score from part)
+select 'c' || lpad(cast(row_number() over (order by score desc, p_partkey) as varchar), 4, '0') as id, p_partkey, cast(score as decimal(18,6)) as score
+from s order by s.score desc, p_partkey limit 500""")
+def q_rank_bands(spark, d):
+    scored = q_soft_vs_strict(spark, d).select("p_partkey", "score")
+    return classify.ranked_ids(scored, [F.desc("score"), F.col("p_partkey")], limit=500).select("id", "p_partkey", "score")
+
+
+@query("""with c as (select o_custkey % 100 as k, o_custkey, count(*) as n from orders group by 1, 2),
+r as (select *, row_number() over (partition by k order by n desc, o_custkey) as rn, lead(n) over (partition by k order by n desc, o_custkey) as nxt from c)
+select k, o_custkey, n, coalesce(nxt, 0) as runner_up, n >= 8 and n >= 2 * coalesce(nxt, 0) as clear from r where rn = 1""")
+def q_margin_winner(spark, d):
+    c = t(spark, d, "orders").groupBy((F.col("o_custkey") % 100).alias("k"), "o_custkey").agg(F.count("*").alias("n"))
+    return classify.margin_winner(c, ["k"], "n", "o_custkey")
+
+
+@query("""select o_orderkey // 1000 * 1000 as bucket, count(*) as n from orders group by 1""")
+def q_histogram_1000(spark, d):
+    return classify.histogram(t(spark, d, "orders"), F.col("o_orderkey"), 1000)
+
+
+@query("""select l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as decimal(18,2)) as quantity from lineitem where l_orderkey % 7 = 0 group by 1""")
+def q_stride_sample(spark, d):
+    few = t(spark, d, "lineitem").filter(classify.stride(F.col("l_orderkey"), 7))
+    return few.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(cents("l_quantity")).cast("decimal(18,2)").alias("quantity"))
+
+
+@query("""with c as (select s_suppkey, s_suppkey % 25 as base from supplier),
+p as (select distinct o_custkey % 40 as probe from orders where o_orderkey % 11 = 0)
+select s_suppkey, count(*) filter (where (base * 7 + probe) % 5 = 0) as agree, count(*) as probes from c cross join p group by 1""")
+def q_cross_confirm(spark, d):
+    bases = t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("base"))
+    probes = t(spark, d, "orders").filter("o_orderkey % 11 = 0").select((F.col("o_custkey") % 40).alias("probe")).distinct()  # 40 values at most
+    both = bases.crossJoin(F.broadcast(probes))
+    return both.groupBy("s_suppkey").agg(F.count_if((F.col("base") * 7 + F.col("probe")) % 5 == 0).alias("agree"), F.count("*").alias("probes"))
+
+
+@query("""with ids as (select unnest(range(1, (select max(o_orderkey) from orders) + 1)) as id)
+select id from ids where not exists (select 1 from orders where o_orderkey = id) order by id limit 1024""")
+def q_missing_ids(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    top = o.agg(F.max("id")).first()[0] or 0
+    return spark.range(1, top + 1).join(o, "id", "left_anti").orderBy("id").limit(1024)
+
+
+@query("""select sha256(text) as sha256, min(doc_id) as doc_id, count(*) as copies from documents group by 1""")
+def q_dedup_exact(spark, d):
+    return t(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""select doc_id, sha256(text) as sha256, sha1(text) as sha1, md5(text) as md5 from documents""")
+def q_digests(spark, d):
+    return t(spark, d, "documents").select("doc_id", *integrity.digests(F.col("text")))
+
+
+@query("""with r as (select doc_id, case when doc_id % 5 = 0 then null when doc_id % 7 = 0 then md5(text || 'x') else md5(text) end as recorded,
+case when doc_id % 11 = 0 then null else md5(text) end as computed from documents)
+select case when computed is null then 'MISSING' when recorded is null then 'UNHASHED' when recorded = computed then 'PASS' else 'FAIL' end as status, count(*) as n
+from r group by 1""")
+def q_digest_verdict(spark, d):
+    md5 = F.md5(F.col("text").cast("binary"))
+    recorded = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit("x")).cast("binary"))).otherwise(md5)
+    computed = F.when(F.col("doc_id") % 11 == 0, None).otherwise(md5)
+    return t(spark, d, "documents").groupBy(integrity.verdict(recorded, computed).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""select l_orderkey, bit_xor(l_partkey) as parity,
+bit_xor(l_partkey) filter (where l_linenumber <> 1) as others, xor(bit_xor(l_partkey), coalesce(bit_xor(l_partkey) filter (where l_linenumber <> 1), 0)) as rebuilt
+from lineitem group by 1""")
+def q_parity_xor(spark, d):
+    others = F.bit_xor(F.when(F.col("l_linenumber") != 1, F.col("l_partkey")))
+    whole = integrity.parity(F.col("l_partkey"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(whole.alias("parity"), others.alias("others"), whole.bitwiseXOR(F.coalesce(others, F.lit(0).cast("long"))).alias("rebuilt"))
+
+
+@query("""with x as (select l_orderkey, l_partkey as w, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i,
+count(*) over (partition by l_orderkey) as n from lineitem)
+select l_orderkey, cast(sum(w::hugeint) % 18446744073709551616 as decimal(38,0)) as a, cast(sum(w::hugeint * (n - i)) % 18446744073709551616 as decimal(38,0)) as b,
+cast(sum(w::hugeint * ((n - i) * (n - i + 1) // 2)) % 18446744073709551616 as decimal(38,0)) as c from x group by 1""")
+def q_fletcher(spark, d):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("l_orderkey")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).alias("i"), F.count("*").over(by).alias("n"))
+    return integrity.cascaded_sums(x, ["l_orderkey"], "i", "l_partkey", "n")
+
+
+@query("""with w as (select p_partkey, ((p_partkey & 1048575) << 20) | (((p_size::bigint) & 63) << 8) | (p_partkey % 7) as word from part)
+select p_partkey, word, p_partkey & 1048575 as low, (word >> 8) & 63 as size_back from w""")
+def q_bitfields(spark, d):
+    word = bits.pack((bits.bits(F.col("p_partkey"), 0, 20), 20), (bits.bits(F.col("p_size").cast("long"), 0, 6), 8), (F.col("p_partkey") % 7, 0))
+    return t(spark, d, "part").select("p_partkey", word.alias("word"), bits.bits(F.col("p_partkey"), 0, 20).alias("low"), bits.bits(word, 8, 6).alias("size_back"))
+
+
+@query("""select p_size, bit_count(p_size) = 1 as power, (p_size + 6) // 7 as sevenths, count(*) as n from part group by 1""")
+def q_power_of_two(spark, d):
+    return t(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n")).select("p_size", bits.power_of_two(F.col("p_size")).alias("power"), bits.div_ceil(F.col("p_size"), 7).alias("sevenths"), "n")
+
+
+@query("""select l_orderkey, count(*) as members, count(*) filter (where l_returnflag = 'R') as missing,
+case when l_orderkey % 3 = 0 then count(*) filter (where l_returnflag = 'R') < count(*)
+when l_orderkey % 3 = 1 then count(*) filter (where l_returnflag = 'R') <= 2 else count(*) filter (where l_returnflag = 'R') = 0 end as readable
+from lineitem group by l_orderkey""")
+def q_quorum(spark, d):
+    kind = F.when(F.col("l_orderkey") % 3 == 0, "mirror").when(F.col("l_orderkey") % 3 == 1, "parity").otherwise("single")
+    found = hierarchy.readable(t(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") != "R", kind, F.lit(2))
+    return found.select("l_orderkey", "members", "missing", "readable")
+
+
+@query("""with recursive e as (select 'r' || r_regionkey as node, cast(null as varchar) as parent, r_name as name from region
+union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation
+union all select 's' || s_suppkey, 'n' || s_nationkey, s_name from supplier),
+w as (select node, name as path, 0 as depth from e where parent is null
+union all select e.node, w.path || '/' || e.name, w.depth + 1 from e join w on e.parent = w.node)
+select node, path, depth from w""")
+def q_tree_paths(spark, d):
+    regions = t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nations = t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
+    suppliers = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("name"))
+    return hierarchy.paths(regions.unionByName(nations).unionByName(suppliers), "node", "parent", "name")
+
+
+@query("""select page_id, url from pages where split_part(url, '/', 1) || '//' || split_part(url, '/', 3) = url
+or starts_with(url, 'https://m.')""")
+def q_prefix_scope(spark, d):
+    host = F.concat(text.split_head(F.col("url"), "/"), F.lit("//"), F.split_part(F.col("url"), F.lit("/"), F.lit(3)))
+    return t(spark, d, "pages").filter(hierarchy.in_scope(F.col("url"), "https:/", "/m.") | (host == F.col("url"))).select("page_id", "url")
+
+
+@query("""select event_id, user_id, event_type from events where user_id in (select user_id from events where event_type = 'error' and value > 90) or event_type = 'signup'""")
+def q_name_or_id_filter(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    ids = e.filter("event_type = 'error' and value > 90").select("user_id").distinct().withColumn("hit", F.lit(True))
+    return e.join(ids, "user_id", "left").filter("hit or event_type = 'signup'").select("event_id", "user_id", "event_type")
+
+
+@query("""with x as (select user_id, event_id, case when event_id % 3 = 0 then null else event_type end as h from events)
+select user_id, arg_min(h, event_id) filter (where h is not null) as h, count(distinct h) > 1 as conflict from x group by 1""")
+def q_first_hash_kept(spark, d):
+    x = t(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("h"))
+    return custody.first_kept(x, ["user_id"], "h", "event_id")
+
+
+@query("""select o_custkey, o_orderstatus, min(o_orderkey) as low, max(o_orderkey) as high from orders group by 1, 2""")
+def q_window_rollup(spark, d):
+    return custody.window_rollup(t(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey", "o_orderkey")
+
+
+@query("""select l_partkey, l_orderkey, l_linenumber, l_suppkey from lineitem
+qualify row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) = 1""")
+def q_last_write_wins(spark, d):
+    li = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    return latest.newest(li, ["l_partkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")])
+
+
+@query("""with x as (select event_type, user_id % 20 as who, event_id % 4 as log from events),
+f as (select *, min(log) over (partition by event_type, who) as first_log from x)
+select event_type, who, log, count(*) as n from f where log = first_log group by 1, 2, 3""")
+def q_cross_log_dups(spark, d):
+    x = t(spark, d, "events").select("event_type", (F.col("user_id") % 20).alias("who"), (F.col("event_id") % 4).alias("log"))
+    return custody.once_across_logs(x, "log", ["event_type", "who"]).groupBy("event_type", "who", "log").agg(F.count("*").alias("n"))
+
+
+@query("""select a.o_orderkey, a.o_custkey from orders a where a.o_orderstatus <> 'F'
+and exists (select 1 from orders b where b.o_custkey = a.o_custkey and b.o_orderstatus = 'F' and b.o_orderkey > a.o_orderkey)""")
+def q_finished_later(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return custody.finished_later(o, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+
+
+@query("""with w as (select o_custkey, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_orderstatus = 'F' group by 1)
+select o.o_orderkey, case when w.low is null then 'no window' when o.o_orderkey < w.low then 'before window' when o.o_orderkey > w.high then 'after window' end as warning
+from orders o left join w using (o_custkey)""")
+def q_outside_window(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    windows = custody.window_rollup(o.filter("o_orderstatus = 'F'"), ["o_custkey"], "o_orderkey", "o_orderkey")
+    return custody.outside_window(o, windows, "o_custkey", "o_orderkey").select("o_orderkey", "warning")
+
+
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at from events""")
+def q_iso8601(spark, d):
+    return t(spark, d, "events").select("event_id", text.iso8601(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at"))
+
+
+@query("""select o_orderkey, printf('0x%016x', o_orderkey * 2654435761) as hex_id from orders""")
+def q_hex_id(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", text.hex_id(F.col("o_orderkey") * F.lit(2654435761)).alias("hex_id"))
+
+
+@query("""select page_id, split_part(url, '?', 1) as head, split_part(split_part(url, '/', 3), '.', 1) as host_head from pages""")
+def q_split_head(spark, d):
+    return t(spark, d, "pages").select("page_id", text.split_head(F.col("url"), "?").alias("head"), text.split_head(F.split_part(F.col("url"), F.lit("/"), F.lit(3)), ".").alias("host_head"))
+
+
+@query("""select c_custkey, concat_ws(' ', case when c_acctbal > 0 then 'credit' end, c_mktsegment, case when c_nationkey < 5 then 'near' end) as description from customer""")
+def q_describe(spark, d):
+    parts = (F.when(F.col("c_acctbal") > 0, "credit"), F.col("c_mktsegment"), F.when(F.col("c_nationkey") < 5, "near"))
+    return t(spark, d, "customer").select("c_custkey", text.describe(*parts).alias("description"))
+
+
+@query("""with names as (select n_nationkey, n_name from nation), asked as (select c_custkey, case when c_custkey % 2 = 0 then lower(n_name) else n_name end as name
+from customer join nation on c_nationkey = n_nationkey)
+select c_custkey, coalesce((select n_nationkey from names where n_name = asked.name), (select min(n_nationkey) from names where lower(n_name) = lower(asked.name))) as found from asked""")
+def q_casefold_lookup(spark, d):
+    n = t(spark, d, "nation")
+    asked = t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
+    exact = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("one"))
+    folded = n.groupBy(F.lower("n_name").alias("fold")).agg(F.min("n_nationkey").alias("two"))
+    joined = asked.join(F.broadcast(exact), "name", "left").join(F.broadcast(folded), F.lower("name") == F.col("fold"), "left")
+    return joined.select("c_custkey", F.coalesce("one", "two").alias("found"))
+
+
+@query("""select doc_id, case when first_id = doc_id then 'content' else 'link' end as kind, first_id from
+(select doc_id, min(doc_id) over (partition by md5(text)) as first_id from documents)""")
+def q_first_name_links(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    return docs.join(first, "h").select("doc_id", F.when(F.col("first_id") == F.col("doc_id"), "content").otherwise("link").alias("kind"), "first_id")
+
+
+@query("""select cast(json_extract_string(props, '$.k') as bigint) // 10 * 10 as bucket, count(*) as n from events group by 1""")
+def q_json_prop(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return classify.histogram(t(spark, d, "events"), k, 10)
+
+
+@query("""with a as (select o_custkey % 50 as k, o_orderstatus as s from orders where o_orderkey % 2 = 0), b as (select o_custkey % 50 as k, o_orderstatus as s from orders where o_orderkey % 2 = 1)
+select k, s, 'left' as side, count(*) as n from (select * from a except all select * from b) group by 1, 2
+union all select k, s, 'right', count(*) from (select * from b except all select * from a) group by 1, 2""")
+def q_setdiff_all(spark, d):
+    x = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("s"), "o_orderkey")
+    a, b = (x.filter(F.col("o_orderkey") % 2 == r).drop("o_orderkey") for r in (0, 1))
+    return integrity.both_ways(a, b).groupBy("k", "s", "side").agg(F.count("*").alias("n"))
+
+
+@query("""with r as (select unnest(range(0, (select max(o_orderkey) from orders) + 1)) as blkid), h as (select r.blkid, o.o_orderkey is null as hole from r left join orders o on o.o_orderkey = r.blkid)
+select blkid // 1000 as chunk, count(*) filter (where hole) as holes, count(*) filter (where not hole) as blocks from h group by 1""")
+def q_hole_fill(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("blkid"), F.lit(1).alias("here"))
+    top = o.agg(F.max("blkid")).first()[0] or 0
+    dense = spark.range(0, top + 1).withColumnRenamed("id", "blkid").join(o, "blkid", "left")
+    return dense.groupBy(F.floor(F.col("blkid") / 1000).cast("long").alias("chunk")).agg(F.count_if(F.col("here").isNull()).alias("holes"), F.count("here").alias("blocks"))
+
+
+@query("""select o_orderpriority, count(distinct o_custkey) as customers, min(o_orderkey) as first_seen, max(o_orderdate)::date::varchar as newest from orders group by 1""")
+def q_distinct_hosts(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.min("o_orderkey").alias("first_seen"), F.to_date(F.max("o_orderdate")).cast("string").alias("newest"))
+
+
+@query("""select l_suppkey, l_partkey, min(l_orderkey) as kept, count(*) as copies from lineitem group by 1, 2""")
+def q_mirror_dedup(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("kept"), F.count("*").alias("copies"))
+
+
+@query("""select o_orderkey, cast(o_totalprice as decimal(18,2)) as price from orders order by o_totalprice desc, o_orderkey limit 100""")
+def q_top_k(spark, d):
+    return t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", cents("o_totalprice").alias("price"))
+
+
+@query("""with f as (select l_orderkey, l_linenumber, min(case when l_returnflag <> 'R' then l_suppkey * 10 + l_linenumber end) over (partition by l_orderkey) as good from lineitem)
+select l_orderkey, min(good) as first_verified from f group by 1""")
+def q_first_verified_copy(spark, d):
+    order = F.struct((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("o"))
+    copies = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_returnflag") != "R", order)).alias("best"))
+    return copies.select("l_orderkey", F.col("best")["o"].alias("first_verified"))
+
+
+@query("""select case when n > 5 then 4 when missing > 0 then 3 else 0 end as status, count(*) as n from
+(select l_orderkey, count(*) as n, count(*) filter (where l_linestatus = 'O') as missing from lineitem group by 1) group by 1""")
+def q_exit_fold(spark, d):
+    runs = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.count_if(F.col("l_linestatus") == "O").alias("missing"))
+    return runs.groupBy(F.when(F.col("lines") > 5, 4).when(F.col("missing") > 0, 3).otherwise(0).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""select path, doc_id from (select source || '/' || lang || '/' || doc_id as path, doc_id from documents) where split_part(path, '/', 2) = 'en'""")
+def q_walk_paths(spark, d):
+    docs = t(spark, d, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "doc_id")
+    return docs.filter(F.split_part("path", F.lit("/"), F.lit(2)) == "en").orderBy(hierarchy.pre_order(F.col("path")))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, count(*) over (partition by l_orderkey, l_partkey % 10) > 1 as second_name from lineitem""")
+def q_second_names(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 10).alias("name"))
+    counts = li.groupBy("l_orderkey", "name").agg(F.count("*").alias("n"))
+    return li.join(counts, ["l_orderkey", "name"]).select("l_orderkey", "l_linenumber", "l_partkey", (F.col("n") > 1).alias("second_name"))
+
+
+@query("""with s as (select distinct user_id, event_type from events), x as (select event_type, count(*) as users from s group by 1)
+select event_type, users, users = (select count(distinct user_id) from events) as everyone from x""")
+def q_distinct_tools(spark, d):
+    e = t(spark, d, "events")
+    every = e.agg(F.count_distinct("user_id")).first()[0]
+    return e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users")).withColumn("everyone", F.col("users") == every)
+
+
+@query("""select c_custkey, case when n < 1024 then n || 'B' when n < 10240 then printf('%.1fK', n / 1024.0) when n < 1048576 then printf('%.0fK', n / 1024.0)
+when n < 10485760 then printf('%.1fM', n / 1048576.0) else printf('%.0fM', n / 1048576.0) end as size
+from (select c_custkey, c_custkey * c_custkey * 3 as n from customer)""")
+def q_human_size(spark, d):
+    return t(spark, d, "customer").select("c_custkey", text.human_size(F.col("c_custkey") * F.col("c_custkey") * 3).alias("size"))
