@@ -63,8 +63,12 @@ def boilerplate(lines: Table, sites: int = SITES, margin: float = MARGIN) -> Tab
     return write_table(sure.unionByName(exact.filter(F.col("n") >= sites).select("key", "first")), "line-boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, min_spaces: int = MIN_SPACES, keep_first: bool = True) -> tuple[DataFrame, Table]:
-    """(``docs`` with cleaned texts, the removal list (doc_key, keys) of each document that lost lines)."""
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, min_spaces: int = MIN_SPACES, keep_first: bool = True, drop_emptied: bool = False) -> tuple[DataFrame, Table]:
+    """(``docs`` with cleaned texts, the removal list (doc_key, keys) of each document that lost lines).
+
+    With ``drop_emptied`` a document that had words and keeps none goes; one
+    that was blank before stays.
+    """
     lines = lines_table(docs, id_col, text_col, site_col, min_spaces)
     known = boilerplate(lines, sites)
     found = lines.df.join(known.joinable(), "key")
@@ -75,6 +79,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = docs.join(side, _key(docs[id_col]) == side["doc_key"], "left")
     kept = F.filter(F.split(docs[text_col], "\n", -1), lambda line: ~F.array_contains(side["keys"], F.xxhash64(normal_line(line))))
     text = F.when(side["keys"].isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
+    if drop_emptied:
+        joined = joined.filter(side["keys"].isNull() | has_words(text) | ~has_words(docs[text_col]))
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns)), lost
 
 
@@ -82,15 +88,9 @@ def has_words(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\r\n\x0b\x0c")) != ""
 
 
-def dedup_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents with boilerplate removed, columns unchanged.
-
-    One that had words and keeps none goes: each of its lines stands in an
-    earlier document. Documents that were blank before are left alone.
-    """
-    marked = docs.withColumn("_blank", ~F.coalesce(has_words(F.col(text_col)), F.lit(False)))
-    cleaned, _ = remove_boilerplate(marked, text_col=text_col, **options)
-    return cleaned.filter(F.col("_blank") | has_words(F.col(text_col))).drop("_blank")
+def dedup_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents with boilerplate removed, columns unchanged; an emptied one goes, as each of its lines stands in an earlier one."""
+    return remove_boilerplate(docs, drop_emptied=True, **options)[0]
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ without a piece of its own costs the least score minus ten and counts one
 piece per byte. Text is taken as that library's Metaspace does: each space
 becomes U+2581 and one stands before the text.
 
-If no piece has U+2581 after another character, no piece crosses the start of
-a word, so a text's best path is the words' best paths end to end. Words are
+If no piece has U+2581 after another character (and none is needed for an
+unknown U+2581), no piece crosses the start of a word, so a text's best path is the words' best paths end to end. Words are
 then counted once each and remembered, at most ``MEMO`` in a worker; a word
 that is not remembered is simply counted again.
 
@@ -60,7 +60,8 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in self.automaton for b in range(256))
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in vocabulary)
+        # Without byte fallback neighbouring unknown characters are one piece, so then a word must not begin with one.
+        self.by_word = (self.bytes or SPACE in self.automaton) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in vocabulary)
         self.memo: dict[str, tuple[int, float]] = {}
 
     def segment(self, text: str) -> tuple[int, float]:
