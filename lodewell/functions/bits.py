@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_64 = F.lit("18446744073709551616")
-
 
 def bits(word: Column, at: int, n: int) -> Column:
     """``n`` bits of a word from bit ``at`` up."""
