@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: The six ASCII white-space characters that end a word (space and \x09-\x0D).
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -41,19 +42,23 @@ def strings_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
-    """mapInArrow where ``fn`` turns a batch into columns (name -> values) or None for no rows."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Rows of a batch that are Python objects at a time.
+SLICE = 512
 
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: StructType | str) -> DataFrame:
+    """mapInArrow where ``fn`` turns a short batch into columns (name -> values)."""
     target = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
 
+    def column(values, kind: pa.DataType) -> pa.Array:
+        return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, SLICE):
+                out = fn(batch.slice(at, SLICE))
+                yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 

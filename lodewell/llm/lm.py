@@ -2,24 +2,25 @@
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
 
-Training takes four counting passes over all training texts, each folded in
-the scanning tasks and summed by a shuffle:
+Two passes read the texts: one counts all words (a written table, as large as
+the vocabulary), one writes each text as word numbers, beside the words that
+have none. Training then counts over the numbers of all training texts, each
+time folded in the scanning tasks and summed by a shuffle:
 
-1. counts of all words (a written table, as large as the vocabulary);
-2. bigram counts among the ``CORE`` most frequent words, the end and two
+1. bigram counts among the ``CORE`` most frequent words, the end and two
    groups for all others; exchange sweeps over these move each core word to
    the class that gains the most class-bigram likelihood;
-3. the class contexts of the next words up to ``CLASSED``; one exchange step
+2. the class contexts of the next words up to ``CLASSED``; one exchange step
    each, with the core's classes held, places them (on the executors);
-4. class-bigram counts over the finished classes.
+3. class-bigram counts over the finished classes.
 
 Words beyond ``CLASSED`` and words met once share one rare class, which also
 holds a place for unknown words that weighs as much as all words met once.
 
 Bounds: the driver and the tasks hold ``HEAD`` words of up to ``WORD_BYTES``
 bytes, the core's matrix and the classes, none of which grows with the
-corpus. The other words of a text are not dropped: they leave the scoring
-pass as (text, word, times) and meet the full vocabulary in a join.
+corpus. The other words of a text are not dropped: they stand beside its
+numbers as (word, times) and meet the full vocabulary in a join.
 
 Defined results: null and blank texts are the end alone; a null doc_id counts
 as the empty text for the split and is a training row; repeated rows train
@@ -29,18 +30,18 @@ are ignored.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..runtime import Table, write_table
 from .common import hash_bucket, id_text, lower_words, texts_of
@@ -91,38 +92,41 @@ class Model:
     singles: int
 
 
-def _fold(df: DataFrame, step: Callable, schema: str) -> DataFrame:
-    """mapInArrow of (iterator of text lists) -> iterator of column dicts."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
+def _arrow(schema: str) -> tuple[StructType, pa.Schema]:
     target = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(target)
+    return target, to_arrow_schema(target)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in step(texts_of(b, "text") for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, target)
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short stretches of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
 
 
 def vocabulary(train: DataFrame) -> Table:
     """Written rows (word, c) over all training texts; the empty word stands for the ends."""
+    target, arrow = _arrow("word string, c long")
 
-    def step(batches: Iterator[list[bytes]]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for texts in batches:
-            for text in texts:
+
+        def out() -> pa.RecordBatch:
+            words = pa.array(list(held), pa.binary()).cast(pa.string())
+            counts = pa.array(list(held.values()), pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([words, counts], schema=arrow)
+
+        for batch in _slices(batches):
+            for text in texts_of(batch, "text"):
                 held.update(lower_words(text))
                 if len(held) > HELD_WORDS:
-                    yield {"word": pa.array(list(held), pa.binary()), "c": list(held.values())}
-                    held.clear()
-            held[b""] += len(texts)
+                    yield out()
+            held[b""] += batch.num_rows
         if held:
-            yield {"word": pa.array(list(held), pa.binary()), "c": list(held.values())}
+            yield out()
 
-    counted = _fold(train.select("text"), step, "word string, c long")
-    return write_table(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    return write_table(train.select("text").mapInArrow(run, target).groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
 
 
 def _head(words: Table, size: int) -> Head:
@@ -131,44 +135,64 @@ def _head(words: Table, size: int) -> Head:
     return Head([w.encode() for w in rows["word"].to_pylist()], np.array(rows["c"].to_pylist(), np.int64))
 
 
-def _numbers(texts: list[bytes], lookup: dict[bytes, int]) -> np.ndarray:
-    """The word numbers of the texts, one after the other, each with its end."""
-    out: list[int] = []
-    for text in texts:
-        out.extend(map(lookup.get, lower_words(text), repeat(RARE)))
-        out.append(END)
-    return np.array(out, np.int32)
+def encode(docs: DataFrame, head: Head) -> Table:
+    """Written rows (rid, doc_id, train, numbers, tail) of (doc_id, train, text).
+
+    ``numbers`` holds the word numbers and the end as little-endian 32-bit
+    integers, ``tail`` the words without a number of their own. The row id is
+    fixed once the table is written.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    target, arrow = _arrow("rid long, doc_id long, train boolean, numbers binary, tail array<struct<word:string,times:long>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.lookup().get
+        rid = TaskContext.get().partitionId() << 36
+        for batch in _slices(batches):
+            numbers, tails = [], []
+            for text in texts_of(batch, "text"):
+                w = lower_words(text)
+                own = [get(x, RARE) for x in w]
+                tails.append([{"word": x.decode(), "times": k} for x, k in Counter(x for x, k in zip(w, own, strict=True) if k == RARE).items()])
+                own.append(END)
+                numbers.append(np.array(own, "<i4").tobytes())
+            ids = pa.array(range(rid, rid + batch.num_rows), pa.int64())
+            rid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id"), batch.column("train"), pa.array(numbers, pa.binary()), pa.array(tails, arrow.field("tail").type)], schema=arrow)
+
+    return write_table(docs.select("doc_id", "train", "text").mapInArrow(run, target), "lm-numbers")
+
 
+def _pair_counts(encoded: Table, codes: Callable[[np.ndarray], np.ndarray], size: int) -> DataFrame:
+    """Rows (code, n) over the training texts: how often each code below ``size`` occurs.
 
-def _pair_counts(train: DataFrame, head: Head, codes: Callable[[np.ndarray], np.ndarray], size: int) -> DataFrame:
-    """Rows (code, n): how often each code below ``size`` occurs; ``codes`` maps a stream that starts with an end."""
-    shared = train.sparkSession.sparkContext.broadcast(head)
+    ``codes`` maps a stream of word numbers that starts with an end.
+    """
+    target, arrow = _arrow("code long, n long")
 
-    def step(batches: Iterator[list[bytes]]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         parts: list[np.ndarray] = []
         held = 0
-        lookup = shared.value.lookup()
 
         def flush() -> None:
             total.__iadd__(np.bincount(codes(np.concatenate([np.array([END], np.int32), *parts])), minlength=size))
             parts.clear()
 
-        for texts in batches:
-            for at in range(0, len(texts), 256):
-                parts.append(_numbers(texts[at : at + 256], lookup))
-                held += len(parts[-1])
-                if held > FOLD:
-                    flush()
-                    held = 0
+        for batch in _slices(batches):
+            parts.append(np.frombuffer(b"".join(batch.column("numbers").to_pylist()), "<i4"))
+            held += len(parts[-1])
+            if held > FOLD:
+                flush()
+                held = 0
         if parts:
             flush()
         found = np.flatnonzero(total)
         for at in range(0, len(found), 1 << 17):
             some = found[at : at + (1 << 17)]
-            yield {"code": pa.array(some), "n": pa.array(total[some])}
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], schema=arrow)
 
-    return _fold(train.select("text"), step, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.df.filter("train").select("numbers").mapInArrow(run, target).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _dense(counts: DataFrame, size: int) -> np.ndarray:
@@ -229,7 +253,7 @@ def exchange(pairs: np.ndarray, fixed: int, classes: int, sweeps: int = SWEEPS)
     return of
 
 
-def _place(train: DataFrame, head: Head, core: int, classed: int, of_core: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _place(encoded: Table, head: Head, core: int, classed: int, of_core: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Classes of word numbers [FIRST + core, FIRST + classed): one exchange step each, core classes held."""
     groups = len(table)
     start = FIRST + core
@@ -246,7 +270,7 @@ def _place(train: DataFrame, head: Head, core: int, classed: int, of_core: np.nd
         w = (stream[here].astype(np.int64) - start) * 2 * groups + groups
         return np.concatenate([*out, w + group[here + 1]])
 
-    contexts = _pair_counts(train, head, codes, count * 2 * groups)
+    contexts = _pair_counts(encoded, codes, count * 2 * groups)
     by_word = contexts.groupBy((F.col("code") / (2 * groups)).cast("long").alias("w")).agg(F.collect_list(F.struct((F.col("code") % (2 * groups)).alias("g"), "n")).alias("cells"))  # 2 * groups cells at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +291,13 @@ def _place(train: DataFrame, head: Head, core: int, classed: int, of_core: np.nd
     return out
 
 
-def train_model(train: DataFrame, head_words: int = HEAD, classed_words: int = CLASSED, core_words: int = CORE, classes: int = CLASSES) -> tuple[Model, Table]:
-    """Fit the model on rows (text); also gives the full vocabulary (word, c)."""
-    words = vocabulary(train)
+def train_model(docs: DataFrame, head_words: int = HEAD, classed_words: int = CLASSED, core_words: int = CORE, classes: int = CLASSES) -> tuple[Model, Table, Table]:
+    """Fit the model on the rows of (doc_id, train, text) with ``train``; also gives the full vocabulary and all rows encoded."""
+    words = vocabulary(docs.filter("train"))
     n, v, singles, ends = words.df.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.max(F.when(F.col("word") == "", F.col("c")))).first()
     n, v, singles, ends = n or 0, v or 0, singles or 0, ends or 0
     head = _head(words, head_words)
+    encoded = encode(docs, head)
     core = min(core_words, len(head.words))
     classed = min(classed_words, len(head.words))
     classes = max(4, min(classes, 3 + core))
@@ -280,7 +305,7 @@ def train_model(train: DataFrame, head_words: int = HEAD, classed_words: int = C
     # Symbols of the core's matrix: end, rare, the other head words, then the core.
     symbols = np.concatenate([[0, 1], np.arange(core) + 3, np.full(len(head.words) - core, 2)]).astype(np.int64)
     size = core + 3
-    pairs = _dense(_pair_counts(train, head, lambda s: symbols[s[:-1]] * size + symbols[s[1:]], size * size), size * size).reshape(size, size)
+    pairs = _dense(_pair_counts(encoded, lambda s: symbols[s[:-1]] * size + symbols[s[1:]], size * size), size * size).reshape(size, size)
     of_core = exchange(pairs, 3, classes)
     table = np.zeros((classes, classes), np.int64)
     np.add.at(table, (of_core[:, None], of_core[None, :]), pairs)
@@ -289,10 +314,10 @@ def train_model(train: DataFrame, head_words: int = HEAD, classed_words: int = C
     of[END] = END
     of[FIRST : FIRST + core] = of_core[3:]
     if classed > core:
-        of[FIRST + core : FIRST + classed] = _place(train, head, core, classed, of_core, table)
+        of[FIRST + core : FIRST + classed] = _place(encoded, head, core, classed, of_core, table)
     # Class 2 stood for the words beyond the core and is free now.
-    counts = _dense(_pair_counts(train, head, lambda s: of[s[:-1]] * classes + of[s[1:]], classes * classes), classes * classes).reshape(classes, classes)
-    return _estimate(head, of, counts, classes, n, v, singles, ends), words
+    counts = _dense(_pair_counts(encoded, lambda s: of[s[:-1]] * classes + of[s[1:]], classes * classes), classes * classes).reshape(classes, classes)
+    return _estimate(head, of, counts, classes, n, v, singles, ends), words, encoded
 
 
 def _estimate(head: Head, of: np.ndarray, counts: np.ndarray, classes: int, n: int, v: int, singles: int, ends: int) -> Model:
@@ -312,43 +337,28 @@ def _estimate(head: Head, of: np.ndarray, counts: np.ndarray, classes: int, n: i
     return Model(head, of, transition, emission, base, n, v, rare, singles)
 
 
-def score(docs: DataFrame, model: Model, words: Table) -> DataFrame:
-    """(doc_id, text) rows -> doc_id, n_tokens, n_known, base_score, score, perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "rid long, doc_id long, n_tokens long, n_head long, base double, score double, tail array<struct<word:string,times:long>>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(target)
+def score(encoded: Table, model: Model, words: Table) -> DataFrame:
+    """Encoded rows -> doc_id, train, n_tokens, n_known, base_score, score, perplexity."""
+    shared = encoded.spark.sparkContext.broadcast((model.classes, model.transition, model.emission, model.base, model.n > 0))
+    target, arrow = _arrow("rid long, doc_id long, train boolean, n_tokens long, n_head long, base double, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        get = m.head.lookup().get
-        rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            out: dict = {f.name: [] for f in arrow}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                w = lower_words(text)
-                numbers = [get(x, RARE) for x in w]
-                numbers.append(END)
-                tail = Counter(x for x, k in zip(w, numbers, strict=False) if k == RARE)
-                seq = np.array(numbers, np.int64)
-                c = m.classes[seq]
-                before = np.concatenate([[END], c[:-1]])
-                out["rid"].append(rid)
-                out["doc_id"].append(doc)
-                out["n_tokens"].append(len(numbers))
+        classes, transition, emission, base, trained = shared.value
+        for batch in _slices(batches):
+            out: dict = {name: [] for name in ("n_tokens", "n_head", "base", "score")}
+            for raw in batch.column("numbers").to_pylist():
+                own = np.frombuffer(raw, "<i4")
+                c = classes[own]
+                out["n_tokens"].append(len(own))
                 # The end is a known token wherever there was a training text.
-                out["n_head"].append(len(numbers) - sum(tail.values()) - (m.n == 0))
-                out["base"].append(float(m.base[seq].sum()))
-                out["score"].append(float(m.transition[before, c].sum() + m.emission[seq].sum()))
-                out["tail"].append([{"word": x.decode(), "times": k} for x, k in tail.items()])
-                rid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    parts = write_table(docs.mapInArrow(run, target), "lm-parts").df
-    tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times")
+                out["n_head"].append(int((own != RARE).sum()) - (not trained))
+                out["base"].append(float(base[own].sum()))
+                out["score"].append(float(transition[np.concatenate([[END], c[:-1]]), c].sum() + emission[own].sum()))
+            kept = [batch.column(k) for k in ("rid", "doc_id", "train")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[f.name], f.type) for f in list(arrow)[3:])], schema=arrow)
+
+    parts = encoded.df.select("rid", "doc_id", "train", "numbers").mapInArrow(run, target)
+    tail = encoded.df.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (
         tail.join(words.df, "word", "left")
@@ -357,19 +367,15 @@ def score(docs: DataFrame, model: Model, words: Table) -> DataFrame:
         .agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.sum("k").alias("k"))
     )
     zero = F.lit(0.0)
-    joined = parts.drop("tail").join(rest, "rid", "left")
+    joined = parts.join(rest, "rid", "left")
     total = F.col("score") + F.coalesce("e", zero)
-    return joined.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))
+    return joined.select("doc_id", "train", "n_tokens", (F.col("n_head") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))
 
 
 def digest(docs: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     own = id_text(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    held = hash_bucket(F.col("doc_id"), FOLDS) == HELD
-    model, words = train_model(own.filter(~held), **sizes)
-    found = score(own, model, words)
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
-
-
-def unigram_log10(c: int, n: int, v: int) -> float:
-    return math.log10((c + 1) / (n + v + 1))
+    split = own.withColumn("train", hash_bucket(F.col("doc_id"), FOLDS) != HELD)
+    model, words, encoded = train_model(split, **sizes)
+    found = score(encoded, model, words)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
