@@ -35,7 +35,7 @@ from .common import ASCII_SPACE, map_batches, strings_of
 MIN_WORDS = 3
 MIN_DOCS = 20
 SHARE = 0.001
-DEPLETED = 0.5
+DEPLETED = 0.8
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
