@@ -35,8 +35,8 @@ from .common import id_text, map_batches, strings_of
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in one salted group at most, about; bounds the sort of one window task.
-GROUP_ROWS = 50_000
+#: Pieces in one salted group, about; bounds the sort of one window task.
+GROUP_ROWS = 1_000
 
 _encoders: dict = {}
 
@@ -153,17 +153,17 @@ def pack(cut_pieces: Table, capacity: int = CAPACITY) -> DataFrame:
     df = cut_pieces.df
     rows = {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     table = slots(plan(rows, capacity))
-    salts = {k: -(-n // GROUP_ROWS) for k, n in rows.items()}
-    most = max(salts.values(), default=1)
-    # The salt hangs on the row's values alone, so a task that runs again deals alike.
-    salted = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(most)) if most > 1 else F.lit(0).cast("long"))
+    # A length with many pieces is dealt to salts, so that no task orders more than about GROUP_ROWS of them. The salt
+    # hangs on the row's values alone, so a task that runs again deals alike.
+    salts = df.sparkSession.createDataFrame([(k, -(-n // GROUP_ROWS)) for k, n in rows.items()] or [(0, 1)], "length long, salts long")
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    salted = df.join(F.broadcast(salts), "length").withColumn("salt", dealt).drop("salts")
     ordered = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(ordered) - F.lit(1))
-    if most > 1:
-        sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        base = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "base")
-        ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "base")
+    ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def fn(batch: pa.RecordBatch) -> dict:
