@@ -1 +1 @@
-
+"""Sources and sinks: member bytes, evidence logs, images."""
