@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,24 @@ class Table:
         fs.delete(where, True)
 
 
+_cleaned: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/lodewell-{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                where, fs = _filesystem(spark, path)
+                fs.delete(where, True)
+
+        atexit.register(clean)
+    return path
+
+
 def write_table(df: DataFrame, name: str) -> Table:
     """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
@@ -66,6 +85,6 @@ def write_table(df: DataFrame, name: str) -> Table:
     frame nothing is recomputed after a loss.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodewell/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return Table(spark, path, df.schema)
