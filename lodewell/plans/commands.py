@@ -296,16 +296,8 @@ def dump(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: s
 # -- carve
 
 
-def carve_scan(spark: SparkSession, paths: list[str], profile: carve.Profile | None = None, strict: bool = False, codecs: tuple[str, ...] = (), chunk: int = block_source.CHUNK, groups: dict[int, int] | None = None, max_hits: int = 10_000) -> dict[str, DataFrame]:
-    """Objects recognised on the raw surface, whatever points at them.
-
-    Each slot belongs to the chunk in which it starts. Hits at one place of
-    mirror siblings (``groups``: member -> group) count once. Gives candidates
-    by rank, rejections by reason, and histograms.
-    """
-    want = profile or carve.Profile()
-    block_source.register(spark)
-    raw = spark.read.format("blockmember").option("paths", json.dumps(paths)).option("chunk", chunk).load()
+def surface_hits(raw: DataFrame, want: carve.Profile, strict: bool, codecs: tuple[str, ...], chunk: int) -> DataFrame:
+    """Hits of every byte range, and rows (reason, rejected) that count what was turned down; batch or stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = ("member", "off", "slot", "found", "reason", "rejected", "type", "blocksize", "levels", "maxblkid", "size", "birth", "misses", "score", "dva")
@@ -318,7 +310,19 @@ def carve_scan(spark: SparkSession, paths: list[str], profile: carve.Profile | N
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(kinds))
 
     schema = "member int, off long, slot long, found string, reason string, rejected long, type int, blocksize long, levels int, maxblkid long, size long, birth long, misses array<string>, score double, dva string"
-    seen = write_table(raw.mapInArrow(run, schema), "carve").df
+    return raw.mapInArrow(run, schema)
+
+
+def carve_scan(spark: SparkSession, paths: list[str], profile: carve.Profile | None = None, strict: bool = False, codecs: tuple[str, ...] = (), chunk: int = block_source.CHUNK, groups: dict[int, int] | None = None, max_hits: int = 10_000) -> dict[str, DataFrame]:
+    """Objects recognised on the raw surface, whatever points at them.
+
+    Each slot belongs to the chunk in which it starts. Hits at one place of
+    mirror siblings (``groups``: member -> group) count once. Gives candidates
+    by rank, rejections by reason, and histograms.
+    """
+    block_source.register(spark)
+    raw = spark.read.format("blockmember").option("paths", json.dumps(paths)).option("chunk", chunk).load()
+    seen = write_table(surface_hits(raw, profile or carve.Profile(), strict, codecs, chunk), "carve").df
     hits = seen.filter("reason is null")
     group = F.create_map(*(x for k, v in (groups or {}).items() for x in (F.lit(k), F.lit(v)))) if groups else None
     key = F.coalesce(F.try_element_at(group, F.col("member")), -F.col("member") - 1) if group is not None else F.col("member")

@@ -48,12 +48,9 @@ class Table:
         where, fs = _filesystem(self.spark, self.path)
         return fs.getContentSummary(where).getLength()
 
-    def small(self, limit: int = BROADCAST_BYTES) -> bool:
-        return self.bytes() <= limit
-
-    def joinable(self, limit: int = BROADCAST_BYTES) -> DataFrame:
+    def joinable(self) -> DataFrame:
         """The table with a broadcast hint if it is proven small, else for a shuffled hash join."""
-        return F.broadcast(self.df) if self.small(limit) else self.df.hint("shuffle_hash")
+        return F.broadcast(self.df) if self.bytes() <= BROADCAST_BYTES else self.df.hint("shuffle_hash")
 
     def drop(self) -> None:
         where, fs = _filesystem(self.spark, self.path)
