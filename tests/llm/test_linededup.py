@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from lodewell import runtime
 from lodewell.llm import linededup as ld
 
 
@@ -86,3 +87,10 @@ def test_no_python_on_the_main_path(documents):
     cleaned, _ = ld.remove_boilerplate(documents)
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_same_without_broadcasts(documents, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    rows = [(r.doc_id, r.source, r.text) for r in documents.collect()]
+    cleaned, _ = ld.remove_boilerplate(documents, sites=3)
+    assert sorted(((r.doc_id, r.text) for r in cleaned.collect()), key=str) == slow(rows, 3)

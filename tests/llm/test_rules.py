@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from lodewell import runtime
 from lodewell.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +82,8 @@ def test_repeated_words():
                 a = rnd.randrange(len(w))
                 w += w[a : a + rnd.randrange(12)]
         assert rules.repeated_words(w) == slow_shape(" ".join(w))[4]
+
+
+def test_the_same_without_broadcasts(documents, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    check(documents, min_docs=2)

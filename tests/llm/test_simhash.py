@@ -1,6 +1,7 @@
 import numpy as np
 import xxhash
 
+from lodewell import runtime
 from lodewell.llm import simhash
 
 
@@ -91,3 +92,10 @@ def test_one_of_each_group_stays(documents, odd):
         assert len(named) == len(set(named))
         assert set(named) == {c for d, c in groups.items() if c is not None}
         assert ids.count(None) == df.filter("doc_id is null").count()
+
+
+def test_the_same_without_broadcasts(odd, monkeypatch):
+    want = sorted(map(str, simhash.near_dedup(odd).drop("text").collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    check(odd)
+    assert len(simhash.near_dedup(odd).collect()) == len(want)
