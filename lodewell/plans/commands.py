@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..decode import Damage, carve, compress
+from ..decode import Damage, anchors, carve, compress
 from ..decode import nvlist as nv
-from ..decode.blocks import Uberblock, object_type
+from ..decode.blocks import Uberblock, blkptr, object_type, objset
+from ..decode.checksums import OK, verdict
 from ..decode.words import signed
-from ..operators import classify, custody, history, integrity
+from ..operators import classify, custody, hierarchy, history, integrity
 from ..pool import assemble as topology
 from ..pool import datasets as dsl
 from ..pool.files import Filesystem
-from ..pool.members import flatten_tree
+from ..pool.members import DATA_AT, Member, flatten_tree
 from ..pool.reader import Object, Objects, Reader
 from ..runtime import write_table
 from ..sources import blocks as block_source
@@ -183,8 +184,12 @@ def list_datasets(spark: SparkSession, scanned: Scanned, pool: topology.Assembly
     return kept.unionByName(created).orderBy("txg", "seq")
 
 
-def timeline(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, from_txg: int | None = None, to_txg: int | None = None, about: str | None = None) -> DataFrame:
-    """What happened between the surviving versions, in event order."""
+def timeline(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, from_txg: int | None = None, to_txg: int | None = None, about: str | None = None, with_pending: bool = False) -> DataFrame:
+    """What happened between the surviving versions, in event order.
+
+    ``about`` names a dataset (by a name it ever had, or its GUID); events of
+    the pool stay. ``with_pending`` adds what each version was giving back.
+    """
     roots = [u for u in candidates(scanned, pool) if (from_txg is None or u.txg >= from_txg) and (to_txg is None or u.txg <= to_txg)]
     # History that was rolled back: its timestamps lie before an earlier version's.
     top, dropped, line = None, [], []
@@ -199,6 +204,18 @@ def timeline(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, fro
     read = every.filter("status = 'ok'").select("txg").distinct()
     unread = every.filter("status = 'unread'").select("txg", F.regexp_replace("name", "[/@]$", "").alias("prefix"))
     found = history.events(states, read, unread).select("txg", "kind", "kind_ord", "object", "guid", "details", "last_seen", "recover_with")
+    for h in sorted(pool.hosts, key=lambda h: h["txg"])[:-1]:
+        if (from_txg is None or h["txg"] >= from_txg) and (to_txg is None or h["txg"] <= to_txg):
+            dropped.append((h["txg"], "host", history.KINDS.index("host"), None, None, f"last written by {h['hostname']} ({h['hostid']})", None, None))
+    if with_pending:
+
+        def one(ub):
+            try:
+                yield (ub.txg, "pending", history.KINDS.index("pending"), None, None, json.dumps(pending(pool, ub)), None, None)
+            except (Damage, KeyError):
+                return
+
+        dropped += [tuple(r) for r in _tasks(spark, line, one, "txg long, kind string, kind_ord int, object string, guid long, details string, last_seen long, recover_with string").collect()]
     lost = every.filter("status = 'unreadable'").select("txg", F.lit("unreadable").alias("kind"), F.lit(history.KINDS.index("unreadable")).alias("kind_ord"), F.lit(None).cast("string").alias("object"), F.lit(None).cast("long").alias("guid"), F.col("error").alias("details"), F.lit(None).cast("long").alias("last_seen"), F.lit(None).cast("string").alias("recover_with"))
     out = found.unionByName(lost).unionByName(_frame(spark, dropped, "txg long, kind string, kind_ord int, object string, guid long, details string, last_seen long, recover_with string"))
     if about is not None:
@@ -235,7 +252,7 @@ def _find(pool: topology.Assembly, roots: list[Uberblock], name: str) -> tuple[U
     raise Damage(f"{name} can't be read: {why}")
 
 
-def read_volume(spark: SparkSession, obj: Object, size: int, strict: bool = False, tasks: int | None = None) -> DataFrame:
+def read_volume(spark: SparkSession, obj: Object, size: int, strict: bool = False, first: int = 0, last: int | None = None) -> DataFrame:
     """The volume's blocks that hold data: (blkid, off, state, data, reason).
 
     Holes are absent. A block that no copy verifies is 'zeroed' with its
@@ -260,7 +277,8 @@ def read_volume(spark: SparkSession, obj: Object, size: int, strict: bool = Fals
                         rows.append((blkid, off, "zeroed", None, str(e)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["blkid", "off", "state", "data", "reason"])
 
-    ids = spark.range(0, count, 1, tasks or max(1, min(count, spark.sparkContext.defaultParallelism * 4)))
+    last = count if last is None else last
+    ids = spark.range(first, last, 1, max(1, min(last - first, spark.sparkContext.defaultParallelism * 4)))
     return ids.mapInArrow(run, "blkid long, off long, state string, data binary, reason string")
 
 
@@ -293,6 +311,92 @@ def dump(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: s
     return report | image_digest(spark, output, hashes) | {"status": EXIT["partial"] if zeroed else EXIT["ok"]}
 
 
+def dump_resumable(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: str, output: str, txg: int | None = None, stretch: int = 4096, stop_after: int | None = None) -> dict[str, Any]:
+    """Like ``dump``, in stretches of blocks with a state file beside the image; a later call goes on.
+
+    The state names the volume, its version and shape, how many blocks are
+    done, what was lost and the digest of the image so far. It is replaced
+    atomically after each stretch. A state of another volume, or an image that
+    has changed, is refused.
+    """
+    image.guard(output, pool.pool.paths)
+    ub, ds, reader = _find(pool, select_root(candidates(scanned, pool), txg), name)
+    obj, size = dsl.volume(reader, ds)
+    step = obj.node.blocksize
+    identity = {"guid": str(ds.guid), "txg": ub.txg, "volsize": size, "blocksize": step}
+    state_path = output + ".state.json"
+    state: dict[str, Any] = {"identity": identity, "blocks_done": 0, "bad": [], "prefix_sha256": hashlib.sha256().hexdigest()}
+    if os.path.exists(state_path):
+        with open(state_path) as f:
+            state = json.load(f)
+        if state["identity"] != identity:
+            raise ValueError("the state file is of another volume or version")
+        if _prefix_digest(output, min(size, state["blocks_done"] * step)) != state["prefix_sha256"]:
+            raise ValueError("the image has changed since the state was written")
+    else:
+        image.create(output, size)
+    total, done = -(-size // step), 0
+    while state["blocks_done"] < total and (stop_after is None or done < stop_after):
+        first, last = state["blocks_done"], min(total, state["blocks_done"] + stretch)
+        part = read_volume(spark, obj, size, first=first, last=last)
+        bad = image.write_blocks(part, output, ["blkid", "off", "state", "reason"]).filter("state = 'zeroed'").orderBy("blkid").collect()
+        state["bad"] += [{"blkid": r["blkid"], "offset": r["off"], "reason": r["reason"]} for r in bad]
+        state["blocks_done"], done = last, done + 1
+        state["prefix_sha256"] = _prefix_digest(output, min(size, last * step))
+        with open(state_path + ".new", "w") as f:
+            json.dump(state, f)
+        os.replace(state_path + ".new", state_path)
+    finished = state["blocks_done"] == total
+    status = EXIT["interrupted"] if not finished else EXIT["partial"] if state["bad"] else EXIT["ok"]
+    return {"dataset": name, "output": output, "complete": finished, "sha256": state["prefix_sha256"] if finished else None, "status": status} | state
+
+
+def _prefix_digest(path: str, n: int) -> str:
+    sha = hashlib.sha256()
+    with open(path, "rb") as f:
+        while n and (part := f.read(min(n, 1 << 20))):
+            sha.update(part)
+            n -= len(part)
+    return sha.hexdigest()
+
+
+def image_names(datasets: list[tuple[str, int]]) -> list[str]:
+    """File names for volumes: slashes become underscores, clashes get the GUID."""
+    plain = [name.replace("/", "_").replace("@", "_") for name, _ in datasets]
+    return [f"{p}-{guid:016x}.img" if plain.count(p) > 1 else f"{p}.img" for p, (_, guid) in zip(plain, datasets, strict=True)]
+
+
+def dump_all(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, prefix: str, folder: str, txg: int | None = None) -> dict[str, Any]:
+    """Every volume at or below a name; a run that is repeated keeps what its manifest lists and the images still match."""
+    rows = list_datasets(spark, scanned, pool, txg=txg).filter((F.col("kind") == "zvol") & hierarchy.in_scope(F.col("name"), prefix)).collect()
+    os.makedirs(folder, exist_ok=True)
+    manifest_path = os.path.join(folder, "manifest.json")
+    earlier = {}
+    if os.path.exists(manifest_path):
+        with open(manifest_path) as f:
+            earlier = {(v["dataset"], v["guid"], v["txg"]): v for v in json.load(f)["volumes"]}
+    out = []
+    for r, name in zip(rows, image_names([(r["name"], r["guid"] % (1 << 64)) for r in rows]), strict=True):
+        path, key = os.path.join(folder, name), (r["name"], r["guid"], r["txg"])
+        old = earlier.get(key)
+        if old and os.path.exists(path) and _prefix_digest(path, old["volsize"]) == old["sha256"]:
+            out.append(old | {"kept": True})
+            continue
+        if os.path.exists(path):
+            os.remove(path)
+        out.append(dump(spark, scanned, pool, r["name"], path, txg=r["txg"]) | {"guid": r["guid"], "output": path, "kept": False})
+        with open(manifest_path + ".new", "w") as f:
+            json.dump({"pool": str(pool.pool.guid), "volumes": out + [v for k, v in earlier.items() if k[0] not in {o["dataset"] for o in out}]}, f)
+        os.replace(manifest_path + ".new", manifest_path)
+    return {"volumes": out, "status": exit_status([v["status"] for v in out])}
+
+
+def exit_status(statuses: list[int]) -> int:
+    """The run's status from its parts': a refusing medium, then an interruption, then the worst of the rest."""
+    order = [EXIT[k] for k in ("medium", "interrupted", "refused", "unreadable", "unrecoverable", "partial", "usage", "ok")]
+    return min(statuses, key=order.index, default=EXIT["ok"])
+
+
 # -- carve
 
 
@@ -402,6 +506,106 @@ def assess(reader: Reader, obj: Object, sample: int = 256) -> dict[str, Any]:
     return out | {"agreement": (out["verified"] + out["holes"]) / looked if looked else 0.0}
 
 
+def _surface(spark: SparkSession, paths: list[str], fn, schema: str, chunk: int = block_source.CHUNK) -> DataFrame:
+    """``fn(member, start, data, chunk)`` gives rows of every byte range of the members."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(target)
+    block_source.register(spark)
+    raw = spark.read.format("blockmember").option("paths", json.dumps(paths)).option("chunk", chunk).load()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for m, a, d in zip(batch.column("member").to_pylist(), batch.column("off").to_pylist(), batch.column("data").to_pylist(), strict=True) for r in fn(m, a, d, chunk)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return raw.mapInArrow(run, target)
+
+
+def zero_points(spark: SparkSession, paths: list[str], psize: int | None = None, least: int = 1) -> DataFrame:
+    """Where members begin, by the root pointers whose seals hold there: most confirmations first."""
+
+    def one(member, start, data, chunk):
+        for a in anchors.anchors(data, start, chunk, psize):
+            yield (member, a.base, a.label, a.slot, a.shift, signed(a.txg))
+
+    found = _surface(spark, paths, one, "member int, base long, label int, slot int, shift int, txg long")
+    grouped = found.groupBy("member", "base").agg(F.count("*").alias("anchors"), F.min("txg").alias("min_txg"), F.max("txg").alias("max_txg"), F.array_sort(F.collect_set("label")).alias("labels"))
+    return grouped.filter(F.col("anchors") >= least).orderBy(F.desc("anchors"), "member", "base")
+
+
+def base_by_pointers(spark: SparkSession, path: str, bases: list[int], codecs: tuple[str, ...] = ("lz4",), most: int = 64) -> DataFrame:
+    """Candidate starts of a member by how many carved pointers hold there, and whether one is clear.
+
+    The probes nearest the front come first; a start is clear with eight
+    confirmations or more, and twice the next one's.
+    """
+
+    def one(member, start, data, chunk):
+        for base, buf, _ in _surfaces(start, data, chunk, codecs):
+            for i in np.flatnonzero(carve.head_reasons(np.frombuffer(buf[: len(buf) // 512 * 512], np.uint8)) < 0).tolist():
+                d, _ = carve.judge(buf[512 * i : 512 * (i + 16)])
+                for bp in d.blkptr if d else ():
+                    if anchors.usable_probe(bp):
+                        yield (bp.live[0].offset, bp.raw)
+
+    probes = _surface(spark, [path], one, "offset long, raw binary").dropDuplicates(["raw"]).orderBy("offset", "raw").limit(most).collect()
+
+    def confirm(base):
+        member = Member(path)
+        try:
+            good = 0
+            for p in probes:
+                bp = blkptr(p["raw"])
+                try:
+                    data = member.read(base + DATA_AT + p["offset"], bp.psize)
+                except OSError:
+                    continue
+                good += verdict(bp.checksum, data, bp.cksum) == OK
+            yield (base, good, len(probes))
+        finally:
+            member.close()
+
+    counts = write_table(_tasks(spark, bases, confirm, "base long, confirmed long, probes long"), "bases").df
+    clear = classify.margin_winner(counts.withColumn("_all", F.lit(1)), ["_all"], "confirmed", "base").select("base", "clear")
+    return counts.join(clear, "base", "left").withColumn("clear", F.coalesce("clear", F.lit(False))).orderBy(F.desc("confirmed"), "base")
+
+
+def carve_roots(spark: SparkSession, pool: topology.Assembly, codecs: tuple[str, ...] = ("lz4",), max_roots: int = 64) -> DataFrame:
+    """Meta object sets on the surface that no label leads to, by how much of a pool each shows."""
+    reader = Reader(pool.pool)
+
+    def one(member, start, data, chunk):
+        seen = set()
+        for at in range(0, min(chunk, len(data)), carve.SLOT):
+            piece = data[at : at + 4096]
+            forms = [("plain", piece)] if piece[0] == 10 else []
+            for codec in codecs:
+                if compress.could_start(codec, piece, 4096):
+                    try:
+                        forms.append((codec, compress.decompress(compress.CODES["gzip-6" if codec == "gzip" else codec], piece, 4096)))
+                    except Damage:
+                        pass
+            for how, raw in forms:
+                if len(raw) < 1024 or raw in seen:
+                    continue
+                try:
+                    found = objset(raw)
+                    if found.type != 1 or carve.judge(raw[:512].ljust(8192, b"\0"))[0] is None:
+                        continue
+                    seen.add(raw)
+                    tree = dsl.Meta(reader, raw).walk(pool.pool.name)
+                    yield (member, start + at, how, signed(carve.birth(found.meta)), len(tree.datasets), [d.name for d in tree.datasets], raw)
+                except (Damage, KeyError, IndexError):
+                    continue
+
+    found = write_table(_surface(spark, pool.pool.paths, one, "member int, off long, found string, birth long, datasets int, names array<string>, raw binary"), "roots").df
+    once = found.groupBy("raw").agg(F.min_by(F.struct("member", "off", "found", "birth", "datasets", "names"), F.struct("member", "off")).alias("r")).select("r.*", "raw")
+    return once.orderBy(F.desc("datasets"), F.desc("birth"), "member", "off").limit(max_roots)
+
+
 # -- files
 
 

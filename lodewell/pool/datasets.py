@@ -72,7 +72,7 @@ class Tree:
 class Meta:
     """The meta object set of one root pointer."""
 
-    def __init__(self, reader: Reader, rootbp: BlkPtr):
+    def __init__(self, reader: Reader, rootbp: BlkPtr | bytes):
         self.reader = reader
         self.objects = Objects(reader, rootbp)
         self.directory = numbers(self.objects.open(1))

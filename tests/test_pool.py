@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodewell.decode import Damage, carve
+from lodewell.decode import Damage, blocks, carve, checksums
+from lodewell.decode import dsl as dsl_decode
+from lodewell.decode.blocks import Dva
 from lodewell.fixtures.builder import Builder, Files, Item, Volume
 from lodewell.operators import history
 from lodewell.plans import commands
-from lodewell.pool import assemble, datasets, reader
+from lodewell.pool import assemble, datasets, layout, reader
 from lodewell.pool.members import Member, Refused
 from lodewell.sources import blocks as block_source
 from lodewell.sources import evidence, image
@@ -289,3 +291,130 @@ def test_evidence_report(spark, tmp_path):
     evidence.append(b, {"v": 2})
     with pytest.raises(Exception, match="record version"):
         commands.report_build(spark, [a, b])["commands"].collect()
+
+
+def test_zero_points_and_pointers(spark, tmp_path):
+    """A member inside a larger disk is found by its root pointers, and by what its pointers address."""
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    for txg in range(20, 30):
+        b.commit(txg, txg * 10, {"": ROOT, "vol": Item(2, volume(txg, "off", "fletcher4", 8), 6)})
+    (path,) = b.finish()
+    shifted = str(tmp_path / "disk")
+    with open(shifted, "wb") as f:
+        f.write(bytes(3 << 20) + open(path, "rb").read())
+    got = commands.zero_points(spark, [shifted]).collect()
+    assert (got[0].base, got[0].anchors, got[0].labels, got[0].min_txg, got[0].max_txg) == (3 << 20, 20, [0, 1], 20, 29)
+    assert commands.zero_points(spark, [shifted], psize=SIZE).first().anchors == 40
+    bases = commands.base_by_pointers(spark, shifted, [n << 20 for n in range(5)]).collect()
+    assert (bases[0].base, bases[0].clear) == (3 << 20, True) and bases[1].confirmed * 2 <= bases[0].confirmed and not bases[1].clear
+
+
+def test_carved_roots(spark, history_pool):
+    paths, *_ = history_pool
+    _, pool = scanned(spark, paths)
+    got = commands.carve_roots(spark, pool).collect()
+    assert len(got) == 5 and got[0].datasets == 4 and {r.datasets for r in got} == {2, 3, 4}
+    assert all(r.member == 0 for r in got)
+
+
+def test_resumed_dump(spark, history_pool, tmp_path):
+    paths, vol, *_ = history_pool
+    found, pool = scanned(spark, paths)
+    out = str(tmp_path / "vol.img")
+    first = commands.dump_resumable(spark, found, pool, "tank/vol", out, stretch=16, stop_after=1)
+    assert (first["complete"], first["blocks_done"], first["status"]) == (False, 16, 6)
+    done = commands.dump_resumable(spark, found, pool, "tank/vol", out, stretch=16)
+    assert done["complete"] and done["sha256"] == hashlib.sha256(image_of(vol)).hexdigest() and open(out, "rb").read() == image_of(vol)
+    with pytest.raises(ValueError, match="another volume"):
+        commands.dump_resumable(spark, found, pool, "tank/new", out)
+    with open(out, "r+b") as f:
+        f.write(b"!")
+    with pytest.raises(ValueError, match="has changed"):
+        commands.dump_resumable(spark, found, pool, "tank/vol", out)
+
+
+def test_bulk_dump_keeps_what_matches(spark, tmp_path):
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    one, two = volume(1, blocks=6), volume(2, blocks=6)
+    b.commit(5, 50, {"": ROOT, "a": Item(2, None, 2), "a/b": Item(3, one, 3), "a_b": Item(4, two, 4), "other": Item(5, one, 4)})
+    found, pool = scanned(spark, b.finish())
+    folder = str(tmp_path / "out")
+    got = commands.dump_all(spark, found, pool, "tank", folder)
+    assert got["status"] == 0 and sorted(os.path.basename(v["output"]) for v in got["volumes"]) == ["tank_a_b-0000000000000003.img", "tank_a_b-0000000000000004.img", "tank_other.img"]
+    os.remove(os.path.join(folder, "tank_other.img"))
+    again = commands.dump_all(spark, found, pool, "tank", folder)
+    assert {v["dataset"]: v["kept"] for v in again["volumes"]} == {"tank/a/b": True, "tank/a_b": True, "tank/other": False}
+    assert [v["dataset"] for v in commands.dump_all(spark, found, pool, "tank/a", str(tmp_path / "p"))["volumes"]] == ["tank/a/b"]
+    assert commands.exit_status([0, 4, 6]) == 6 and commands.exit_status([]) == 0
+
+
+def test_pool_events(spark, history_pool):
+    paths, *_ = history_pool
+    found, pool = scanned(spark, paths)
+    pool.hosts.insert(0, {"hostid": 7, "hostname": "old", "txg": 101})
+    got = [(r.txg, r.kind) for r in commands.timeline(spark, found, pool, about="tank/fs", with_pending=True).collect()]
+    assert got == [(100, "pending"), (101, "pending"), (102, "pending"), (103, "pending"), (104, "pending")]
+    assert (101, "host") in [(r.txg, r.kind) for r in commands.timeline(spark, found, pool).collect()]
+
+
+def test_hints_binding_and_order(tmp_path):
+    b = Builder(str(tmp_path), "raidz", 4, 1, size=SIZE)
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, volume(), 6)})
+    paths = b.finish()
+    devices = [assemble.scan(p, i) for i, p in enumerate(paths)]
+    root = next(s.ub for s in devices[0].labels[0].slots if s.status == "verified").rootbp
+    text = json.dumps({"name": "tank", "tops": [{"kind": "raidz", "ashift": 9, "nparity": 1, "leaves": [{"path": p} for p in paths]}]})
+    pool = layout.hints(text, paths)
+    assert layout.readable_blocks(pool, root) > 3
+    with pytest.raises(ValueError, match="unknown key"):
+        layout.hints(text.replace('"ashift"', '"ashft"'), paths)
+    wrong = layout.hints(json.dumps({"name": "tank", "tops": [{"kind": "raidz", "ashift": 9, "nparity": 1, "leaves": [{"path": paths[k]} for k in (2, 0, 1, 3)]}]}), paths)
+    best = layout.search_order(wrong, 0, root)
+    assert best[0][1] == (0, 1, 2, 3) and best[0][0] > best[1][0]
+    vacant = layout.hints(json.dumps({"name": "tank", "tops": [{"kind": "raidz", "ashift": 9, "nparity": 1, "leaves": [{"path": paths[0]}, {}, {"path": paths[2]}, {}]}]}), paths[:3])
+    bound = layout.bind(vacant, paths[3], root)
+    assert [x.member for x in bound.tops[0].leaves] == [0, None, 2, 3]
+    with pytest.raises(layout.Ambiguous):
+        layout.bind(vacant, os.devnull, root)
+    assert layout.base_candidates(10 << 20, 8 << 20) == [0, 1 << 20, 2 << 20]
+
+
+def test_label_export(tmp_path):
+    b = Builder(str(tmp_path), "mirror", 2, size=SIZE)
+    b.commit(7, 10, {"": ROOT})
+    paths = b.finish()
+    label = assemble.scan(paths[0], 0).labels[2]
+    image_ = open(paths[0], "rb").read()
+    front = layout.label_front(label.config, 2, SIZE)
+    assert front[16 << 10 :] == image_[label.offset + (16 << 10) : label.offset + (128 << 10)]
+
+
+def test_removed_device_reads_through_its_mapping(tmp_path):
+    """A pointer to a removed device is followed to where its contents went."""
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, volume(), 6)})
+    paths = b.finish()
+    pool = assemble.choose(assemble.assemble([assemble.scan(paths[0], 0)])).pool
+    r = reader.Reader(pool)
+    data = next(d for _, d in r.copies(Dva(0, 512, 4096, False), 4096))
+    pool.mappings[9] = dsl_decode.indirect(dsl_decode.build_indirect([(1 << 20, 1024, 0, 512), ((1 << 20) + 1024, 3072, 0, 1536)]), 2)
+    assert [d for _, d in r.copies(Dva(9, 1 << 20, 4096, False), 4096)] == [data]
+    with pytest.raises(Damage):
+        list(r.copies(Dva(9, 0, 512, False), 512))
+
+
+def test_gang_blocks(tmp_path):
+    """A block in pieces: a sealed header of pointers, read in order."""
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    b.commit(7, 10, {"": ROOT})
+    data = random.Random(1).randbytes(1536)
+    parts = [b.write(data[i : i + 512], 23) for i in range(0, 1536, 512)]
+    at = b.next
+    head = checksums.seal(b"".join(parts) + bytes(128), 0, at, 7)
+    b._place(head)
+    bp = blocks.blkptr(blocks.build_blkptr([Dva(0, at, 512, True)], 1536, 1536, 2, 7, 23, 0, 7, 1, checksums.fletcher4(data)))
+    r = reader.Reader(assemble.choose(assemble.assemble([assemble.scan(p, i) for i, p in enumerate(b.finish())])).pool)
+    assert r.block(bp) == data
+    broken = blocks.blkptr(blocks.build_blkptr([Dva(0, at, 512, True)], 1536, 1536, 2, 7, 23, 0, 8, 1, checksums.fletcher4(data)))
+    with pytest.raises(Damage):
+        r.block(broken)
