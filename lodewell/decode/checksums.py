@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 
+from .digests import blake3, skein512
 from .words import LITTLE, pack64, u64s
 
 # Checksum codes of the format.
@@ -52,11 +53,17 @@ def sha256(data: bytes) -> tuple[int, int, int, int]:
 
 def sha512_256(data: bytes) -> tuple[int, int, int, int]:
     """SHA-512/256: its digest is read as words of the host's order, unlike SHA-256's."""
-    return tuple(int.from_bytes(hashlib.new("sha512_256", data).digest()[i : i + 8], "little") for i in (0, 8, 16, 24))
+    return _native(hashlib.new("sha512_256", data).digest())
 
 
-def compute(name: str, data: bytes, endian: str = LITTLE) -> tuple[int, int, int, int] | None:
-    """The checksum by its name; None for one that isn't built here."""
+def _native(digest: bytes) -> tuple[int, int, int, int]:
+    return tuple(int.from_bytes(digest[i : i + 8], "little") for i in (0, 8, 16, 24))
+
+
+def compute(name: str, data: bytes, endian: str = LITTLE, salt: bytes | None = None) -> tuple[int, int, int, int] | None:
+    """The checksum by its name; None for one that isn't built here, or that needs the pool's salt and has none."""
+    if name in ("skein", "blake3") and salt is not None:
+        return _native(skein512(data, 256, salt) if name == "skein" else blake3(data, salt))
     if name in ("on", "fletcher4"):
         return fletcher4(data, endian)
     if name == "fletcher2":
@@ -68,12 +75,12 @@ def compute(name: str, data: bytes, endian: str = LITTLE) -> tuple[int, int, int
     return None
 
 
-def verdict(code: int, data: bytes, expected: tuple[int, ...], endian: str = LITTLE, crypt: bool = False) -> str:
+def verdict(code: int, data: bytes, expected: tuple[int, ...], endian: str = LITTLE, crypt: bool = False, salt: bytes | None = None) -> str:
     """Ok, Mismatch, NotChecked (nothing was recorded) or Unsupported; an encrypted block keeps its MAC in the last two words."""
     name = NAMES.get(code, "unknown")
     if name in ("off", "noparity"):
         return NOT_CHECKED
-    found = compute(name, data, endian)
+    found = compute(name, data, endian, salt)
     if found is None:
         return UNSUPPORTED
     n = 2 if crypt else 4

@@ -116,7 +116,7 @@ def build_micro(values: dict[str, int], size: int | None = None) -> bytes:
     return (pack64(MICRO, 7, 0) + bytes(40) + body).ljust(size, b"\0")
 
 
-def build_fat(values: dict[str, int | str | list[int]], block: int = 4096) -> list[bytes]:
+def build_fat(values: dict[str, int | str | bytes | list[int]], block: int = 4096) -> list[bytes]:
     """A header with an embedded table and one leaf; enough for what tests write."""
     shift = block.bit_length() - 1
     hashes = 1 << (shift - 5)
@@ -132,7 +132,9 @@ def build_fat(values: dict[str, int | str | list[int]], block: int = 4096) -> li
 
     for name, value in values.items():
         raw_name = name.encode() + b"\0"
-        if isinstance(value, str):
+        if isinstance(value, bytes):
+            width, raw = 1, value
+        elif isinstance(value, str):
             width, raw = 1, value.encode() + b"\0"
         else:
             width, raw = 8, b"".join(v.to_bytes(8, "big") for v in (value if isinstance(value, list) else [value]))

@@ -9,10 +9,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from ..decode import checksums, compress, raidz, zap
+from ..decode import checksums, compress, crypt, raidz, zap
 from ..decode import nvlist as nv
 from ..decode.blocks import Dva, build_blkptr, build_dnode, build_embedded, build_objset, build_uberblock
 from ..decode.dsl import build_dataset, build_directory
+from ..decode.words import u64s
 
 LABEL = 256 << 10
 HOLE = bytes(128)
@@ -27,6 +28,22 @@ class Volume:
     blocks: dict[int, bytes]
     compression: str = "off"
     checksum: str = "fletcher4"
+    key: Key | None = None
+
+
+@dataclass
+class Key:
+    """An encrypted volume's master key, wrapped by a passphrase."""
+
+    suite: int
+    master: bytes
+    passphrase: bytes
+
+    def entries(self) -> dict[str, int | bytes]:
+        draft = crypt.Facts(self.suite, 77, 1, bytes(range(12)), b"", b"", b"", "passphrase", 500, 9)
+        cipher, tag = crypt.wrap(crypt.wrapping_key("passphrase", self.passphrase, draft), draft, self.master, bytes(64))
+        n = len(self.master)
+        return {"DSL_CRYPTO_SUITE": self.suite, "DSL_CRYPTO_GUID": 77, "DSL_CRYPTO_VERSION": 1, "DSL_CRYPTO_IV": draft.iv, "DSL_CRYPTO_MAC": tag, "DSL_CRYPTO_MASTER_KEY_1": cipher[:n], "DSL_CRYPTO_HMAC_KEY_1": cipher[n:], "keyformat": 3, "pbkdf2iters": 500, "pbkdf2salt": 9}
 
 
 @dataclass
@@ -59,6 +76,7 @@ class Builder:
         self.written: dict[bytes, bytes] = {}
         self.rings: list[tuple[int, bytes]] = []
         self.txg = 0
+        self.salt: bytes | None = None
 
     # -- blocks
 
@@ -84,7 +102,7 @@ class Builder:
         self.next += -(-asize // sector) * sector
         return dva
 
-    def write(self, data: bytes, type_: int, level: int = 0, compression: str = "off", checksum: str = "fletcher4", embed: bool = False) -> bytes:
+    def write(self, data: bytes, type_: int, level: int = 0, compression: str = "off", checksum: str = "fletcher4", embed: bool = False, key: Key | None = None) -> bytes:
         lsize = len(data)
         body = compress.compress(compression, data) if compression != "off" else data
         if embed and len(body) <= 112:
@@ -93,13 +111,21 @@ class Builder:
         if len(body) >= lsize:
             compression, body = "off", data
         body = body.ljust(-(-len(body) // sector) * sector, b"\0")
-        words = checksums.compute(checksum, body)
+        if key is not None:
+            salt, iv = os.urandom(8), os.urandom(12)
+            body, tag = crypt.seal(crypt.SUITES[key.suite][0], crypt.block_key(key.master, salt), iv, body)
+            words = (*checksums.sha256(body)[:2], *u64s(tag, 0, 2))
+            raw = bytearray(build_blkptr([self._place(body)], lsize, len(body), compress.CODES[compression], checksums.CODES["sha256"], type_, level, self.txg, 1, words))
+            raw[32:48], raw[92:96] = salt + iv[:8], iv[8:]
+            raw[55] |= 1 << 5
+            return bytes(raw)
+        words = checksums.compute(checksum, body, salt=self.salt)
         return build_blkptr([self._place(body)], lsize, len(body), compress.CODES[compression], checksums.CODES[checksum], type_, level, self.txg, 1, words)
 
-    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False) -> bytes:
+    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False, key: Key | None = None) -> bytes:
         """The dnode of an object with these blocks; as many levels as they need."""
         last = max(blocks, default=0)
-        level = {i: self.write(b.ljust(blocksize, b"\0"), type_, 0, compression, checksum, embed) for i, b in blocks.items()}
+        level = {i: self.write(b.ljust(blocksize, b"\0"), type_, 0, compression, checksum, embed, key) for i, b in blocks.items()}
         levels, fan = 1, 1 << (shift - 7)
         top = last
         while top >= pointers:
@@ -133,7 +159,7 @@ class Builder:
         if c is None:
             return HOLE
         if isinstance(c, Volume):
-            data = self.write_object(23, c.blocks or {0: bytes(c.blocksize)}, c.blocksize, compression=c.compression, checksum=c.checksum)
+            data = self.write_object(23, c.blocks or {0: bytes(c.blocksize)}, c.blocksize, compression=c.compression, checksum=c.checksum, key=c.key)
             node = bytearray(data)
             node[16:24] = (-(-c.size // c.blocksize) - 1).to_bytes(8, "little") if node[2] > 1 or not c.blocks else node[16:24]
             return self.write_set(3, {1: bytes(node), 2: self.write_map(24, {"size": c.size})})
@@ -204,11 +230,18 @@ class Builder:
             nodes[dead] = build_dnode(50, 512, 1, 12, 0, [HOLE], 51, (512).to_bytes(8, "little") * 3 + bytes(296))
             nodes[kids] = self.write_map(13, {name: tree(p, me) for name, p in names.items()})
             nodes[head] = build_dnode(16, 512, 1, 12, 0, [HOLE], 16, build_dataset(me, 1_600_000_000 + item.creation_txg, item.creation_txg, item.guid, bp, snapnames=snaps, deadlist=dead, referenced=8192))
-            nodes[me] = build_dnode(12, 512, 1, 12, 0, [HOLE], 12, build_directory(1_600_000_000 + item.creation_txg, head, parent, 0, kids, 8192, props))
+            bonus = build_directory(1_600_000_000 + item.creation_txg, head, parent, 0, kids, 8192, props)
+            nodes[me] = build_dnode(12, 512, 1, 12, 0, [HOLE], 12, bonus)
+            if isinstance(item.content, Volume) and item.content.key:
+                keys = number()
+                nodes[keys] = self.write_map(196, item.content.key.entries())
+                raw = zap.build_micro({"com.datto:crypto_key_obj": keys})
+                nodes[me] = self.write_object(12, {0: raw}, len(raw), bonustype=12, bonus=bonus)
             return me
 
         root = tree("", 0)
-        nodes[1] = self.write_map(1, {"root_dataset": root, "config": 0})
+        salted = {"org.illumos:checksum_salt": self.salt} if self.salt else {}
+        nodes[1] = self.write_map(1, {"root_dataset": root, "config": 0} | salted)
         rootbp = self.write_set(1, nodes)
         ub = build_uberblock(txg, timestamp, sum(self.leaf_guids) & ((1 << 64) - 1), rootbp, 1 << max(10, self.ashift))
         self.rings.append((txg, ub))

@@ -236,18 +236,19 @@ def pending(pool: topology.Assembly, ub: Uberblock) -> dict[str, int | None]:
 # -- volumes
 
 
-def _find(pool: topology.Assembly, roots: list[Uberblock], name: str) -> tuple[Uberblock, dsl.Dataset, Reader]:
-    """A dataset at the newest version that has it and reads."""
+def _find(pool: topology.Assembly, roots: list[Uberblock], name: str, key: str | None = None) -> tuple[Uberblock, dsl.Dataset, Reader]:
+    """A dataset at the newest version that has it and reads, and its reader, unlocked if a key is given."""
     reader, why = Reader(pool.pool), "no version"
     for ub in roots:
         try:
-            tree = dsl.Meta(reader, ub.rootbp).walk(pool.pool.name)
+            meta = dsl.Meta(reader, ub.rootbp)
+            tree = meta.walk(pool.pool.name)
         except (Damage, KeyError) as e:
             why = str(e)
             continue
         found = next((d for d in tree.datasets if d.name == name), None)
         if found is not None and found.kind not in ("unknown", "empty"):
-            return ub, found, reader
+            return ub, found, meta.unlock(found, key) if key else reader
         why = f"{name} is not there" if found is None else found.error or found.kind
     raise Damage(f"{name} can't be read: {why}")
 
@@ -296,10 +297,10 @@ def image_digest(spark: SparkSession, path: str, names: tuple[str, ...] = ("sha2
     return _tasks(spark, [path], one, ", ".join(f"{n} string" for n in names)).first().asDict()
 
 
-def dump(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: str, output: str, txg: int | None = None, strict: bool = False, hashes: tuple[str, ...] = ("sha256",)) -> dict[str, Any]:
+def dump(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: str, output: str, txg: int | None = None, strict: bool = False, hashes: tuple[str, ...] = ("sha256",), key: str | None = None) -> dict[str, Any]:
     """A volume as a sparse image; the report says what was read, left as holes and lost."""
     image.guard(output, pool.pool.paths)
-    ub, ds, reader = _find(pool, select_root(candidates(scanned, pool), txg), name)
+    ub, ds, reader = _find(pool, select_root(candidates(scanned, pool), txg), name, key)
     obj, size = dsl.volume(reader, ds)
     image.create(output, size)
     done = write_table(image.write_blocks(read_volume(spark, obj, size, strict), output, ["blkid", "off", "state", "reason"]), "dump").df

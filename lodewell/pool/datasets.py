@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from ..decode import Damage, zap
+from ..decode import Damage, crypt, zap
 from ..decode.blocks import BlkPtr, describe_property
 from ..decode.dsl import Mapped, bpobj, bptree, dataset, deadlist, directory, indirect
 from .reader import Object, Objects, Reader
 
 MAX_DEPTH = 64
+SALT, KEY_MAP = "org.illumos:checksum_salt", "com.datto:crypto_key_obj"
 
 
 def read_map(obj: Object, lost: list[int] | None = None) -> list[zap.Entry]:
@@ -75,7 +76,11 @@ class Meta:
     def __init__(self, reader: Reader, rootbp: BlkPtr | bytes):
         self.reader = reader
         self.objects = Objects(reader, rootbp)
-        self.directory = numbers(self.objects.open(1))
+        entries = read_map(self.objects.open(1))
+        self.directory = {e.name: e.number for e in entries if e.number is not None}
+        salt = next((e.data for e in entries if e.name == SALT), None)
+        if salt:
+            reader.pool.salt = salt
 
     def mappings(self, config_tops: list[dict]) -> dict[int, Mapped]:
         """Indirect mappings of removed devices: object numbers come from the pool's config."""
@@ -171,6 +176,37 @@ class Meta:
             out.append({"name": e.name, "number": e.number, "text": e.text, "meaning": describe_property(e.name, e.number) if e.number is not None else None})
         return out
 
+    def encryption(self, dir_obj: int) -> crypt.Facts | None:
+        """The key facts of a dataset directory; None if it is not encrypted.
+
+        The key's form and its derivation stand with the encryption root.
+        """
+        try:
+            own = numbers(self.objects.open(dir_obj))
+        except Damage:
+            return None
+        if KEY_MAP not in own:
+            return None
+
+        def entries(number: int) -> dict[str, object]:
+            return {e.name: e.number if e.number is not None else e.data for e in read_map(self.objects.open(number))}
+
+        found = entries(own[KEY_MAP])
+        root = found.get("DSL_CRYPTO_ROOT_DDOBJ", dir_obj)
+        if root != dir_obj:
+            above = numbers(self.objects.open(root))
+            if KEY_MAP in above:
+                found |= {k: v for k, v in entries(above[KEY_MAP]).items() if k in ("keyformat", "pbkdf2iters", "pbkdf2salt")}
+        return crypt.facts(found)
+
+    def unlock(self, ds: Dataset, spec: str) -> Reader:
+        """A reader that decrypts a dataset with the key that ``spec`` gives."""
+        facts = self.encryption(ds.dir_obj)
+        if facts is None:
+            return self.reader
+        kind, material = crypt.from_spec(spec)
+        return Reader(self.reader.pool, (facts.suite, crypt.unwrap(crypt.wrapping_key(kind, material, facts), facts)))
+
     def pending(self, datasets: list[Dataset]) -> dict[str, int | None]:
         """Space that is being given back: deferred frees, destroys under way, and distinct dead lists."""
 

@@ -72,7 +72,9 @@ def test_verdicts_are_four_valued():
     assert checksums.verdict(7, data, good) == "Ok"
     assert checksums.verdict(7, data, (1, 2, 3, 4)) == "Mismatch"
     assert checksums.verdict(2, data, (0, 0, 0, 0)) == "NotChecked"
-    assert checksums.verdict(14, data, good) == "Unsupported"
+    assert checksums.verdict(14, data, good) == checksums.verdict(13, data, good, salt=bytes(32)) == "Unsupported"
+    for name in ("skein", "blake3"):
+        assert checksums.verdict(checksums.CODES[name], data, checksums.compute(name, data, salt=b"s" * 32), salt=b"s" * 32) == "Ok"
     assert checksums.verdict(7, data, (*good[:2], 0, 0), crypt=True) == "Ok"
     block = checksums.seal(bytes(1024), 5)
     assert [checksums.embedded_verdict(x, o) for x, o in ((block, 5), (block, 6), (bytes(1024), 5))] == ["Ok", "Mismatch", "NotChecked"]
@@ -220,4 +222,4 @@ def test_first_structural_reason():
 
 def test_feature_support():
     assert dsl.feature_support("com.delphix:hole_birth") == ("Yes", None)
-    assert dsl.feature_support("org.openzfs:blake3")[0] == "No" and dsl.feature_support("x:y") == ("Unknown", None)
+    assert dsl.feature_support("org.openzfs:draid")[0] == "No" and dsl.feature_support("x:y") == ("Unknown", None)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodewell.decode import Damage, blocks, carve, checksums
 from lodewell.decode import dsl as dsl_decode
 from lodewell.decode.blocks import Dva
-from lodewell.fixtures.builder import Builder, Files, Item, Volume
+from lodewell.fixtures.builder import Builder, Files, Item, Key, Volume
 from lodewell.operators import history
 from lodewell.plans import commands
 from lodewell.pool import assemble, datasets, layout, reader
@@ -418,3 +418,38 @@ def test_gang_blocks(tmp_path):
     broken = blocks.blkptr(blocks.build_blkptr([Dva(0, at, 512, True)], 1536, 1536, 2, 7, 23, 0, 8, 1, checksums.fletcher4(data)))
     with pytest.raises(Damage):
         r.block(broken)
+
+
+@pytest.mark.parametrize("suite", [3, 5, 6, 8])
+def test_encrypted_volume(spark, tmp_path, suite):
+    rnd = random.Random(suite)
+    key = Key(suite, rnd.randbytes({3: 16, 5: 32, 6: 16, 8: 32}[suite]), b"open sesame")
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    vol = volume(1, "lz4", "sha256", 8)
+    vol.key = key
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, vol, 6)})
+    found, pool = scanned(spark, b.finish())
+    out = str(tmp_path / "v")
+    assert commands.dump(spark, found, pool, "tank/vol", out, key="passphrase:open sesame")["status"] == 0
+    assert open(out, "rb").read() == image_of(vol)
+    locked = commands.dump(spark, found, pool, "tank/vol", out + "2")
+    assert locked["blocks_read"] == 0 and locked["bad"][0]["reason"] == "the block is encrypted"
+    with pytest.raises(Damage, match="authentication"):
+        commands.dump(spark, found, pool, "tank/vol", out + "3", key="passphrase:wrong")
+
+
+@pytest.mark.parametrize("checksum", ["skein", "blake3"])
+def test_salted_checksums(tmp_path, checksum):
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    b.salt = bytes(range(32))
+    vol = Volume(8192, 2048, {0: b"x" * 2048, 2: random.Random(1).randbytes(2048)}, "off", checksum)
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, vol, 6)})
+    device = assemble.scan(b.finish()[0], 0)
+    r = reader.Reader(assemble.choose(assemble.assemble([device])).pool)
+    root = next(s.ub for s in device.labels[0].slots if s.status == "verified").rootbp
+    ds = next(d for d in datasets.Meta(r, root).walk("tank").datasets if d.name == "tank/vol")
+    obj, _ = datasets.volume(r, ds)
+    assert b"".join(obj.read(i) for i in range(4)) == image_of(vol)
+    r.pool.salt = None
+    with pytest.raises(Damage):
+        obj.read(0)
