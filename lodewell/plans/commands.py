@@ -256,8 +256,9 @@ def _find(pool: topology.Assembly, roots: list[Uberblock], name: str, key: str |
 def read_volume(spark: SparkSession, obj: Object, size: int, strict: bool = False, first: int = 0, last: int | None = None) -> DataFrame:
     """The volume's blocks that hold data: (blkid, off, state, data, reason).
 
-    Holes are absent. A block that no copy verifies is 'zeroed' with its
-    reason, or fails the run if ``strict``.
+    Holes are absent. A block that no copy verifies is 'salvaged' if the
+    copies' readable parts together do, else 'zeroed' with its reason; with
+    ``strict`` that fails the run.
     """
     step = obj.node.blocksize
     count = -(-size // step)
@@ -273,9 +274,12 @@ def read_volume(spark: SparkSession, obj: Object, size: int, strict: bool = Fals
                             continue
                         rows.append((blkid, off, "read", obj.read(blkid)[: size - off], None))
                     except Damage as e:
-                        if strict:
-                            raise
-                        rows.append((blkid, off, "zeroed", None, str(e)))
+                        try:
+                            rows.append((blkid, off, "salvaged", obj.read(blkid, salvage=True)[: size - off], str(e)))
+                        except Damage:
+                            if strict:
+                                raise e from None
+                            rows.append((blkid, off, "zeroed", None, str(e)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["blkid", "off", "state", "data", "reason"])
 
     last = count if last is None else last
@@ -308,7 +312,7 @@ def dump(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, name: s
     total = -(-size // obj.node.blocksize)
     bad = done.filter("state = 'zeroed'").orderBy("blkid").limit(10_000).collect()
     zeroed = counts.get("zeroed", 0)
-    report = {"dataset": name, "txg": ub.txg, "volsize": size, "blocksize": obj.node.blocksize, "blocks_total": total, "blocks_read": counts.get("read", 0), "blocks_zeroed": zeroed, "blocks_holes": total - sum(counts.values()), "bad": [{"blkid": r["blkid"], "offset": r["off"], "len": min(obj.node.blocksize, size - r["off"]), "reason": r["reason"]} for r in bad]}
+    report = {"dataset": name, "txg": ub.txg, "volsize": size, "blocksize": obj.node.blocksize, "blocks_total": total, "blocks_read": counts.get("read", 0), "blocks_salvaged": counts.get("salvaged", 0), "blocks_zeroed": zeroed, "blocks_holes": total - sum(counts.values()), "bad": [{"blkid": r["blkid"], "offset": r["off"], "len": min(obj.node.blocksize, size - r["off"]), "reason": r["reason"]} for r in bad]}
     return report | image_digest(spark, output, hashes) | {"status": EXIT["partial"] if zeroed else EXIT["ok"]}
 
 

@@ -12,7 +12,8 @@ from lodewell.decode.blocks import Dva
 from lodewell.fixtures.builder import Builder, Files, Item, Key, Volume
 from lodewell.operators import history
 from lodewell.plans import commands
-from lodewell.pool import assemble, datasets, layout, reader
+from lodewell.functions import display
+from lodewell.pool import assemble, datasets, layout, medium, reader
 from lodewell.pool.members import Member, Refused
 from lodewell.sources import blocks as block_source
 from lodewell.sources import evidence, image
@@ -453,3 +454,62 @@ def test_salted_checksums(tmp_path, checksum):
     r.pool.salt = None
     with pytest.raises(Damage):
         obj.read(0)
+
+
+@pytest.mark.parametrize(("kind", "disks", "parity"), [("mirror", 2, 0), ("raidz", 4, 1)])
+def test_copies_with_different_gaps_are_merged(spark, tmp_path, kind, disks, parity):
+    """Every member refuses some sectors of one block, no two the same ones."""
+    b = Builder(str(tmp_path), kind, disks, parity, size=SIZE)
+    vol = Volume(8192, 8192, {0: random.Random(1).randbytes(8192)}, "off", "sha256")
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, vol, 6)})
+    if kind == "mirror":
+        at = b.images[0].find(vol.blocks[0])
+        refused = {0: [(at, at + 512)], 1: [(at + 1024, at + 2048)]}
+    else:
+        starts = [(i, image_.find(vol.blocks[0][k * 512 : (k + 1) * 512])) for k in (0, 7) for i, image_ in enumerate(b.images) if image_.find(vol.blocks[0][k * 512 : (k + 1) * 512]) >= 0]
+        refused = {i: [(at, at + 512)] for i, at in starts}
+        assert len(refused) == 2
+    found, pool = scanned(spark, b.finish(), refused=refused)
+    report = commands.dump(spark, found, pool, "tank/vol", str(tmp_path / "v"))
+    assert open(tmp_path / "v", "rb").read() == vol.blocks[0]
+    assert (report["blocks_salvaged"], report["blocks_zeroed"]) == (1, 0)
+
+
+def test_ledger():
+    strict, lenient = medium.Ledger(clock=lambda: 5), medium.Ledger(may_fail=True, clock=lambda: 5)
+    with pytest.raises(medium.Stopped):
+        strict.refused(0, 512, 512)
+    with pytest.raises(medium.Stopped):
+        strict.check(0)
+    strict.check(1)
+    for k in range(8):
+        assert not lenient.refused(0, 512 * k, 512).stopped
+    with pytest.raises(medium.Stopped):
+        lenient.refused(0, 0, 512)
+    assert lenient.incidents[0].as_json()["lba"] == 0 and "counts as lost" not in strict.incidents[0].text()
+
+
+def test_display(tmp_path):
+    assert display.command_line(["dump", "a b", "it's"]) == "dump 'a b' 'it'\"'\"'s'"
+    assert display.hexdump(b"abc\0" * 5, 16, 16).splitlines() == ["00000010  61 62 63 00 61 62 63 00 61 62 63 00 61 62 63 00  abc.abc.abc.abc.", "... 4 more bytes"]
+    assert display.device_number(0x0801) == (8, 1) and display.device_number(5 << 32 | 7, "illumos") == (5, 7)
+    assert display.path_text(b"a\xff") == ("a�", "61ff") and display.path_text(b"ab") == ("ab", None)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.img").write_text("1")
+    (tmp_path / "b.img").write_text("2")
+    assert display.rebase(["/old/x/a.img", "/old/y/b.img", "/other/b.img", "/old/none"], str(tmp_path)) == {"/old/x/a.img": str(tmp_path / "x/a.img"), "/old/y/b.img": None, "/other/b.img": None, "/old/none": None}
+    assert display.b64_decode(display.b64_encode(b"\0x")) == b"\0x" and display.from_hex("0aFF") == b"\n\xff"
+    with pytest.raises(ValueError):
+        display.from_hex("abc")
+    assert "/dev/gpt/tank-d0" in display.disk_names("/evidence/d.img", ["tank-d0"])
+
+
+def test_devices_beneath(tmp_path):
+    base = tmp_path / "block"
+    for name in ("sda", "dm-0"):
+        (base / name / "slaves").mkdir(parents=True)
+    (base / "sda" / "sda1").mkdir()
+    (base / "sda" / "sda1" / "partition").write_text("1")
+    os.symlink(base / "sda" / "sda1", base / "sda1")
+    (base / "dm-0" / "slaves" / "sda1").mkdir()
+    assert medium.beneath("/dev/dm-0", str(base)) == ["sda1", "sda"]
