@@ -42,12 +42,19 @@ def strings_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-#: Rows of a batch that are Python objects at a time.
-SLICE = 512
+#: Rows of an Arrow batch of texts: a batch is held by the JVM, in transfer and by Python. Of these, so many are Python objects at a time.
+BATCH_ROWS, SLICE = 1_000, 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session hand at most ``BATCH_ROWS`` rows at a time to Python, however long their texts are."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: StructType | str) -> DataFrame:
     """mapInArrow where ``fn`` turns a short batch into columns (name -> values)."""
+    short_batches(df.sparkSession)
     target = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
 

@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..runtime import Table, write_table
-from .common import hash_bucket, id_text, lower_words, texts_of
+from .common import hash_bucket, id_text, lower_words, short_batches, texts_of
 
 HEAD = 1 << 18
 CLASSED = 1 << 15
@@ -293,6 +293,7 @@ def _place(encoded: Table, head: Head, core: int, classed: int, of_core: np.ndar
 
 def train_model(docs: DataFrame, head_words: int = HEAD, classed_words: int = CLASSED, core_words: int = CORE, classes: int = CLASSES) -> tuple[Model, Table, Table]:
     """Fit the model on the rows of (doc_id, train, text) with ``train``; also gives the full vocabulary and all rows encoded."""
+    short_batches(docs.sparkSession)
     words = vocabulary(docs.filter("train"))
     n, v, singles, ends = words.df.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.max(F.when(F.col("word") == "", F.col("c")))).first()
     n, v, singles, ends = n or 0, v or 0, singles or 0, ends or 0

@@ -19,6 +19,7 @@ doc_id is never a training row; without rows of both labels every score is
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +47,9 @@ class Model:
     weights: tuple[float, ...]
 
 
+@functools.lru_cache(maxsize=4)
 def _compressor(dictionary: bytes | None):
+    """One compressor for each dictionary and worker process."""
     data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **plain) if data else zstandard.ZstdCompressor(level=LEVEL, **plain)
