@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     because there driver and executors are one process.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()  # set in code instead
+    if known or given.isDefined():
+        return (known or given.get()).rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lodewell-")
