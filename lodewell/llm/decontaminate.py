@@ -206,3 +206,29 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
     joined = F.concat_ws(",", "items")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+sized as (select item_id, w, least({WINDOW}, len(w)) as n from b where len(w) > 0),
+grams as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as gram
+  from sized, lateral (select unnest(range(1, len(w) - n + 2)) as i)
+), sizes as (select distinct n from grams),
+windows as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as gram
+  from d cross join sizes, lateral (select unnest(range(1, len(w) - n + 2)) as i)
+), hits as (
+  select x.doc_id, x.n, x.i, g.item_id from windows x join grams g on x.n = g.n and x.gram = g.gram
+), covered as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id
+), found as (
+  select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as items from hits group by doc_id
+)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+"""

@@ -56,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op7_rules": rules.ORACLE_SQL,
     "op10_linededup": linededup.ORACLE_SQL,
 }
