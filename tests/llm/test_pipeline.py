@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from lodewell.llm import decontaminate, linededup, packing, quality, simhash
 from lodewell.runtime import write_table
@@ -25,8 +27,9 @@ def test_stages_against_their_own_inputs(spark):
     want = [(d, t) for d, t in slow_lines([(r["doc_id"], r["source"], r["text"]) for r in before], linededup.SITES) if t.strip()]
     assert sorted((r["doc_id"], r["text"]) for r in after) == sorted(want)
     before, after = out["near_dedup"]
-    groups = slow_components([(r["doc_id"], slow_fingerprint(r["text"].encode())) for r in before])
-    assert sorted(r["doc_id"] for r in after) == sorted(set(groups))
+    plain = slow_components([(r["doc_id"], slow_fingerprint(r["text"].encode())) for r in before])
+    groups = slow_components([(r["doc_id"], simhash.fingerprint(r["text"].encode(), views=corpus_pipeline.VIEWS)) for r in before], lambda a, b: (np.bitwise_count(a ^ b) <= 2).any())
+    assert sorted(r["doc_id"] for r in after) == sorted(set(groups)) and set(groups) <= set(plain)
     before, after = out["decontaminate"]
     items = [(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = decontaminate.WindowSet(items)
