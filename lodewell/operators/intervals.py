@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import prefix_max
+from .prefix import next_value, prefix_max, prefix_sum
 
 
 def merge(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -40,9 +40,8 @@ def intersect(df: DataFrame, other: DataFrame, keys: Sequence[str], start: str =
 def _sweep(both: DataFrame, keys: Sequence[str], start: str, end: str, keep) -> DataFrame:
     edges = both.filter(F.col(end) > F.col(start)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.when(F.col("w") == 1, 1).otherwise(0).alias("a"), F.when(F.col("w") == 0, 1).otherwise(0).alias("b")), F.struct(F.col(end).alias("at"), F.when(F.col("w") == 1, -1).otherwise(0).alias("a"), F.when(F.col("w") == 0, -1).otherwise(0).alias("b")))).alias("x")).select(*keys, "x.*")
     steps = edges.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = steps.withColumn("_in", F.sum("a").over(so_far) > 0).withColumn("_out", F.sum("b").over(so_far) > 0).withColumn("_next", F.lead("at").over(w))
+    counted = prefix_sum(prefix_sum(steps, keys, ["at"], F.col("a"), "_a", inclusive=True), keys, ["at"], F.col("b"), "_b", inclusive=True)
+    level = next_value(counted, keys, "at", "_next").withColumn("_in", F.col("_a") > 0).withColumn("_out", F.col("_b") > 0)
     pieces = level.filter(keep & F.col("_next").isNotNull()).select(*keys, F.col("at").alias(start), F.col("_next").alias(end))
     return merge(pieces, keys, start, end)
 
@@ -55,8 +54,7 @@ def replay(log: DataFrame, keys: Sequence[str], seq: str, kind: str, start: str
     """
     own = log.filter(F.col(end) > F.col(start)).select(*keys, F.col(seq).alias("q"), F.col(kind).alias("kd"), F.col(start).alias("s"), F.col(end).alias("e"))
     bounds = own.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct()
-    w = Window.partitionBy(*keys).orderBy("at")
-    pieces = bounds.withColumn("to", F.lead("at").over(w)).filter("to is not null")
+    pieces = next_value(bounds, keys, "at", "to").filter("to is not null")
     covered = overlap_join(own, pieces.select(*(F.col(k) for k in keys), F.col("at"), F.col("to")), keys, ("s", "e"), ("at", "to"))
     last = covered.groupBy(*keys, "at", "to").agg(F.max_by("kd", "q").alias("kd")).filter(F.col("kd") == alloc)
     return merge(last.select(*keys, F.col("at").alias(start), F.col("to").alias(end)), keys, start, end)

@@ -1,8 +1,8 @@
-"""Running maxima that hold up when one key owns a large part of the rows."""
+"""Running maxima and sums that hold up when one key owns a large part of the rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,30 +13,45 @@ from ..runtime import write_table
 KEY_ROWS = 2_000_000
 
 
-def prefix_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, inclusive: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
-    """``df`` with the running maximum of ``value`` over earlier rows of the same keys.
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, inclusive: bool, key_rows: int, fold: Callable[[Column], Column], both: Callable[[Column, Column], Column]) -> DataFrame:
+    """``fold`` of ``value`` over earlier rows; ``both`` joins a block's own part with what the blocks before carry on.
 
-    Rows are ordered by ``order``, which must tell rows of a key apart.
-    ``value`` may be a struct (its maximum is the greatest first field), which
-    makes "the last row that ..." a running maximum too. While every key has
-    at most ``key_rows`` rows this is one window. Beyond that rows are dealt in
-    order to blocks that may split a key; each block adds the maxima of the
-    blocks before it, one row for each key and block.
+    While every key has at most ``key_rows`` rows this is one window. Beyond
+    that rows are dealt in order to blocks that may split a key; each block
+    adds the fold of the blocks before it, one row for each key and block.
     """
     end = Window.currentRow if inclusive else -1
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= key_rows:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(name, F.max(value).over(w))
+        return df.withColumn(name, fold(value).over(w))
     dealt = df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
     blocks = write_table(dealt, "prefix-blocks").df  # written, so that a task that runs again meets the same blocks
     within = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.groupBy("_block", *keys).agg(F.max(value).alias("_own")).withColumn("_carry", F.max("_own").over(before)).drop("_own")
+    carried = blocks.groupBy("_block", *keys).agg(fold(value).alias("_own")).withColumn("_carry", fold(F.col("_own")).over(before)).drop("_own")
     same = blocks["_block"] == carried["_block"]
     for k in keys:
         same = same & blocks[k].eqNullSafe(carried[k])
-    joined = blocks.join(carried, same).select(blocks["*"], "_carry")
-    # The greater of both, null only if both are.
-    own = F.max(value).over(within)
-    return joined.withColumn("_own", own).withColumn(name, F.when(F.col("_own").isNull() | (F.col("_carry") > F.col("_own")), F.col("_carry")).otherwise(F.col("_own"))).drop("_own", "_carry", "_block")
+    joined = blocks.join(carried, same).select(blocks["*"], "_carry").withColumn("_own", fold(value).over(within))
+    return joined.withColumn(name, F.when(F.col("_own").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_own")).otherwise(both(F.col("_own"), F.col("_carry")))).drop("_own", "_carry", "_block")
+
+
+def prefix_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, inclusive: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``df`` with the running maximum of ``value`` over earlier rows of the same keys; null where there is none.
+
+    Rows are ordered by ``order``, which must tell rows of a key apart.
+    ``value`` may be a struct (its maximum is the greatest first field), which
+    makes "the last row that ..." a running maximum too.
+    """
+    return _running(df, keys, order, value, name, inclusive, key_rows, F.max, lambda own, carry: F.when(carry > own, carry).otherwise(own))
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, inclusive: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
+    """The same for the running sum."""
+    return _running(df, keys, order, value, name, inclusive, key_rows, F.sum, lambda own, carry: own + carry)
+
+
+def next_value(df: DataFrame, keys: Sequence[str], at: str, name: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """The next greater ``at`` of the same keys; ``at`` tells rows of a key apart."""
+    return prefix_max(df, keys, [F.desc(at)], -F.col(at), name, key_rows=key_rows).withColumn(name, -F.col(name))

@@ -128,8 +128,7 @@ def q_timeline_events(spark, d):
 select o_custkey, max(version) as last_seen from states group by 1 having max(version) < (select max(version) from months)""")
 def q_last_seen(spark, d):
     states, months = _states(spark, d)
-    newest = months.agg(F.max("version").alias("_newest"))
-    return diff.last_seen(states.join(F.broadcast(newest)), "version", "o_custkey", F.lit(newest.first()[0]))
+    return diff.last_seen(states, "version", "o_custkey", F.lit(months.agg(F.max("version")).first()[0]))
 
 
 @query("""with w as (select *, max(o_orderdate) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as top from orders)

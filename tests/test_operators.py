@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import bits, text
 from lodewell.operators import classify, custody, diff, hierarchy, intervals, latest
-from lodewell.operators.prefix import prefix_max
+from lodewell.operators.prefix import next_value, prefix_max, prefix_sum
 
 
 @pytest.mark.parametrize("key_rows", [10**6, 10])
@@ -24,6 +25,34 @@ def test_prefix_max_whole_and_split(spark, key_rows, inclusive):
     assert len(got) == 600
 
 
+@pytest.mark.parametrize("key_rows", [10**6, 10])
+def test_prefix_sum_and_next(spark, key_rows):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["hot", "hot", "a"]), i * 3, rnd.randrange(-5, 6)) for i in range(400)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    sums = {r.i: r.s for r in prefix_sum(df, ["k"], ["i"], F.col("v"), "s", True, key_rows).collect()}
+    following = {r.i: r.n for r in next_value(df, ["k"], "i", "n", key_rows).collect()}
+    for key in ("hot", "a"):
+        mine = sorted((i, v) for k, i, v in rows if k == key)
+        total = 0
+        for n, (i, v) in enumerate(mine):
+            total += v
+            assert sums[i] == total and following[i] == (mine[n + 1][0] if n + 1 < len(mine) else None)
+
+
+def test_intervals_with_split_keys(spark, monkeypatch):
+    """The same algebra when every key is dealt to several blocks."""
+    for name in ("prefix_max", "prefix_sum", "next_value"):
+        monkeypatch.setattr(intervals, name, functools.partial(getattr(intervals, name), key_rows=5))
+    rnd = random.Random(21)
+    one, two = ranges(rnd, 60), ranges(rnd, 40)
+    a, b = (spark.createDataFrame(x, "k string, start long, end long") for x in (one, two))
+    for key in "xy":
+        assert as_set(intervals.merge(a, ["k"]), key) == cells(one, key)
+        assert as_set(intervals.subtract(a, b, ["k"]), key) == cells(one, key) - cells(two, key)
+
+
 def ranges(rnd, n, span=300):
     out = []
     for _ in range(n):
