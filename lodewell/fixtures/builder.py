@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from ..decode import checksums, compress, crypt, raidz, zap
 from ..decode import nvlist as nv
 from ..decode.blocks import Dva, build_blkptr, build_dnode, build_embedded, build_objset, build_uberblock
-from ..decode.dsl import build_dataset, build_directory
-from ..decode.words import u64s
+from ..decode.dsl import build_dataset, build_directory, build_indirect
+from ..decode.words import pack64, u64s
 
 LABEL = 256 << 10
 HOLE = bytes(128)
@@ -29,6 +29,7 @@ class Volume:
     compression: str = "off"
     checksum: str = "fletcher4"
     key: Key | None = None
+    removed: int | None = None  # written as on this device, which was removed since
 
 
 @dataclass
@@ -77,10 +78,17 @@ class Builder:
         self.rings: list[tuple[int, bytes]] = []
         self.txg = 0
         self.salt: bytes | None = None
+        self.moved: dict[int, list[tuple[int, int, int, int]]] = {}  # of removed devices: (source, size, device, offset)
 
     # -- blocks
 
-    def _place(self, data: bytes) -> Dva:
+    def _place(self, data: bytes, removed: int | None = None) -> Dva:
+        """Where the data stands; on a removed device its address there, a megabyte further than it is now."""
+        if removed is not None:
+            dva = self._place(data)
+            rows = self.moved.setdefault(removed, [])
+            rows.append((dva.offset + (1 << 20), len(data), 0, dva.offset))
+            return Dva(removed, dva.offset + (1 << 20), dva.asize, False)
         sector = 1 << self.ashift
         if self.kind == "raidz":
             n = len(self.images)
@@ -102,7 +110,7 @@ class Builder:
         self.next += -(-asize // sector) * sector
         return dva
 
-    def write(self, data: bytes, type_: int, level: int = 0, compression: str = "off", checksum: str = "fletcher4", embed: bool = False, key: Key | None = None) -> bytes:
+    def write(self, data: bytes, type_: int, level: int = 0, compression: str = "off", checksum: str = "fletcher4", embed: bool = False, key: Key | None = None, removed: int | None = None) -> bytes:
         lsize = len(data)
         body = compress.compress(compression, data) if compression != "off" else data
         if embed and len(body) <= 112:
@@ -120,12 +128,12 @@ class Builder:
             raw[55] |= 1 << 5
             return bytes(raw)
         words = checksums.compute(checksum, body, salt=self.salt)
-        return build_blkptr([self._place(body)], lsize, len(body), compress.CODES[compression], checksums.CODES[checksum], type_, level, self.txg, 1, words)
+        return build_blkptr([self._place(body, removed)], lsize, len(body), compress.CODES[compression], checksums.CODES[checksum], type_, level, self.txg, 1, words)
 
-    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False, key: Key | None = None) -> bytes:
+    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False, key: Key | None = None, removed: int | None = None) -> bytes:
         """The dnode of an object with these blocks; as many levels as they need."""
         last = max(blocks, default=0)
-        level = {i: self.write(b.ljust(blocksize, b"\0"), type_, 0, compression, checksum, embed, key) for i, b in blocks.items()}
+        level = {i: self.write(b.ljust(blocksize, b"\0"), type_, 0, compression, checksum, embed, key, removed) for i, b in blocks.items()}
         levels, fan = 1, 1 << (shift - 7)
         top = last
         while top >= pointers:
@@ -159,7 +167,7 @@ class Builder:
         if c is None:
             return HOLE
         if isinstance(c, Volume):
-            data = self.write_object(23, c.blocks or {0: bytes(c.blocksize)}, c.blocksize, compression=c.compression, checksum=c.checksum, key=c.key)
+            data = self.write_object(23, c.blocks or {0: bytes(c.blocksize)}, c.blocksize, compression=c.compression, checksum=c.checksum, key=c.key, removed=c.removed)
             node = bytearray(data)
             node[16:24] = (-(-c.size // c.blocksize) - 1).to_bytes(8, "little") if node[2] > 1 or not c.blocks else node[16:24]
             return self.write_set(3, {1: bytes(node), 2: self.write_map(24, {"size": c.size})})
@@ -241,7 +249,15 @@ class Builder:
 
         root = tree("", 0)
         salted = {"org.illumos:checksum_salt": self.salt} if self.salt else {}
-        nodes[1] = self.write_map(1, {"root_dataset": root, "config": 0} | salted)
+        tops = [nv.of(type=self.kind, id=0, guid=self.top_guid)]
+        for vdev, rows in self.moved.items():
+            mapping = number()
+            nodes[mapping] = self.write_object(196, {0: build_indirect(rows)}, 4096, bonustype=196, bonus=pack64(0, sum(r[1] for r in rows), len(rows), 0))
+            tops.append(nv.of(**{"type": "indirect", "id": vdev, "com.delphix:indirect_object": mapping}))
+        packed = nv.build(nv.of(name=self.name, vdev_tree=nv.of(type="root", children=tops)))
+        config = number()
+        nodes[config] = self.write_object(3, {0: packed}, 4096, bonustype=4, bonus=pack64(len(packed)))
+        nodes[1] = self.write_map(1, {"root_dataset": root, "config": config} | salted)
         rootbp = self.write_set(1, nodes)
         ub = build_uberblock(txg, timestamp, sum(self.leaf_guids) & ((1 << 64) - 1), rootbp, 1 << max(10, self.ashift))
         self.rings.append((txg, ub))

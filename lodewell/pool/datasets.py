@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from ..decode import Damage, crypt, zap
+from ..decode import nvlist as nv
 from ..decode.blocks import BlkPtr, describe_property
-from ..decode.dsl import Mapped, bpobj, bptree, dataset, deadlist, directory, indirect
+from ..decode.dsl import bpobj, bptree, dataset, deadlist, directory, indirect
 from .reader import Object, Objects, Reader
 
 MAX_DEPTH = 64
@@ -81,15 +82,30 @@ class Meta:
         salt = next((e.data for e in entries if e.name == SALT), None)
         if salt:
             reader.pool.salt = salt
+        self._removed()
 
-    def mappings(self, config_tops: list[dict]) -> dict[int, Mapped]:
-        """Indirect mappings of removed devices: object numbers come from the pool's config."""
-        out = {}
-        for top in config_tops:
-            obj = self.objects.open(top["mapping"])
-            count = int.from_bytes(obj.node.bonus[8:16], "little")
-            out[top["id"]] = indirect(obj.bytes(0, 24 * count), count)
-        return out
+    def _removed(self) -> None:
+        """Mappings of removed devices, which only the pool's own config lists, into the pool.
+
+        A device that can't be mapped stays out, and its pointers unreadable.
+        """
+        try:
+            obj = self.objects.open(self.directory["config"])
+            size = int.from_bytes(obj.node.bonus[:8], "little")
+            tree = nv.child(nv.parse(obj.bytes(0, size)), "vdev_tree") or {}
+        except (Damage, KeyError):
+            return
+        for top in nv.children(tree, "children"):
+            number = nv.u64(top, "com.delphix:indirect_object")
+            vdev = nv.u64(top, "id")
+            if nv.text(top, "type") != "indirect" or number is None or vdev in self.reader.pool.mappings:
+                continue
+            try:
+                mapped = self.objects.open(number)
+                count = int.from_bytes(mapped.node.bonus[16:24], "little")
+                self.reader.pool.mappings[vdev] = indirect(mapped.bytes(0, 24 * count), count)
+            except Damage:
+                continue
 
     def walk(self, pool: str) -> Tree:
         """Every dataset and snapshot, depth first in the order of the maps; what can't be read is listed."""

@@ -513,3 +513,14 @@ def test_devices_beneath(tmp_path):
     os.symlink(base / "sda" / "sda1", base / "sda1")
     (base / "dm-0" / "slaves" / "sda1").mkdir()
     assert medium.beneath("/dev/dm-0", str(base)) == ["sda1", "sda"]
+
+
+def test_volume_on_a_removed_device(spark, tmp_path):
+    b = Builder(str(tmp_path), "mirror", 2, size=SIZE)
+    vol = volume(9, "lz4", "sha256", 12)
+    vol.removed = 1
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, vol, 6)})
+    found, pool = scanned(spark, b.finish())
+    assert commands.dump(spark, found, pool, "tank/vol", str(tmp_path / "v"))["status"] == 0
+    assert open(tmp_path / "v", "rb").read() == image_of(vol)
+    assert list(pool.pool.mappings) == [1] and len(b.moved[1]) == 4
