@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from ..decode import checksums, compress, crypt, raidz, zap
 from ..decode import nvlist as nv
 from ..decode.blocks import Dva, build_blkptr, build_dnode, build_embedded, build_objset, build_uberblock
+from ..decode.draid import Layout
 from ..decode.dsl import build_dataset, build_directory, build_indirect
 from ..decode.words import pack64, u64s
 
@@ -68,6 +69,7 @@ class Item:
 
 class Builder:
     def __init__(self, folder: str, kind: str = "mirror", disks: int = 2, nparity: int = 1, size: int = 16 << 20, ashift: int = 9, name: str = "tank", guid: int = 0xA1B2C3D4E5F60718):
+        self.spread = Layout(disks - nparity - 1, nparity, 1, disks, 1) if kind == "draid" else None  # one group, one spare
         self.kind, self.nparity, self.size, self.ashift, self.name, self.guid = kind, nparity, size, ashift, name, guid
         self.paths = [os.path.join(folder, f"disk{i}.img") for i in range(disks)]
         self.images = [bytearray(size) for _ in range(disks)]
@@ -90,18 +92,23 @@ class Builder:
             rows.append((dva.offset + (1 << 20), len(data), 0, dva.offset))
             return Dva(removed, dva.offset + (1 << 20), dva.asize, False)
         sector = 1 << self.ashift
-        if self.kind == "raidz":
+        if self.kind in ("raidz", "draid"):
             n = len(self.images)
-            asize = raidz.asize(len(data), self.ashift, n, self.nparity)
-            dva = Dva(0, self.next, asize, False)
-            layout = raidz.columns(dva.offset, len(data), self.ashift, n, self.nparity)
-            body, at = [], 0
-            for c in layout[self.nparity :]:
-                body.append(data[at : at + c.size])
-                at += c.size
-            for c, part in zip(layout, raidz.generate(body, self.nparity) + body, strict=True):
-                start = (4 << 20) + c.offset
-                self.images[c.child][start : start + c.size] = part[: c.size].ljust(c.size, b"\0")
+            if self.spread:
+                asize = self.spread.asize(len(data), self.ashift)
+                rows = self.spread.rows(self.next, len(data), self.ashift)
+            else:
+                asize = raidz.asize(len(data), self.ashift, n, self.nparity)
+                rows = [raidz.columns(self.next, len(data), self.ashift, n, self.nparity)]
+            dva, at = Dva(0, self.next, asize, False), 0
+            for layout in rows:
+                body = []
+                for c in layout[self.nparity :]:
+                    body.append(data[at : at + c.size])
+                    at += c.size
+                for c, part in zip(layout, raidz.generate(body, self.nparity) + body, strict=True):
+                    start = (4 << 20) + c.offset
+                    self.images[c.child][start : start + c.size] = part[: c.size].ljust(c.size, b"\0")
         else:
             asize = len(data)
             dva = Dva(0, self.next, asize, False)
@@ -268,7 +275,7 @@ class Builder:
         if self.kind == "single":
             tree = nv.of(type="file", id=0, guid=self.leaf_guids[0], path=f"/dev/{self.name}0", ashift=self.ashift, asize=self.size - (4 << 20))
         else:
-            tree = nv.of(type=self.kind, id=0, guid=self.top_guid, ashift=self.ashift, asize=self.size - (4 << 20), children=leaves, **({"nparity": self.nparity} if self.kind == "raidz" else {}))
+            tree = nv.of(type=self.kind, id=0, guid=self.top_guid, ashift=self.ashift, asize=self.size - (4 << 20), children=leaves, **({"nparity": self.nparity} if self.nparity and self.kind != "mirror" else {}), **({"draid_ndata": self.spread.data, "draid_nspares": 1, "draid_ngroups": 1} if self.spread else {}))
         base = dict(version=5000, name=self.name, state=0, txg=self.rings[-1][0] if self.rings else 0, pool_guid=self.guid, hostid=0x1234, hostname="here", top_guid=self.top_guid, guid=self.leaf_guids[disk], vdev_children=1, vdev_tree=tree, features_for_read=nv.of(**{"com.delphix:hole_birth": True, "org.illumos:lz4_compress": True}))
         return nv.of(**(base | extra))
 

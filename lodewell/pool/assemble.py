@@ -6,9 +6,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from ..decode import nvlist as nv
+from ..decode.draid import Layout
 from ..decode.dsl import feature_support
 from .members import Label, Member, best_label, flatten_tree, read_label, recovered_base
-from .reader import Leaf, Pool, Top
+from .reader import STRIPED, Leaf, Pool, Top
 
 MISSING_CAP = 1024
 
@@ -108,7 +109,12 @@ def assemble(devices: list[Device], refused: dict[int, list[tuple[int, int]]] |
                 listed.add(r["guid"])
                 leaves.append(Leaf(r["guid"], r["path"], device.index if device else None, device.base if device else 0))
             kind = nv.text(tree, "type") or "disk"
-            tops[top] = Top(top, kind if kind in ("mirror", "raidz") else "mirror" if len(leaves) > 1 else "single", nv.u64(tree, "ashift") or 9, nv.u64(tree, "nparity") or 0, leaves)
+            parity = nv.u64(tree, "nparity") or 0
+            spread = None
+            if kind == "draid":
+                numbers = [nv.u64(tree, f"draid_{k}") or 0 for k in ("ndata", "nspares", "ngroups")]
+                spread = Layout(numbers[0], parity, numbers[1], len(leaves), numbers[2])
+            tops[top] = Top(top, kind if kind in ("mirror", *STRIPED) else "mirror" if len(leaves) > 1 else "single", nv.u64(tree, "ashift") or 9, parity, leaves, spread)
         features = nv.child(newest.config, "features_for_read") or {}
         judged = [(name, *feature_support(name)) for name in features]
         pool = Pool(guid, nv.text(newest.config, "name") or "", newest.best.txg, tops, [d.path for d in sorted(devices, key=lambda d: d.index)], refused or {}, children=nv.u64(newest.config, "vdev_children") or len(tops))

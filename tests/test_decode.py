@@ -2,9 +2,10 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from lodewell.decode import Damage, blocks, carve, checksums, compress, dsl, media, raidz, zap
+from lodewell.decode import Damage, blocks, carve, checksums, compress, draid, dsl, media, raidz, zap
 from lodewell.decode import nvlist as nv
 
 
@@ -222,4 +223,30 @@ def test_first_structural_reason():
 
 def test_feature_support():
     assert dsl.feature_support("com.delphix:hole_birth") == ("Yes", None)
-    assert dsl.feature_support("org.openzfs:draid")[0] == "No" and dsl.feature_support("x:y") == ("Unknown", None)
+    assert dsl.feature_support("org.openzfs:raidz_expansion")[0] == "No" and dsl.feature_support("x:y") == ("Unknown", None)
+
+
+def test_distributed_parity_tables():
+    """Every table generates to its recorded checksum, and places data without overlap."""
+    for children, (count, seed, word) in draid.MAPS.items():
+        table = draid.permutations(children, count, seed)
+        assert checksums.fletcher4(table.tobytes())[0] == word
+        assert (np.sort(table, axis=1) == np.arange(children)).all()
+    layout = draid.Layout(3, 2, 1, 11, 2)
+    used, at = set(), 0
+    rnd = random.Random(1)
+    for _ in range(60):
+        psize = rnd.randrange(1, 40) * 4096
+        for row in layout.rows(at, psize, 12):
+            assert len({c.child for c in row}) == layout.width
+            for c in row:
+                cells = {(c.child, c.offset + k) for k in range(0, c.size, 4096)}
+                assert not cells & used
+                used |= cells
+        assert sum(c.size for row in layout.rows(at, psize, 12) for c in row[2:]) == psize
+        at += layout.asize(psize, 12)
+    edge = layout.group_size - layout.asize(4096 * 3, 12)
+    assert len(layout.rows(edge, 4096 * 6, 12)) == 2 and len(layout.rows(edge, 4096 * 3, 12)) == 1
+    assert {layout.spare(0, k * layout.slice_size) for k in range(400)} == set(range(11)) and layout.spare(1, 0) is None
+    with pytest.raises(Damage):
+        draid.Layout(3, 2, 1, 10, 1)

@@ -120,7 +120,7 @@ def test_dump_and_digest(spark, history_pool, tmp_path):
         commands.dump(spark, found, pool, "tank/vol", link)
 
 
-@pytest.mark.parametrize(("kind", "disks", "parity", "lose"), [("mirror", 3, 0, 2), ("raidz", 4, 2, 2), ("raidz", 3, 1, 1), ("raidz", 5, 3, 3), ("single", 1, 0, 0)])
+@pytest.mark.parametrize(("kind", "disks", "parity", "lose"), [("mirror", 3, 0, 2), ("raidz", 4, 2, 2), ("raidz", 3, 1, 1), ("raidz", 5, 3, 3), ("draid", 6, 2, 2), ("draid", 4, 1, 1), ("single", 1, 0, 0)])
 def test_lost_members(tmp_path, kind, disks, parity, lose):
     for compression, checksum in (("off", "fletcher4"), ("gzip-6", "fletcher2"), ("zstd", "sha256"), ("lzjb", "sha512"), ("zle", "fletcher4")):
         b = Builder(str(tmp_path), kind, disks, parity, size=SIZE)
