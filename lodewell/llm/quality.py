@@ -32,6 +32,8 @@ from .common import hash_bucket, id_text, map_batches, texts_of
 
 SAMPLE_ROWS = 3000
 SAMPLE_BLOCKS = 16
+#: Blocks of each label below which all labelled rows serve both purposes.
+LEAST_BLOCKS = 64
 BLOCK = 1024
 DICT_BYTES = 64 << 10
 LEVEL = 3
@@ -93,22 +95,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     allowed = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).filter("label_id is not null and quality in (0, 1)").filter(hash_bucket(F.col("label_id"), FOLDS) != HELD)
     order = F.xxhash64("label_id")
     picked = [allowed.filter(F.col("quality") == q).orderBy(order, "label_id").limit(sample_rows) for q in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).withColumn("part", F.pmod(order, F.lit(2)))
+    chosen = picked[0].unionByName(picked[1]).withColumn("part", F.pmod(order, F.lit(2)).cast("int"))
     own = id_text(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).filter("text is not null")
     rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("quality", "part", "text")  # 2 * sample_rows ids
 
     def sample(batch: pa.RecordBatch) -> dict:
-        return {"quality": batch.column("quality"), "blocks": [_blocks(t, sample_blocks) for t in texts_of(batch, "text")]}
+        return {"quality": batch.column("quality"), "part": batch.column("part"), "blocks": [_blocks(t, sample_blocks) for t in texts_of(batch, "text")]}
 
-    got = map_batches(rows.filter("part = 0").select("quality", "text"), sample, "quality int, blocks array<binary>").collect()
-    sides = {q: sorted((bytes(b) for r in got if r["quality"] == q for b in r["blocks"]), key=lambda b: (len(b), b)) for q in (0, 1)}
-    if min(map(len, sides.values())) < 8:
-        return None
-    built = {q: _dictionary(s) for q, s in sides.items()}
-    if not all(built.values()):
+    got = map_batches(rows.select("quality", "part", "text"), sample, "quality int, part int, blocks array<binary>").collect()
+    halves = {p: {q: [bytes(b) for r in got if r["quality"] == q and r["part"] in (0, p) for b in r["blocks"]] for q in (0, 1)} for p in (0, 1)}
+    enough = min(map(len, halves[0].values())) >= LEAST_BLOCKS
+    sides = halves[0] if enough else halves[1]  # few labelled rows serve the dictionaries and the calibration both
+    if not all(sides.values()):
         return None
+    built = {q: _dictionary(sorted(s, key=lambda b: (len(b), b))) for q, s in sides.items()}
     draft = Model(built[1], built[0], (0.0,) * 4)
-    fitted = measure(rows.filter("part = 1").select(F.col("quality").cast("long").alias("doc_id"), "text"), draft).collect()
+    held = rows.filter("part = 1") if enough else rows
+    fitted = measure(held.select(F.col("quality").cast("long").alias("doc_id"), "text"), draft).collect()
     y = np.array([r["doc_id"] for r in fitted], float)
     if len(set(y)) < 2:
         return None

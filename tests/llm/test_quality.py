@@ -45,5 +45,17 @@ def test_odd_rows(spark, odd, clashing, empty):
 def test_filter_keeps_what_scores_well(spark):
     docs, labels = tables(spark, "sf0.001")
     model = quality.train(docs, labels)
+    assert model is not None
     kept = sorted(r.doc_id for r in quality.keep_good(docs, model).collect())
     assert kept == sorted(r.doc_id for r in quality.score(docs, model).filter("score >= 0.5").collect())
+
+
+def test_odd_labels(spark):
+    """Null ids, null and unknown labels, repeated rows and extra columns in the label table."""
+    from pyspark.sql import functions as F
+
+    docs, labels = tables(spark, "sf0.001")
+    extra = spark.createDataFrame([(None, 1, 0), (5, None, None), (6, 7, 0)], labels.schema)
+    odd_labels = labels.unionByName(extra).unionByName(labels.limit(10)).withColumn("text", F.lit("x")).withColumn("part", F.lit(9))
+    model = quality.train(docs, odd_labels)
+    assert model is not None and all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
