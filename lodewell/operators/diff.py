@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import prefix_max
@@ -34,17 +34,20 @@ def version_events(states: DataFrame, version: str, key: str, fact: str, version
     """Events between consecutive versions of a whole table.
 
     ``states`` has one row per version and key; ``versions`` lists the versions
-    that could be read, as (version, next): an event belongs to the later one.
-    Each state meets its successor by an equi-join, so nothing is held in
-    order: created, changed, destroyed.
+    that could be read, as (version, next), a few rows: an event belongs to
+    the later one. Each state stands once as what its own version has and once
+    as what the next one had before, and the two meet in one aggregation:
+    created, changed, destroyed. The first version is the base.
     """
-    now = states.select(F.col(version).alias("v"), F.col(key).alias("k"), F.col(fact).alias("f"))
-    moved = now.join(F.broadcast(versions.select(F.col(version).alias("v"), F.col("next"))), "v").filter("next is not null").select(F.col("next").alias("v"), "k", F.col("f").alias("old"), F.lit(True).alias("had"))
-    first = versions.agg(F.min(version).alias("first"))
-    later = now.withColumn("has", F.lit(True)).join(F.broadcast(first), F.col("v") > F.col("first")).drop("first")
-    both = moved.join(later, ["v", "k"], "full")
-    kind = F.when(F.col("had").isNull(), "created").when(F.col("has").isNull(), "destroyed").when(~F.col("old").eqNullSafe(F.col("f")), "changed")
-    return both.select(F.col("v").alias(version), F.col("k").alias(key), kind.alias("kind"), F.col("old").alias("before"), F.col("f").alias("after")).filter("kind is not null")
+    known = versions.select(F.col(version).alias("v"), "next", (F.col(version) == F.min(version).over(Window.partitionBy(F.lit(0)))).alias("base"))
+    rows = states.select(F.col(version).alias("v"), F.col(key).alias("k"), F.col(fact).alias("f")).join(F.broadcast(known), "v")
+    nothing = F.lit(None).cast(states.schema[fact].dataType)
+    here = F.when(~F.col("base"), F.struct(F.col("v").alias("at"), F.lit(False).alias("had"), F.lit(True).alias("has"), nothing.alias("old"), F.col("f").alias("new")))
+    later = F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), F.lit(True).alias("had"), F.lit(False).alias("has"), F.col("f").alias("old"), nothing.alias("new")))
+    met = rows.select("k", F.explode(F.array_compact(F.array(here, later))).alias("x")).select("k", "x.*")
+    both = met.groupBy("at", "k").agg(F.max("had").alias("had"), F.max("has").alias("has"), F.max("old").alias("old"), F.max("new").alias("new"))
+    kind = F.when(~F.col("had"), "created").when(~F.col("has"), "destroyed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return both.select(F.col("at").alias(version), F.col("k").alias(key), kind.alias("kind"), F.col("old").alias("before"), F.col("new").alias("after")).filter("kind is not null")
 
 
 def event_order(kind: Column, kinds: Sequence[str]) -> Column:

@@ -134,6 +134,13 @@ def test_diff_of_nulls_and_versions(spark):
     assert {r.k: r.change for r in diff.full_diff(before, after, ["k"], ["f"]).collect()} == {1: "destroyed", 2: "same", 3: "changed", 4: "created"}
 
 
+def test_version_events_with_null_facts(spark):
+    states = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (1, "d", "s"), (2, "a", None), (2, "b", None), (2, "c", "n"), (2, "d", "s"), (5, "c", "m"), (5, "a", "z")], "v int, k string, f string")
+    versions = spark.createDataFrame([(1, 2), (2, 5), (5, None)], "v int, next int")
+    got = sorted((r.v, r.k, r.kind, str(r.before), str(r.after)) for r in diff.version_events(states, "v", "k", "f", versions).collect())
+    assert got == [(2, "b", "changed", "x", "None"), (2, "c", "created", "None", "n"), (5, "a", "changed", "None", "z"), (5, "b", "destroyed", "None", "None"), (5, "c", "changed", "n", "m"), (5, "d", "destroyed", "s", "None")]
+
+
 def test_first_failure_and_misses(spark):
     df = spark.createDataFrame([(1, 9), (5, 1), (0, 0)], "a int, b int")
     checks = [("a_big", F.col("a") > 2), ("a_any", F.col("a") > 0), ("b_big", F.col("b") > 5)]
