@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from ..runtime import Table, write_table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges with u > v; hot nodes are pre-aggregated, then joined (never collected)."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+#: A node with more than this share of the edges, and HOT_ROWS, is hot: there are fewer than 2 / HOT_SHARE such nodes.
+HOT_SHARE, HOT_ROWS = 0.001, 1_000
+
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step on ``count`` edges with u > v: every edge's far end is tied to the least node about its near end.
+
+    The least nodes are pre-aggregated. Edges of hot nodes meet theirs by a
+    broadcast of those few rows, so no task gathers a hot node's edges; all
+    others by a shuffle.
+    """
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = write_table(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-least")
+    limit = max(HOT_ROWS, HOT_SHARE * count)
+    hot, rest = least.df.filter(F.col("n") > limit).select("u", "m"), least.df.filter(F.col("n") <= limit).select("u", "m")
+    own = near.filter("v > u") if large else near
+    few = F.broadcast(hot)
+    tied = own.join(few, "u").unionByName(own.join(F.broadcast(hot.select("u")), "u", "left_anti").join(rest, "u"))
+    out = tied.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        out = out.unionByName(least.df.select("u", F.col("m").alias("v")))
     return out.filter("u != v").distinct()
 
 
@@ -33,8 +45,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> Table:
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        wide = write_table(_star(now.df, True), "cc-large")
-        then = write_table(_star(wide.df, False), "cc-small")
+        wide = write_table(_star(now.df, True, mark[0]), "cc-large")
+        then = write_table(_star(wide.df, False, mark[0]), "cc-small")
         wide.drop()
         now.drop()
         now = then

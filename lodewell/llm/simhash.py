@@ -26,12 +26,15 @@ a null component_id); further columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bits import unsigned
 from ..runtime import Table, write_table
 from .common import id_text, lower_words, map_batches, texts_of
 from .components import connected_components
@@ -43,6 +46,7 @@ STARTS = tuple(sum(WIDTHS[:i]) for i in range(SEGMENTS))
 BUCKET = 64
 SEED = 42
 _BLOCK = 1 << 15
+_WORD = Decimal(1 << 64)
 
 
 def _mixed(h: np.ndarray, view: int) -> np.ndarray:
@@ -186,7 +190,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _view_components(first: DataFrame, distance: int) -> DataFrame:
     """(node, root) of view 0's fingerprints over the links of all views.
 
-    Nodes are (view, fingerprint). Besides the links of each view there is an
+    Nodes are fingerprints of views. Besides the links of each view there is an
     edge from a document's fingerprint in view 0 to its one in another view,
     wherever that one is shared by, or linked to, another's.
     """
@@ -198,11 +202,13 @@ def _view_components(first: DataFrame, distance: int) -> DataFrame:
     across = pairs.df.join(wanted.joinable(), ["view", "other"]).select(_node(F.lit(0), F.col("fp")).alias("u"), _node(F.col("view"), F.col("other")).alias("v"))
     within = found.df.select(_node(F.col("view"), F.col("u")).alias("u"), _node(F.col("view"), F.col("v")).alias("v"))
     roots = connected_components(across.unionByName(within)).df
-    return roots.filter(F.col("node")["view"] == 0).select(F.col("node")["fp"].alias("node"), "root")
+    plain = F.when(F.col("node") >= F.lit(_WORD / 2), F.col("node") - F.lit(_WORD)).otherwise(F.col("node")).cast("long")
+    return roots.filter(F.col("node") < F.lit(_WORD)).select(plain.alias("node"), "root")
 
 
 def _node(view: Column, fp: Column) -> Column:
-    return F.struct(view.cast("int").alias("view"), fp.alias("fp"))
+    """A view's fingerprint as one number; view 0's are the unsigned fingerprints themselves."""
+    return (view.cast("decimal(6,0)") * F.lit(_WORD) + unsigned(fp)).cast("decimal(28,0)")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, views: int = 1) -> DataFrame:

@@ -151,3 +151,29 @@ def test_views_find_near_copies(spark):
 
     one, many = caught(1), caught(16)
     assert one < many and many >= 70
+
+
+def test_components_of_stars_chains_and_loops(spark, monkeypatch):
+    """Hot nodes, long chains and loops against plain union-find."""
+    import random
+
+    from lodewell.llm import components
+
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    rnd = random.Random(4)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(300, 301), (301, 302), (302, 300), (5, 5)] + [(rnd.randrange(400, 500), rnd.randrange(400, 500)) for _ in range(60)]
+    rnd.shuffle(edges)
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).df.collect()}
+    assert got == {x: find(x) for x in root}
