@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import next_value, prefix_max, prefix_sum
+from ..runtime import write_table
+from .prefix import largest_key, next_value, prefix_max, prefix_sum
 
 
 def merge(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -17,9 +18,11 @@ def merge(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "
     island's start is then the running maximum of such starts, so hot keys are
     split like any running maximum.
     """
-    own = df.select(*keys, F.col(start).alias("s"), F.col(end).alias("e")).filter("e > s").groupBy(*keys, "s").agg(F.max("e").alias("e"))
-    marked = prefix_max(own, keys, ["s"], F.col("e"), "reach")
-    islands = prefix_max(marked, keys, ["s"], F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s")), "island", inclusive=True)
+    longest = df.select(*keys, F.col(start).alias("s"), F.col(end).alias("e")).filter("e > s").groupBy(*keys, "s").agg(F.max("e").alias("e"))
+    own = write_table(longest, "intervals").df  # read three times
+    largest = largest_key(own, keys)
+    marked = prefix_max(own, keys, ["s"], F.col("e"), "reach", largest=largest)
+    islands = prefix_max(marked, keys, ["s"], F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s")), "island", inclusive=True, largest=largest)
     return islands.groupBy(*keys, F.col("island").alias(start)).agg(F.max("e").alias(end))
 
 
@@ -39,9 +42,10 @@ def intersect(df: DataFrame, other: DataFrame, keys: Sequence[str], start: str =
 
 def _sweep(both: DataFrame, keys: Sequence[str], start: str, end: str, keep) -> DataFrame:
     edges = both.filter(F.col(end) > F.col(start)).select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.when(F.col("w") == 1, 1).otherwise(0).alias("a"), F.when(F.col("w") == 0, 1).otherwise(0).alias("b")), F.struct(F.col(end).alias("at"), F.when(F.col("w") == 1, -1).otherwise(0).alias("a"), F.when(F.col("w") == 0, -1).otherwise(0).alias("b")))).alias("x")).select(*keys, "x.*")
-    steps = edges.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = prefix_sum(prefix_sum(steps, keys, ["at"], F.col("a"), "_a", inclusive=True), keys, ["at"], F.col("b"), "_b", inclusive=True)
-    level = next_value(counted, keys, "at", "_next").withColumn("_in", F.col("_a") > 0).withColumn("_out", F.col("_b") > 0)
+    steps = write_table(edges.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "edges").df
+    largest = largest_key(steps, keys)
+    counted = prefix_sum(prefix_sum(steps, keys, ["at"], F.col("a"), "_a", True, largest=largest), keys, ["at"], F.col("b"), "_b", True, largest=largest)
+    level = next_value(counted, keys, "at", "_next", largest=largest).withColumn("_in", F.col("_a") > 0).withColumn("_out", F.col("_b") > 0)
     pieces = level.filter(keep & F.col("_next").isNotNull()).select(*keys, F.col("at").alias(start), F.col("_next").alias(end))
     return merge(pieces, keys, start, end)
 
@@ -51,12 +55,15 @@ def replay(log: DataFrame, keys: Sequence[str], seq: str, kind: str, start: str
 
     Entries meet the elementary pieces they cover through the sorted list of
     boundaries of their key, not by comparing every entry with every piece.
+    ``seq`` is not negative and below 2^62.
     """
-    own = log.filter(F.col(end) > F.col(start)).select(*keys, F.col(seq).alias("q"), F.col(kind).alias("kd"), F.col(start).alias("s"), F.col(end).alias("e"))
-    bounds = own.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct()
+    # Order and kind in one number, so that the last writer is a plain maximum.
+    mark = F.col(seq).cast("long") * 2 + (F.col(kind) == alloc).cast("long")
+    own = log.filter(F.col(end) > F.col(start)).select(*keys, mark.alias("q"), F.col(start).alias("s"), F.col(end).alias("e"))
+    bounds = write_table(own.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct(), "bounds").df
     pieces = next_value(bounds, keys, "at", "to").filter("to is not null")
     covered = overlap_join(own, pieces.select(*(F.col(k) for k in keys), F.col("at"), F.col("to")), keys, ("s", "e"), ("at", "to"))
-    last = covered.groupBy(*keys, "at", "to").agg(F.max_by("kd", "q").alias("kd")).filter(F.col("kd") == alloc)
+    last = covered.groupBy(*keys, "at", "to").agg(F.max("q").alias("q")).filter("q % 2 = 1")
     return merge(last.select(*keys, F.col("at").alias(start), F.col("to").alias(end)), keys, start, end)
 
 

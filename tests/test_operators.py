@@ -44,7 +44,7 @@ def test_prefix_sum_and_next(spark, key_rows):
 def test_intervals_with_split_keys(spark, monkeypatch):
     """The same algebra when every key is dealt to several blocks."""
     for name in ("prefix_max", "prefix_sum", "next_value"):
-        monkeypatch.setattr(intervals, name, functools.partial(getattr(intervals, name), key_rows=5))
+        monkeypatch.setattr(intervals, name, functools.partial(getattr(intervals, name), key_rows=3))
     rnd = random.Random(21)
     one, two = ranges(rnd, 60), ranges(rnd, 40)
     a, b = (spark.createDataFrame(x, "k string, start long, end long") for x in (one, two))
