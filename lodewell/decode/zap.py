@@ -116,8 +116,8 @@ def build_micro(values: dict[str, int], size: int | None = None) -> bytes:
     return (pack64(MICRO, 7, 0) + bytes(40) + body).ljust(size, b"\0")
 
 
-def build_fat(values: dict[str, int | str | bytes | list[int]], block: int = 4096) -> list[bytes]:
-    """A header with an embedded table and one leaf; enough for what tests write."""
+def build_fat(values: dict[str, int | str | bytes | list[int] | tuple[int, ...]], block: int = 4096) -> list[bytes]:
+    """A header with an embedded table and one leaf; enough for what tests write. Tuples are 16-bit numbers."""
     shift = block.bit_length() - 1
     hashes = 1 << (shift - 5)
     chunks: list[bytes] = []
@@ -136,6 +136,8 @@ def build_fat(values: dict[str, int | str | bytes | list[int]], block: int = 409
             width, raw = 1, value
         elif isinstance(value, str):
             width, raw = 1, value.encode() + b"\0"
+        elif isinstance(value, tuple):
+            width, raw = 2, b"".join(v.to_bytes(2, "big") for v in value)
         else:
             width, raw = 8, b"".join(v.to_bytes(8, "big") for v in (value if isinstance(value, list) else [value]))
         at = len(chunks)

@@ -18,6 +18,10 @@ from ..decode.words import pack64, u64s
 
 LABEL = 256 << 10
 HOLE = bytes(128)
+SA_MAGIC = 0x2F505A
+#: Registered attributes by number, with their sizes; 0 is variable.
+ATTRIBUTES = (("ZPL_MODE", 8), ("ZPL_SIZE", 8), ("ZPL_GEN", 8), ("ZPL_UID", 8), ("ZPL_GID", 8), ("ZPL_PARENT", 8), ("ZPL_FLAGS", 8), ("ZPL_ATIME", 16), ("ZPL_MTIME", 16), ("ZPL_CTIME", 16), ("ZPL_CRTIME", 16), ("ZPL_LINKS", 8), ("ZPL_SYMLINK", 0), ("ZPL_DXATTR", 0))
+FIXED, SYMLINK, DXATTR = tuple(range(12)), 12, 13
 
 
 @dataclass
@@ -54,6 +58,8 @@ class Files:
 
     files: dict[str, bytes]
     links: dict[str, str] = field(default_factory=dict)
+    attributes: bool = False  # described by registered attributes instead of the fixed layout
+    xattrs: dict[str, dict[str, bytes]] = field(default_factory=dict)  # such files keep theirs in a spill block
 
 
 @dataclass
@@ -137,7 +143,7 @@ class Builder:
         words = checksums.compute(checksum, body, salt=self.salt)
         return build_blkptr([self._place(body, removed)], lsize, len(body), compress.CODES[compression], checksums.CODES[checksum], type_, level, self.txg, 1, words)
 
-    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False, key: Key | None = None, removed: int | None = None) -> bytes:
+    def write_object(self, type_: int, blocks: dict[int, bytes], blocksize: int, *, compression: str = "off", checksum: str = "fletcher4", bonustype: int = 0, bonus: bytes = b"", shift: int = 12, pointers: int = 1, embed: bool = False, key: Key | None = None, removed: int | None = None, spill: bytes = b"") -> bytes:
         """The dnode of an object with these blocks; as many levels as they need."""
         last = max(blocks, default=0)
         level = {i: self.write(b.ljust(blocksize, b"\0"), type_, 0, compression, checksum, embed, key, removed) for i, b in blocks.items()}
@@ -149,7 +155,7 @@ class Builder:
                 raw = b"".join(level.get(i * fan + k, HOLE) for k in range(fan))
                 above[i] = self.write(raw, type_, levels, "lz4", "fletcher4")
             level, levels, top = above, levels + 1, top // fan
-        return build_dnode(type_, blocksize, levels, shift, last, [level.get(i, HOLE) for i in range(pointers)], bonustype, bonus)
+        return build_dnode(type_, blocksize, levels, shift, last, [level.get(i, HOLE) for i in range(pointers)], bonustype, bonus, spill=spill)
 
     def write_map(self, type_: int, values: dict, fat: bool = False) -> bytes:
         if fat or any(not isinstance(v, int) for v in values.values()):
@@ -184,6 +190,20 @@ class Builder:
         words = [1_700_000_000, 5, 1_700_000_001, 6, 1_700_000_002, 7, 1_700_000_003, 8, self.txg, mode, size, parent, links, 0, 0, 0, 1000, 1000]
         return b"".join(w.to_bytes(8, "little") for w in words).ljust(264, b"\0")
 
+    def _described(self, c: Files, path: str, mode: int, size: int, parent: int, links: int, target: bytes = b"") -> dict:
+        """The bonus buffer of a file, and its spill block if it has extended attributes."""
+        if not c.attributes:
+            return {"bonustype": 17, "bonus": self._znode(mode, size, parent, links)}
+        values = [mode, size, self.txg, 1000, 1000, parent, 0, *(1_700_000_000, 5, 1_700_000_001, 6, 1_700_000_002, 7, 1_700_000_003, 8), links]
+        layout = 3 if target else 2
+        head = SA_MAGIC.to_bytes(4, "little") + (layout | 1 << 10).to_bytes(2, "little") + len(target).to_bytes(2, "little")
+        out = {"bonustype": 44, "bonus": head + pack64(*values) + target.ljust(-(-len(target) // 8) * 8, b"\0")}
+        if path in c.xattrs:
+            packed = nv.build(nv.of(**c.xattrs[path]))
+            raw = SA_MAGIC.to_bytes(4, "little") + (4 | 1 << 10).to_bytes(2, "little") + len(packed).to_bytes(2, "little") + packed
+            out["spill"] = self.write(raw.ljust(-(-len(raw) // 512) * 512, b"\0"), 44, 0, "lz4")
+        return out
+
     def _files(self, c: Files) -> dict[int, bytes]:
         numbers = {"": 3}
         parents: dict[str, dict[str, int]] = {"": {}}
@@ -198,19 +218,28 @@ class Builder:
                     parents[above][parts[k - 1]] = numbers[here] | code << 60
                     if not leaf:
                         parents[here] = {}
-        nodes = {1: self.write_map(21, {"VERSION": 4, "ROOT": 3, "DELETE_QUEUE": 2}), 2: self.write_map(22, {})}
+        master = {"VERSION": 4, "ROOT": 3, "DELETE_QUEUE": 2}
+        nodes = {2: self.write_map(22, {})}
+        if c.attributes:
+            top = len(numbers) + 3
+            master |= {"VERSION": 5, "SA_ATTRS": top}
+            nodes[top] = self.write_map(45, {"REGISTRY": top + 1, "LAYOUTS": top + 2})
+            nodes[top + 1] = self.write_map(46, {name: n | 1 << 16 | size << 24 for n, (name, size) in enumerate(ATTRIBUTES)})
+            nodes[top + 2] = self.write_map(47, {"2": FIXED, "3": (*FIXED, SYMLINK), "4": (DXATTR,)})
+        nodes[1] = self.write_map(21, master)
         for path, n in numbers.items():
             above = numbers["/".join(path.split("/")[:-1])] if path else 3
             if path in parents:
                 raw = zap.build_micro(parents[path])
-                nodes[n] = self.write_object(20, {0: raw}, len(raw), bonustype=17, bonus=self._znode(0o40755, len(parents[path]) + 2, above, 2))
+                nodes[n] = self.write_object(20, {0: raw}, len(raw), **self._described(c, path, 0o40755, len(parents[path]) + 2, above, 2))
             elif path in c.links:
                 target = c.links[path].encode()
-                nodes[n] = self.write_object(19, {0: target}, 512, bonustype=17, bonus=self._znode(0o120777, len(target), above))
+                own = self._described(c, path, 0o120777, len(target), above, 1, target)
+                nodes[n] = self.write_object(19, {} if c.attributes else {0: target}, 512, **own)
             else:
                 data = c.files[path]
                 blocks = {i: data[i * 4096 : (i + 1) * 4096] for i in range(-(-len(data) // 4096)) if any(data[i * 4096 : (i + 1) * 4096])}
-                nodes[n] = self.write_object(19, blocks, 4096, bonustype=17, bonus=self._znode(0o100644, len(data), above))
+                nodes[n] = self.write_object(19, blocks, 4096, **self._described(c, path, 0o100644, len(data), above, 1))
         return nodes
 
     # -- versions

@@ -14,6 +14,7 @@ from lodewell.operators import history
 from lodewell.plans import commands
 from lodewell.functions import display
 from lodewell.pool import assemble, datasets, layout, medium, reader
+from lodewell.pool.files import Filesystem
 from lodewell.pool.members import Member, Refused
 from lodewell.sources import blocks as block_source
 from lodewell.sources import evidence, image
@@ -524,3 +525,27 @@ def test_volume_on_a_removed_device(spark, tmp_path):
     assert commands.dump(spark, found, pool, "tank/vol", str(tmp_path / "v"))["status"] == 0
     assert open(tmp_path / "v", "rb").read() == image_of(vol)
     assert list(pool.pool.mappings) == [1] and len(b.moved[1]) == 4
+
+
+def test_files_with_registered_attributes(spark, tmp_path):
+    """Attributes placed by a layout, a link's target among them, extended attributes in a spill block, and case-folded and normalised lookups."""
+    b = Builder(str(tmp_path), "mirror", 2, size=SIZE)
+    content = Files({"dir/Straße": b"data", "dir/café": b"x" * 5000}, {"ln": "dir/Straße"}, attributes=True, xattrs={"dir/café": {"user.one": b"1", "user.two": b"22"}})
+    b.commit(9, 10, {"": ROOT, "fs": Item(3, content, 5)})
+    found, pool = scanned(spark, b.finish())
+    rows = {r.path: r for r in commands.list_files(found, pool, spark, "tank/fs").collect()}
+    assert list(rows) == ["", "dir", "dir/Straße", "dir/café", "ln"] and all(r.error is None for r in rows.values())
+    assert (rows["dir/café"].size, rows["dir/café"].uid, rows["dir/café"].mtime, rows["dir/café"].mode) == (5000, 1000, 1_700_000_001, 0o100644)
+    _, ds, r = commands._find(pool, commands.candidates(found, pool), "tank/fs")
+    fs = Filesystem(r, ds)
+    number = fs.lookup("dir/café".encode())
+    assert fs.lookup("DIR/cafe\u0301".encode()) == number and fs.lookup("dir/STRASSE".encode()) == fs.lookup("dir/Straße".encode())
+    z = fs.znode(fs.objects.get(number))
+    assert fs.xattrs(z) == {"user.one": b"1", "user.two": b"22"}
+    link = fs.lookup(b"ln")
+    assert fs.symlink(link, fs.znode(fs.objects.get(link))) == "dir/Straße".encode()
+    out = tmp_path / "tree"
+    commands.extract_files(found, pool, spark, "tank/fs", str(out)).collect()
+    assert (out / "dir" / "Straße").read_bytes() == b"data" and os.readlink(out / "ln") == "dir/Straße"
+    with pytest.raises(Damage, match="does not exist"):
+        fs.lookup(b"dir/none")
