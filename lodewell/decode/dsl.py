@@ -13,9 +13,9 @@ from .words import LITTLE, bits, pack64, u64s
 READABLE_FEATURES = (
     "org.open-zfs:large_blocks", "com.delphix:hole_birth", "com.delphix:embedded_data", "com.delphix:extensible_dataset", "org.illumos:lz4_compress", "org.freebsd:zstd_compress",
     "org.zfsonlinux:large_dnode", "org.illumos:sha512", "com.delphix:device_removal", "com.delphix:obsolete_counts", "com.delphix:spacemap_v2", "com.delphix:spacemap_histogram",
-    "com.delphix:enabled_txg", "com.delphix:empty_bpobj", "com.joyent:multi_vdev_crash_dump", "org.illumos:skein", "org.openzfs:blake3", "org.openzfs:draid", "com.delphix:bookmarks", "org.zfsonlinux:allocation_classes", "com.datto:resilver_defer",
+    "com.delphix:enabled_txg", "com.delphix:empty_bpobj", "com.joyent:multi_vdev_crash_dump", "org.illumos:skein", "org.openzfs:blake3", "org.openzfs:draid", "com.delphix:bookmarks", "org.zfsonlinux:allocation_classes", "com.datto:resilver_defer", "com.datto:encryption",
 )
-UNREADABLE_FEATURES = {"org.illumos:edonr": "checksum not built", "com.datto:encryption": "file attributes stay encrypted; volumes need a key", "org.openzfs:raidz_expansion": "layout not built"}
+UNREADABLE_FEATURES = {"org.illumos:edonr": "checksum not built", "org.openzfs:raidz_expansion": "layout not built"}
 
 
 def feature_support(name: str) -> tuple[str, str | None]:

@@ -60,6 +60,7 @@ class Files:
     links: dict[str, str] = field(default_factory=dict)
     attributes: bool = False  # described by registered attributes instead of the fixed layout
     xattrs: dict[str, dict[str, bytes]] = field(default_factory=dict)  # such files keep theirs in a spill block
+    key: Key | None = None
 
 
 @dataclass
@@ -134,7 +135,8 @@ class Builder:
         body = body.ljust(-(-len(body) // sector) * sector, b"\0")
         if key is not None:
             salt, iv = os.urandom(8), os.urandom(12)
-            body, tag = crypt.seal(crypt.SUITES[key.suite][0], crypt.block_key(key.master, salt), iv, body)
+            own = crypt.block_key(key.master, salt)
+            body, tag = crypt.seal_dnodes(key.suite, own, iv, body) if type_ == 10 else crypt.seal(crypt.SUITES[key.suite][0], own, iv, body)
             words = (*checksums.sha256(body)[:2], *u64s(tag, 0, 2))
             raw = bytearray(build_blkptr([self._place(body)], lsize, len(body), compress.CODES[compression], checksums.CODES["sha256"], type_, level, self.txg, 1, words))
             raw[32:48], raw[92:96] = salt + iv[:8], iv[8:]
@@ -157,20 +159,20 @@ class Builder:
             level, levels, top = above, levels + 1, top // fan
         return build_dnode(type_, blocksize, levels, shift, last, [level.get(i, HOLE) for i in range(pointers)], bonustype, bonus, spill=spill)
 
-    def write_map(self, type_: int, values: dict, fat: bool = False) -> bytes:
+    def write_map(self, type_: int, values: dict, fat: bool = False, key: Key | None = None) -> bytes:
         if fat or any(not isinstance(v, int) for v in values.values()):
             parts = zap.build_fat(values)
-            return self.write_object(type_, dict(enumerate(parts)), len(parts[0]))
+            return self.write_object(type_, dict(enumerate(parts)), len(parts[0]), key=key)
         raw = zap.build_micro(values)
-        return self.write_object(type_, {0: raw}, len(raw))
+        return self.write_object(type_, {0: raw}, len(raw), key=key)
 
-    def write_set(self, kind: int, nodes: dict[int, bytes]) -> bytes:
+    def write_set(self, kind: int, nodes: dict[int, bytes], key: Key | None = None) -> bytes:
         size = 16 << 10
         blocks: dict[int, bytearray] = {}
         for n, node in nodes.items():
             block = blocks.setdefault(n // 32, bytearray(size))
             block[n % 32 * 512 : n % 32 * 512 + len(node)] = node
-        meta = self.write_object(10, {k: bytes(v) for k, v in blocks.items()}, size, compression="lz4")
+        meta = self.write_object(10, {k: bytes(v) for k, v in blocks.items()}, size, compression="off" if key else "lz4", key=key)
         return self.write(build_objset(meta, kind), 11, 0, "lz4")
 
     # -- contents
@@ -184,7 +186,7 @@ class Builder:
             node = bytearray(data)
             node[16:24] = (-(-c.size // c.blocksize) - 1).to_bytes(8, "little") if node[2] > 1 or not c.blocks else node[16:24]
             return self.write_set(3, {1: bytes(node), 2: self.write_map(24, {"size": c.size})})
-        return self.write_set(2, self._files(c))
+        return self.write_set(2, self._files(c), c.key)
 
     def _znode(self, mode: int, size: int, parent: int, links: int = 1) -> bytes:
         words = [1_700_000_000, 5, 1_700_000_001, 6, 1_700_000_002, 7, 1_700_000_003, 8, self.txg, mode, size, parent, links, 0, 0, 0, 1000, 1000]
@@ -201,7 +203,7 @@ class Builder:
         if path in c.xattrs:
             packed = nv.build(nv.of(**c.xattrs[path]))
             raw = SA_MAGIC.to_bytes(4, "little") + (4 | 1 << 10).to_bytes(2, "little") + len(packed).to_bytes(2, "little") + packed
-            out["spill"] = self.write(raw.ljust(-(-len(raw) // 512) * 512, b"\0"), 44, 0, "lz4")
+            out["spill"] = self.write(raw.ljust(-(-len(raw) // 512) * 512, b"\0"), 44, 0, "lz4", key=c.key)
         return out
 
     def _files(self, c: Files) -> dict[int, bytes]:
@@ -219,27 +221,27 @@ class Builder:
                     if not leaf:
                         parents[here] = {}
         master = {"VERSION": 4, "ROOT": 3, "DELETE_QUEUE": 2}
-        nodes = {2: self.write_map(22, {})}
+        nodes = {2: self.write_map(22, {}, key=c.key)}
         if c.attributes:
             top = len(numbers) + 3
             master |= {"VERSION": 5, "SA_ATTRS": top}
-            nodes[top] = self.write_map(45, {"REGISTRY": top + 1, "LAYOUTS": top + 2})
-            nodes[top + 1] = self.write_map(46, {name: n | 1 << 16 | size << 24 for n, (name, size) in enumerate(ATTRIBUTES)})
-            nodes[top + 2] = self.write_map(47, {"2": FIXED, "3": (*FIXED, SYMLINK), "4": (DXATTR,)})
+            nodes[top] = self.write_map(45, {"REGISTRY": top + 1, "LAYOUTS": top + 2}, key=c.key)
+            nodes[top + 1] = self.write_map(46, {name: n | 1 << 16 | size << 24 for n, (name, size) in enumerate(ATTRIBUTES)}, key=c.key)
+            nodes[top + 2] = self.write_map(47, {"2": FIXED, "3": (*FIXED, SYMLINK), "4": (DXATTR,)}, key=c.key)
         nodes[1] = self.write_map(21, master)
         for path, n in numbers.items():
             above = numbers["/".join(path.split("/")[:-1])] if path else 3
             if path in parents:
                 raw = zap.build_micro(parents[path])
-                nodes[n] = self.write_object(20, {0: raw}, len(raw), **self._described(c, path, 0o40755, len(parents[path]) + 2, above, 2))
+                nodes[n] = self.write_object(20, {0: raw}, len(raw), key=c.key, **self._described(c, path, 0o40755, len(parents[path]) + 2, above, 2))
             elif path in c.links:
                 target = c.links[path].encode()
                 own = self._described(c, path, 0o120777, len(target), above, 1, target)
-                nodes[n] = self.write_object(19, {} if c.attributes else {0: target}, 512, **own)
+                nodes[n] = self.write_object(19, {} if c.attributes else {0: target}, 512, key=c.key, **own)
             else:
                 data = c.files[path]
                 blocks = {i: data[i * 4096 : (i + 1) * 4096] for i in range(-(-len(data) // 4096)) if any(data[i * 4096 : (i + 1) * 4096])}
-                nodes[n] = self.write_object(19, blocks, 4096, **self._described(c, path, 0o100644, len(data), above, 1))
+                nodes[n] = self.write_object(19, blocks, 4096, key=c.key, **self._described(c, path, 0o100644, len(data), above, 1))
         return nodes
 
     # -- versions
@@ -276,7 +278,7 @@ class Builder:
             nodes[head] = build_dnode(16, 512, 1, 12, 0, [HOLE], 16, build_dataset(me, 1_600_000_000 + item.creation_txg, item.creation_txg, item.guid, bp, snapnames=snaps, deadlist=dead, referenced=8192))
             bonus = build_directory(1_600_000_000 + item.creation_txg, head, parent, 0, kids, 8192, props)
             nodes[me] = build_dnode(12, 512, 1, 12, 0, [HOLE], 12, bonus)
-            if isinstance(item.content, Volume) and item.content.key:
+            if item.content is not None and item.content.key:
                 keys = number()
                 nodes[keys] = self.write_map(196, item.content.key.entries())
                 raw = zap.build_micro({"com.datto:crypto_key_obj": keys})

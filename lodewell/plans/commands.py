@@ -614,11 +614,11 @@ def carve_roots(spark: SparkSession, pool: topology.Assembly, codecs: tuple[str,
 # -- files
 
 
-def list_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, name: str, path: str = "", recursive: bool = True, txg: int | None = None) -> DataFrame:
+def list_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, name: str, path: str = "", recursive: bool = True, txg: int | None = None, key: str | None = None) -> DataFrame:
     """Entries of a file system, depth first; names are bytes, with a text form to show."""
 
     def one(roots):
-        _, ds, reader = _find(pool, roots, name)
+        _, ds, reader = _find(pool, roots, name, key)
         fs = Filesystem(reader, ds)
         start = fs.lookup(path.encode("utf-8", "surrogateescape")) if path else None
         for i, e in enumerate(fs.walk(start, path.encode("utf-8", "surrogateescape"), recursive)):
@@ -633,10 +633,10 @@ def list_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, n
     return shown.withColumn("second_name", twice).withColumn("hardlink_to", F.when((F.col("kind") == "file") & (content != F.col("path")), content)).orderBy("seq")
 
 
-def extract_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, name: str, output: str, txg: int | None = None) -> DataFrame:
+def extract_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, name: str, output: str, txg: int | None = None, key: str | None = None) -> DataFrame:
     """A file system's tree under a new folder, and its manifest; contents are written by many tasks."""
     image.guard(output, pool.pool.paths)
-    entries = list_files(scanned, pool, spark, name, txg=txg).collect()
+    entries = list_files(scanned, pool, spark, name, txg=txg, key=key).collect()
     os.makedirs(output)
     for e in entries:  # folders first, in walk order
         if e["kind"] == "dir" and e["path"]:
@@ -646,7 +646,7 @@ def extract_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession
     step = max(1, -(-len(wanted) // (spark.sparkContext.defaultParallelism * 2)))
 
     def some(item):
-        _, ds, reader = _find(pool, roots, name)
+        _, ds, reader = _find(pool, roots, name, key)
         fs = Filesystem(reader, ds)
         for seq, path_hex, number, size in item:
             target, sha, error = _inside(output, bytes.fromhex(path_hex)), hashlib.sha256(), None
@@ -668,7 +668,7 @@ def extract_files(scanned: Scanned, pool: topology.Assembly, spark: SparkSession
             yield (seq, sha.hexdigest() if error is None else None, error)
 
     done = _tasks(spark, [wanted[i : i + step] for i in range(0, len(wanted), step)], some, "seq int, sha256 string, write_error string")
-    manifest = list_files(scanned, pool, spark, name, txg=txg).join(write_table(done, "extract").df, "seq", "left")
+    manifest = list_files(scanned, pool, spark, name, txg=txg, key=key).join(write_table(done, "extract").df, "seq", "left")
     for e in entries:
         if e["hardlink_to"] is not None:
             os.link(os.path.join(output, e["hardlink_to"]), _inside(output, bytes.fromhex(e["path_hex"])))

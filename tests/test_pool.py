@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodewell.decode import Damage, blocks, carve, checksums
+from lodewell.decode import Damage, blocks, carve, checksums, crypt
 from lodewell.decode import dsl as dsl_decode
 from lodewell.decode.blocks import Dva
 from lodewell.fixtures.builder import Builder, Files, Item, Key, Volume
@@ -549,3 +549,29 @@ def test_files_with_registered_attributes(spark, tmp_path):
     assert (out / "dir" / "Straße").read_bytes() == b"data" and os.readlink(out / "ln") == "dir/Straße"
     with pytest.raises(Damage, match="does not exist"):
         fs.lookup(b"dir/none")
+
+
+@pytest.mark.parametrize("suite", [5, 8])
+def test_encrypted_files(spark, tmp_path, suite):
+    """Names, attributes and contents of an encrypted file system need its key; a forged attribute is refused."""
+    key = Key(suite, random.Random(1).randbytes(32), b"open sesame")
+    b = Builder(str(tmp_path), "single", 1, size=SIZE)
+    content = Files({"dir/a": b"data", "dir/b": b"x" * 5000}, {"ln": "dir/a"}, attributes=True, xattrs={"dir/b": {"user.one": b"1"}}, key=key)
+    b.commit(9, 10, {"": ROOT, "fs": Item(3, content, 5)})
+    found, pool = scanned(spark, b.finish())
+    with pytest.raises(Exception, match="the block is encrypted"):
+        commands.list_files(found, pool, spark, "tank/fs").collect()
+    spec = "passphrase:open sesame"
+    rows = {r.path: (r.kind, r.size, r.error) for r in commands.list_files(found, pool, spark, "tank/fs", key=spec).collect()}
+    assert rows == {"": ("dir", 3 + 1, None), "dir": ("dir", 4, None), "dir/a": ("file", 4, None), "dir/b": ("file", 5000, None), "ln": ("symlink", 5, None)}
+    out = tmp_path / "tree"
+    commands.extract_files(found, pool, spark, "tank/fs", str(out), key=spec).collect()
+    assert (out / "dir" / "a").read_bytes() == b"data" and (out / "dir" / "b").read_bytes() == b"x" * 5000 and os.readlink(out / "ln") == "dir/a"
+    nodes = blocks.build_dnode(19, 512, 1, 12, 0, [bytes(128)], 44, b"secret attributes") + bytes(512)
+    sealed, tag = crypt.seal_dnodes(suite, crypt.block_key(key.master, b"s" * 8), b"i" * 12, nodes)
+    pointer = bytes(32) + b"s" * 8 + b"i" * 8 + bytes(44) + b"i" * 4 + bytes(16) + tag
+    assert b"secret" not in sealed and crypt.decrypt_dnodes(suite, key.master, pointer, sealed) == nodes
+    forged = bytearray(sealed)
+    forged[20] ^= 1
+    with pytest.raises(Damage):
+        crypt.decrypt_dnodes(suite, key.master, pointer, bytes(forged))
