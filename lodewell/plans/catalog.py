@@ -28,7 +28,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cents(c: str):
-    return F.col(c).cast("decimal(18,2)")
+    """Two decimals, as a double: the same number on both sides however it was summed."""
+    return F.col(c).cast("decimal(18,2)").cast("double")
+
+
+def or_else(c: str, value: int):
+    """A number in place of null, so that both engines hand on whole numbers."""
+    return F.coalesce(F.col(c), F.lit(value).cast("long")).alias(c)
 
 
 def month(ts: str):
@@ -40,7 +46,7 @@ MONTH_SQL = "(year({0}) * 12 + month({0}))"
 KINDS = ("created", "changed", "destroyed")
 
 
-@query("""select user_id, event_id, event_type, cast(value as decimal(18,2)) as value from events
+@query("""select user_id, event_id, event_type, cast(cast(value as decimal(18,2)) as double) as value from events
 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
 def q_latest_per_key(spark, d):
     return latest.newest(t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id", "event_type", "value"]).withColumn("value", cents("value"))
@@ -59,14 +65,14 @@ def q_asof_before(spark, d):
     return latest.as_of(o, ["o_custkey"], F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp"), [F.col("o_orderkey")]).drop("o_orderdate")
 
 
-@query("""select e.event_id, e.user_id, p.event_id as prev_event_id from (select * from events where event_type = 'error') e
+@query("""select e.event_id, e.user_id, coalesce(p.event_id, -1) as prev_event_id from (select * from events where event_type = 'error') e
 left join (select event_id, user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events where event_type = 'purchase') p
 on e.user_id = p.user_id and p.ts <= e.ts and (p.nxt is null or p.nxt > e.ts)""")
 def q_asof_join(spark, d):
     e = t(spark, d, "events")
     errors = e.filter("event_type = 'error'").select("event_id", "user_id", "ts")
     purchases = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return latest.as_of_join(errors, purchases, ["user_id"], "ts", "ts", ["event_id"], tie=["event_id"]).drop("ts")
+    return latest.as_of_join(errors, purchases, ["user_id"], "ts", "ts", ["event_id"], tie=["event_id"]).drop("ts").withColumn("prev_event_id", or_else("prev_event_id", -1))
 
 
 def _customers_in(spark, d, year: int) -> DataFrame:
@@ -87,13 +93,14 @@ def q_destroyed_since(spark, d):
 
 @query("""with b as (select o_custkey, count(*) as n from orders where year(o_orderdate) = 1996 group by 1),
 a as (select o_custkey, count(*) as n from orders where year(o_orderdate) = 1997 group by 1)
-select coalesce(b.o_custkey, a.o_custkey) as o_custkey, b.n as before_n, a.n as after_n,
+select coalesce(b.o_custkey, a.o_custkey) as o_custkey, coalesce(b.n, 0) as before_n, coalesce(a.n, 0) as after_n,
 case when b.n is null then 'created' when a.n is null then 'destroyed' when a.n = b.n then 'same' else 'changed' end as change
 from b full join a on a.o_custkey = b.o_custkey""")
 def q_full_diff(spark, d):
     o = t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
     before, after = (o.filter(F.col("y") == y).groupBy("o_custkey").agg(F.count("*").alias("n")) for y in (1996, 1997))
-    return diff.full_diff(before, after, ["o_custkey"], ["n"])
+    found = diff.full_diff(before, after, ["o_custkey"], ["n"])
+    return found.withColumn("before_n", or_else("before_n", 0)).withColumn("after_n", or_else("after_n", 0))
 
 
 def _states(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -116,12 +123,12 @@ later as (select * from states where version > (select min(version) from months)
 both_sides as (select coalesce(a.version, b.version) as version, coalesce(a.o_custkey, b.o_custkey) as o_custkey, b.n as before, a.n as after
   from moved b full join later a on a.version = b.version and a.o_custkey = b.o_custkey)
 select version, o_custkey, case when before is null then 'created' when after is null then 'destroyed' else 'changed' end as kind,
-before, after, case when before is null then 0 when after is null then 2 else 1 end as kind_ord
+coalesce(before, 0) as before, coalesce(after, 0) as after, case when before is null then 0 when after is null then 2 else 1 end as kind_ord
 from both_sides where before is distinct from after""")
 def q_timeline_events(spark, d):
     states, months = _states(spark, d)
     events = diff.version_events(states, "version", "o_custkey", "n", months)
-    return events.withColumn("kind_ord", diff.event_order(F.col("kind"), KINDS))
+    return events.select("version", "o_custkey", "kind", or_else("before", 0), or_else("after", 0), diff.event_order(F.col("kind"), KINDS).alias("kind_ord"))
 
 
 @query(f"""with {_STATES_SQL}
@@ -216,16 +223,16 @@ def _sessions(spark, d) -> DataFrame:
 @query("""with taken as (select user_id, epoch(ts)::bigint as s, epoch(ts)::bigint + 7200 as e from events where event_type = 'purchase'),
 known as (select user_id, count(*) filter (where event_type = 'error') % 2 as unreadable from events where user_id % 3 <> 0 group by 1),
 r as (select event_id, user_id, epoch(ts)::bigint as s, epoch(ts)::bigint + 60 as e from events where event_type = 'click')
-select r.event_id, case when k.user_id is null then null
-when exists (select 1 from taken t where t.user_id = r.user_id and t.s < r.e and r.s < t.e) then true
-when k.unreadable > 0 then null else false end as allocated
+select r.event_id, case when k.user_id is null then 'unknown'
+when exists (select 1 from taken t where t.user_id = r.user_id and t.s < r.e and r.s < t.e) then 'true'
+when k.unreadable > 0 then 'unknown' else 'false' end as allocated
 from r left join known k on k.user_id = r.user_id""")
 def q_overlap_flag(spark, d):
     e = t(spark, d, "events")
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     ranges = e.filter("event_type = 'click'").select("event_id", "user_id", s.alias("start"), (s + 60).alias("end"))
     known = e.filter("user_id % 3 <> 0").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") % 2).alias("unreadable"))
-    return intervals.overlap_flag(ranges, _sessions(spark, d), ["user_id"], "event_id", known, "unreadable").select("event_id", "allocated")
+    return intervals.overlap_flag(ranges, _sessions(spark, d), ["user_id"], "event_id", known, "unreadable").select("event_id", F.coalesce(F.col("allocated").cast("string"), F.lit("unknown")).alias("allocated"))
 
 
 def _remap_tables(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -287,16 +294,16 @@ def _profile():
 _SCORE_SQL = "(p_size / 50.0)"
 
 
-@query(f"""select p_partkey, cast(round(case when p_size <= 40 and p_brand like '%1' then 0.55 + 0.45 * {_SCORE_SQL} else 0.45 * {_SCORE_SQL} end, 6) as decimal(18,6)) as score,
+@query(f"""select p_partkey, cast(round(case when p_size <= 40 and p_brand like '%1' then 0.55 + 0.45 * {_SCORE_SQL} else 0.45 * {_SCORE_SQL} end, 6) as double) as score,
 p_size <= 40 and p_brand like '%1' as strict_keeps from part""")
 def q_soft_vs_strict(spark, d):
     missed = F.size(classify.misses(_profile())) == 0
     score = classify.rank_band(F.col("p_size") / F.lit(50.0), missed)
-    return t(spark, d, "part").select("p_partkey", F.round(score, 6).cast("decimal(18,6)").alias("score"), missed.alias("strict_keeps"))
+    return t(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"), missed.alias("strict_keeps"))
 
 
 @query(f"""with s as (select p_partkey, round(case when p_size <= 40 and p_brand like '%1' then 0.55 + 0.45 * {_SCORE_SQL} else 0.45 * {_SCORE_SQL} end, 6) as score from part)
-select 'c' || lpad(cast(row_number() over (order by score desc, p_partkey) as varchar), 4, '0') as id, p_partkey, cast(score as decimal(18,6)) as score
+select 'c' || lpad(cast(row_number() over (order by score desc, p_partkey) as varchar), 4, '0') as id, p_partkey, cast(score as double) as score
 from s order by s.score desc, p_partkey limit 500""")
 def q_rank_bands(spark, d):
     scored = q_soft_vs_strict(spark, d).select("p_partkey", "score")
@@ -316,10 +323,10 @@ def q_histogram_1000(spark, d):
     return classify.histogram(t(spark, d, "orders"), F.col("o_orderkey"), 1000)
 
 
-@query("""select l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as decimal(18,2)) as quantity from lineitem where l_orderkey % 7 = 0 group by 1""")
+@query("""select l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity from lineitem where l_orderkey % 7 = 0 group by 1""")
 def q_stride_sample(spark, d):
     few = t(spark, d, "lineitem").filter(classify.stride(F.col("l_orderkey"), 7))
-    return few.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(cents("l_quantity")).cast("decimal(18,2)").alias("quantity"))
+    return few.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
 
 
 @query("""with c as (select s_suppkey, s_suppkey % 25 as base from supplier),
@@ -362,24 +369,25 @@ def q_digest_verdict(spark, d):
 
 
 @query("""select l_orderkey, bit_xor(l_partkey) as parity,
-bit_xor(l_partkey) filter (where l_linenumber <> 1) as others, xor(bit_xor(l_partkey), coalesce(bit_xor(l_partkey) filter (where l_linenumber <> 1), 0)) as rebuilt
+coalesce(bit_xor(l_partkey) filter (where l_linenumber <> 1), 0) as others, xor(bit_xor(l_partkey), coalesce(bit_xor(l_partkey) filter (where l_linenumber <> 1), 0)) as rebuilt
 from lineitem group by 1""")
 def q_parity_xor(spark, d):
-    others = F.bit_xor(F.when(F.col("l_linenumber") != 1, F.col("l_partkey")))
+    others = F.coalesce(F.bit_xor(F.when(F.col("l_linenumber") != 1, F.col("l_partkey"))), F.lit(0).cast("long"))
     whole = integrity.parity(F.col("l_partkey"))
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(whole.alias("parity"), others.alias("others"), whole.bitwiseXOR(F.coalesce(others, F.lit(0).cast("long"))).alias("rebuilt"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(whole.alias("parity"), others.alias("others"), whole.bitwiseXOR(others).alias("rebuilt"))
 
 
 @query("""with x as (select l_orderkey, l_partkey as w, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i,
 count(*) over (partition by l_orderkey) as n from lineitem)
-select l_orderkey, cast(sum(w::hugeint) % 18446744073709551616 as decimal(38,0)) as a, cast(sum(w::hugeint * (n - i)) % 18446744073709551616 as decimal(38,0)) as b,
-cast(sum(w::hugeint * ((n - i) * (n - i + 1) // 2)) % 18446744073709551616 as decimal(38,0)) as c from x group by 1""")
+select l_orderkey, cast(sum(w::hugeint) % 18446744073709551616 as varchar) as a, cast(sum(w::hugeint * (n - i)) % 18446744073709551616 as varchar) as b,
+cast(sum(w::hugeint * ((n - i) * (n - i + 1) // 2)) % 18446744073709551616 as varchar) as c from x group by 1""")
 def q_fletcher(spark, d):
     from pyspark.sql import Window
 
     by = Window.partitionBy("l_orderkey")
     x = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).alias("i"), F.count("*").over(by).alias("n"))
-    return integrity.cascaded_sums(x, ["l_orderkey"], "i", "l_partkey", "n")
+    sums = integrity.cascaded_sums(x, ["l_orderkey"], "i", "l_partkey", "n")
+    return sums.select("l_orderkey", *(F.col(c).cast("string").alias(c) for c in "abc"))
 
 
 @query("""with w as (select p_partkey, ((p_partkey & 1048575) << 20) | (((p_size::bigint) & 63) << 8) | (p_partkey % 7) as word from part)
@@ -549,17 +557,17 @@ def q_mirror_dedup(spark, d):
     return t(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("kept"), F.count("*").alias("copies"))
 
 
-@query("""select o_orderkey, cast(o_totalprice as decimal(18,2)) as price from orders order by o_totalprice desc, o_orderkey limit 100""")
+@query("""select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as double) as price from orders order by o_totalprice desc, o_orderkey limit 100""")
 def q_top_k(spark, d):
     return t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", cents("o_totalprice").alias("price"))
 
 
 @query("""with f as (select l_orderkey, l_linenumber, min(case when l_returnflag <> 'R' then l_suppkey * 10 + l_linenumber end) over (partition by l_orderkey) as good from lineitem)
-select l_orderkey, min(good) as first_verified from f group by 1""")
+select l_orderkey, coalesce(min(good), -1) as first_verified from f group by 1""")
 def q_first_verified_copy(spark, d):
     order = F.struct((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("o"))
     copies = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_returnflag") != "R", order)).alias("best"))
-    return copies.select("l_orderkey", F.col("best")["o"].alias("first_verified"))
+    return copies.select("l_orderkey", F.coalesce(F.col("best")["o"], F.lit(-1).cast("long")).alias("first_verified"))
 
 
 @query("""select case when n > 5 then 4 when missing > 0 then 3 else 0 end as status, count(*) as n from
