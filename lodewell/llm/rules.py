@@ -127,7 +127,7 @@ with docs as (
 ), lines as (
   select doc_id, host, unnest(string_split(text, chr(10))) as line from docs
 ), dup as (
-  select doc_id, sum(n - 1) as n_dup_lines
+  select doc_id, sum(n - 1)::bigint as n_dup_lines
   from (select doc_id, line, count(*) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by all)
   group by doc_id
 ), windows as (
@@ -149,7 +149,7 @@ over_limit as (
   from eligible e join hosts h on e.host = h.host
   group by e.host, e.norm, h.docs having count(distinct e.doc_id) > greatest({MIN_DOCS}, {SHARE} * h.docs)
 ), removed as (
-  select e.doc_id, sum(e.words) as removed_words
+  select e.doc_id, sum(e.words)::bigint as removed_words
   from eligible e join over_limit o on e.host = o.host and e.norm = o.norm
   where e.doc_id <> o.first_doc group by e.doc_id
 )
