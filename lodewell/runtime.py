@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,15 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let the Python workers import this package from where the driver has it, if that folder is there for them too."""
+    here = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
