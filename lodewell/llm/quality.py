@@ -100,12 +100,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("quality", "part", "text")  # 2 * sample_rows ids
 
     def sample(batch: pa.RecordBatch) -> dict:
-        return {"quality": batch.column("quality"), "part": batch.column("part"), "blocks": [_blocks(t, sample_blocks) for t in texts_of(batch, "text")]}
+        return {"quality": batch.column("quality"), "blocks": [_blocks(t, sample_blocks) for t in texts_of(batch, "text")]}
 
-    got = map_batches(rows.select("quality", "part", "text"), sample, "quality int, part int, blocks array<binary>").collect()
-    halves = {p: {q: [bytes(b) for r in got if r["quality"] == q and r["part"] in (0, p) for b in r["blocks"]] for q in (0, 1)} for p in (0, 1)}
-    enough = min(map(len, halves[0].values())) >= LEAST_BLOCKS
-    sides = halves[0] if enough else halves[1]  # few labelled rows serve the dictionaries and the calibration both
+    def blocks_of(part: DataFrame) -> dict[int, list[bytes]]:
+        got = map_batches(part.select("quality", "text"), sample, "quality int, blocks array<binary>").collect()  # sample_rows * sample_blocks * BLOCK bytes a label
+        return {q: [bytes(b) for r in got if r["quality"] == q for b in r["blocks"]] for q in (0, 1)}
+
+    sides = blocks_of(rows.filter("part = 0"))
+    enough = min(map(len, sides.values())) >= LEAST_BLOCKS
+    if not enough:  # few labelled rows serve the dictionaries and the calibration both
+        sides = blocks_of(rows)
     if not all(sides.values()):
         return None
     built = {q: _dictionary(sorted(s, key=lambda b: (len(b), b))) for q, s in sides.items()}
