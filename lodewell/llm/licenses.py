@@ -1,14 +1,16 @@
 """License scan: Dice coefficient of word bigrams against licence templates.
 
-A document's units are its whole text, each line, and each run of two or more
-lines that look like licence text. Unit and template are ASCII-lower-cased
-words; their bigrams are multisets. A unit matches the template with the
-highest Dice coefficient if that is ``threshold`` or more.
+A document's units are its whole text, each line, and each span of two or more
+consecutive lines. Unit and template are ASCII-lower-cased words; their bigrams
+are multisets. A unit matches the template with the highest Dice coefficient if
+that is ``threshold`` or more. Of the lines and spans that match one template and
+overlap, a span is reported only if it is the best (of equals, the one of fewer
+lines, then the first); matching lines and whole texts are always reported.
 
 Two exact bounds prune: with a coefficient of t, sizes differ by a factor of
 (2 - t) / t at most, so only templates within that range of the unit's size
 are compared; and the unit shares at least t / (2 - t) of its bigrams with the
-template, so a line with fewer bigrams known to any template is no match.
+template, so a unit with fewer bigrams known to any template is no match.
 
 Defined results: null and empty texts match nothing; a unit of fewer than two
 words has no bigrams and matches nothing; equal coefficients go to the least
@@ -21,7 +23,9 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +91,6 @@ class Scanner:
         self.templates = sorted((sum(g.values()), k, g) for k, g in grams.items() if g)
         self.sizes = [n for n, _, _ in self.templates]
         self.known = frozenset(x for _, _, g in self.templates for x in g)
-        self.firsts = frozenset(a for a, _ in self.known)
         self.share = threshold / (2 - threshold)
 
     @staticmethod
@@ -107,30 +110,50 @@ class Scanner:
         found = max((2 * (own & g).total() / (n + size), _Last(k)) for size, k, g in self.templates[low:high])
         return (found[0], found[1].name) if found[0] >= self.threshold else None
 
-    def looks(self, w: list[bytes]) -> bool:
-        """Whether a line has the share of known bigrams that any match needs."""
-        n = len(w) - 1
-        return n >= 1 and sum(x in self.firsts for x in w) >= n * self.share - 1e-9 and sum(g in self.known for g in self.bigrams(w)) >= n * self.share - 1e-9
-
     def scan(self, text: bytes) -> list[tuple[int, int, str, float]]:
         """(first line, last line, template, coefficient) of each matching unit, in order."""
         lines = [item_words(x) for x in text.split(b"\n")]
+        words = [x for w in lines for x in w]
+        # Number of known bigrams before each word of the whole text.
+        known = [0, *accumulate(g in self.known for g in self.bigrams(words))]
+        full = [i for i, w in enumerate(lines) if w]
+        ends = list(accumulate(len(lines[i]) for i in full))
+        starts = [0, *ends][:-1]
         out = {}
-        run: list[int] = []
-        for i, w in enumerate([*lines, []]):
-            if self.looks(w):
-                run.append(i)
-                if found := self.best(w):
-                    out[i, i] = found
-                continue
-            if len(run) > 1 and (found := self.best([x for k in run for x in lines[k]])):
-                out[run[0], run[-1]] = found
-            if w or i == len(lines):  # blank lines don't end a run
-                run = []
-        if len(lines) > 1 and sum(map(len, lines)) - 1 <= max(self.sizes, default=0) / self.share and (found := self.best([x for w in lines for x in w])):
+        for i, a, b in zip(full, starts, ends, strict=True):
+            if b - a > 1 and known[b - 1] - known[a] >= (b - 1 - a) * self.share - 1e-9 and (found := self.best(lines[i])):
+                out[i, i] = found
+        spans = {(full[i], full[j]): found for i, j in self._spans(known, starts, ends) if (found := self.best(words[starts[i] : ends[j]]))}
+        taken: dict[str, list[tuple[int, int]]] = {}
+        for (a, b), (score, k) in sorted((out | spans).items(), key=lambda x: (-x[1][0], x[0][1] - x[0][0], x[0])):
+            if all(b < c or d < a for c, d in taken.setdefault(k, [])):
+                taken[k].append((a, b))
+                out[a, b] = (score, k)
+        if len(lines) > 1 and len(words) - 1 <= max(self.sizes, default=0) / self.share and (found := self.best(words)):
             out[0, len(lines) - 1] = found
         return [(a, b, k, score) for (a, b), (score, k) in sorted(out.items())]
 
+    def _spans(self, known: list[int], starts: list[int], ends: list[int]) -> Iterable[tuple[int, int]]:
+        """Spans (first, last) of two or more non-blank lines with the size and the share of known bigrams that any match needs.
+
+        A bigram in no stretch with that share is in no such span, and cuts the lines into groups.
+        """
+        if len(starts) < 2 or not self.sizes or not known[-1]:
+            return
+        total = np.array(known) - self.share * np.arange(len(known))
+        reach = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total)[:-1]
+        outside = np.concatenate([[0], np.cumsum(reach < -1e-6)])
+        least, most = self.sizes[0] * self.share - 1e-9, self.sizes[-1] / self.share + 1e-9
+        first, last = np.array(starts), np.array(ends) - 1
+        joined = outside[last[1:]] == outside[first[:-1]]  # the whole of a line and the step to the next line's last word
+        for i in np.flatnonzero(joined).tolist():
+            for j in range(i + 1, len(starts)):
+                n = ends[j] - 1 - starts[i]
+                if n > most or not joined[j - 1]:
+                    break
+                if n >= least and known[ends[j] - 1] - known[starts[i]] >= n * self.share - 1e-9:
+                    yield i, j
+
 
 class _Last:
     """Orders names backwards, so that max() takes the least name of equal scores."""

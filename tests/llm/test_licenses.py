@@ -61,3 +61,53 @@ def test_odd_rows(odd, clashing, empty):
         assert li.digest(df).count() == df.count()
     assert li.digest(empty).collect() == []
     assert li.scan(odd, templates={}).filter("size(matches) > 0").count() == 0
+
+
+def test_paragraphs_wrapped_at_any_width_are_found():
+    scanner = li.Scanner(li.TEMPLATES)
+    mit = li.TEMPLATES["mit"]
+    cuts = [0, mit.index("The above copyright"), mit.index("THE SOFTWARE IS"), len(mit)]
+    for width in range(20, 121):
+        body = "\n\n".join("\n".join(textwrap.wrap(mit[a:b], width)) for a, b in zip(cuts, cuts[1:], strict=False))
+        found = scanner.scan(f"Some program text here\n\n{body}\n\n{'int main of it' + ' and so on' * 60}".encode())
+        assert [(a, b, s) for a, b, k, s in found if k == "mit"] == [(2, 2 + body.count("\n"), 1.0)], width
+
+
+def slow_spans(text, templates, threshold):
+    """The best of overlapping lines and spans of each template, from all spans of lines and without any bound."""
+    lines = [item_words(x) for x in text.encode().split(b"\n")]
+    grams = {k: item_words(t.encode()) for k, t in templates.items()}
+    rated = []
+    for a in range(len(lines)):
+        for b in range(a, len(lines)):
+            if lines[a] and lines[b]:
+                w = [x for line in lines[a : b + 1] for x in line]
+                score, k = min((-dice(w, t), k) for k, t in grams.items())
+                if -score >= threshold:
+                    rated.append((score, b - a, (a, b), k))
+    out, taken = {}, {}
+    for score, more, (a, b), k in sorted(rated):
+        free = all(b < c or d < a for c, d in taken.get(k, []))
+        if free:
+            taken.setdefault(k, []).append((a, b))
+        if free or not more:
+            out[a, b] = (k, -score)
+    return out
+
+
+def test_spans_against_brute_force():
+    scanner = li.Scanner(li.TEMPLATES)
+    rnd = random.Random(6)
+    several = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            w = li.TEMPLATES[rnd.choice(["mpl-2.0", "gpl-3.0-line", "isc", "cc-by-4.0-line", "all-rights-reserved"])].split()
+            for _ in range(rnd.randrange(0, 2 + len(w) // 12)):
+                w[rnd.randrange(len(w))] = rnd.choice(["the", "other", "License", "of"])
+            parts += textwrap.wrap(" ".join(w), rnd.randrange(12, 70)) + rnd.choice([[], [""], ["of the Software."], ["plain words between"]])
+        text = "\n".join(parts)
+        want = slow_spans(text, li.TEMPLATES, li.THRESHOLD) | slow_units(text, li.TEMPLATES, li.THRESHOLD)
+        several += any(b > a for a, b in want)
+        assert {(a, b): (k, s) for a, b, k, s in scanner.scan(text.encode())} == want, text
+    assert several > 100
