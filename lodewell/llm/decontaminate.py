@@ -10,10 +10,12 @@ set's keys are the words themselves, so a hash never decides alone).
 The set is broadcast only if the benchmark is under ``MAX_BYTES`` of text. A
 larger benchmark goes through in blocks of that size, each a pass with its
 own bounded set, and the passes' hit positions are merged by document; results
-are the same.
+are the same. Removal cuts by the merged positions of all blocks, and scans what
+it has cut against all of them again.
 
 Defined results: null or wordless texts and items hit nothing; items that
-repeat an id count once; repeated documents are reported one by one; extra
+repeat an id count once; an item without an id hits, but is not counted or
+named among a document's items; repeated documents are reported one by one; extra
 columns are ignored (and kept by ``remove_contaminated``).
 """
 
@@ -45,7 +47,7 @@ def item_words(text: bytes) -> list[bytes]:
 class WindowSet:
     """Exact n-gram set: windows keyed by their word numbers, grouped by window length."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes]], n: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, bytes]], n: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         self.by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for item, text in items:
@@ -54,7 +56,9 @@ class WindowSet:
                 size = min(n, len(w))
                 table = self.by_length.setdefault(size, {})
                 for i in range(len(w) - size + 1):
-                    table.setdefault(tuple(w[i : i + size]), set()).add(item)
+                    found = table.setdefault(tuple(w[i : i + size]), set())
+                    if item is not None:
+                        found.add(item)
         self.shortest = min(self.by_length, default=0)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -95,7 +99,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[DataFrame]:
     """The benchmark, or blocks of it by item hash, each of about ``max_bytes`` of text at most."""
-    own = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and item_id is not null")
+    own = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // max_bytes) or 1
     return [own] if n == 1 else [own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -126,7 +130,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = own.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     spans = reduce(DataFrame.unionByName, (_scan_keyed(keyed, block, n) for block in blocks))
     parts = write_table(spans, "leak-passes").df
-    once = parts.filter("size(items) > 0").groupBy("doc_id", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    once = parts.filter("size(spans) > 0").groupBy("doc_id", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     rows = keyed.select(F.col("doc_id"), "digest", "text")
     joined = rows.join(once, rows["doc_id"].eqNullSafe(once["doc_id"]) & (rows["digest"] == once["digest"]), "left").select(rows["doc_id"], "text", "spans", "items")
 
@@ -155,32 +159,64 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     document of which more than ``max_share`` of the words are hit goes
     altogether. Untouched texts stay byte for byte.
     """
-    spark = docs.sparkSession
     blocks = _blocks(items, "item_id", "text", max_bytes)
+    if len(blocks) > 1:
+        return _remove_in_rounds(docs, blocks, text_col, n, max_share)
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(((r["item_id"], r["text"].encode()) for r in blocks[0].collect()), n))
     schema = docs.schema
-    out = docs
-    for block in blocks:  # each pass has a bounded set
-        shared = spark.sparkContext.broadcast(WindowSet(((r["item_id"], r["text"].encode()) for r in block.collect()), n))
-
-        def fn(batch: pa.RecordBatch, shared=shared) -> dict | None:
-            keep, texts = [], []
-            for text in batch.column(text_col).to_pylist():
-                raw = (text or "").encode()
-                n_words, spans, _ = shared.value.scan(raw)
-                changed, hit = bool(spans), 0
-                while spans and hit <= max_share * n_words:  # words that a cut brings together may be a window again
-                    hit += sum(b - a for a, b in spans)
-                    raw = cut_words(raw, spans)
-                    _, spans, _ = shared.value.scan(raw)
-                keep.append(hit <= max_share * n_words)
-                texts.append(raw.decode() if changed and keep[-1] else text)
-            mask = pa.array(keep)
-            columns = {f.name: batch.column(f.name) for f in schema}
-            columns[text_col] = pa.array(texts, pa.string())
-            return {k: v.filter(mask) for k, v in columns.items()}
-
-        out = map_batches(out, fn, schema)
-    return out
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        keep, texts = [], []
+        for text in batch.column(text_col).to_pylist():
+            raw = (text or "").encode()
+            n_words, spans, _ = shared.value.scan(raw)
+            changed, hit = bool(spans), 0
+            while spans and hit <= max_share * n_words:  # words that a cut brings together may be a window again
+                hit += sum(b - a for a, b in spans)
+                raw = cut_words(raw, spans)
+                _, spans, _ = shared.value.scan(raw)
+            keep.append(hit <= max_share * n_words)
+            texts.append(raw.decode() if changed and keep[-1] else text)
+        mask = pa.array(keep)
+        columns = {f.name: batch.column(f.name) for f in schema}
+        columns[text_col] = pa.array(texts, pa.string())
+        return {k: v.filter(mask) for k, v in columns.items()}
+
+    return map_batches(docs, fn, schema)
+
+
+def _remove_in_rounds(docs: DataFrame, blocks: list[DataFrame], text_col: str, n: int, max_share: float) -> DataFrame:
+    """The same over several blocks: a round scans the texts that the last one cut against every block, and cuts by all their hits."""
+    rid = "_leak_row"
+    while rid in docs.columns:
+        rid += "_"
+    rows = write_table(docs.withColumn(rid, F.monotonically_increasing_id()), "leak-docs").df
+    now = rows.select(F.col(rid).alias("doc_id"), F.lit("").alias("digest"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("hit"), F.lit(-1).cast("long").alias("n_words"))
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        out: dict = {k: [] for k in ("text", "hit", "n_words")}
+        for raw, spans, hit, n_words in zip(texts_of(batch, "text"), *(batch.column(k).to_pylist() for k in ("spans", "hit", "n_words")), strict=True):
+            ranges = merged((s["a"], s["b"]) for s in spans)
+            out["n_words"].append(len(item_words(raw)) if n_words < 0 else n_words)  # those of the whole text
+            out["hit"].append(hit + sum(b - a for a, b in ranges))
+            out["text"].append(cut_words(raw, ranges).decode())
+        return out | {"doc_id": batch.column("doc_id"), "digest": batch.column("digest")}
+
+    rounds: list[DataFrame] = []
+    while True:
+        found = reduce(DataFrame.unionByName, (_scan_keyed(now.select("doc_id", "digest", "text"), block, n) for block in blocks)).filter("size(spans) > 0")
+        spans = write_table(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "leak-spans")
+        if spans.df.isEmpty():
+            break
+        cut = write_table(map_batches(now.join(spans.joinable(), "doc_id"), fn, now.schema), "leak-cut").df
+        rounds.append(cut.select(F.col("doc_id").alias("_at"), F.struct(F.lit(len(rounds)).alias("round"), (F.col("hit") > F.lit(max_share) * F.col("n_words")).alias("over"), "text").alias("cut")))
+        now = cut.filter(F.col("hit") <= F.lit(max_share) * F.col("n_words"))
+    if not rounds:
+        return rows.drop(rid)
+    last = write_table(reduce(DataFrame.unionByName, rounds).groupBy("_at").agg(F.max("cut").alias("_cut")), "leak-last").joinable()
+    joined = rows.join(last, rows[rid] == last["_at"], "left").filter(last["_cut"].isNull() | ~last["_cut"]["over"])
+    text = F.when(last["_cut"].isNull(), rows[text_col]).otherwise(last["_cut"]["text"])
+    return joined.select(*(text.alias(c) if c == text_col else rows[c] for c in docs.columns))
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

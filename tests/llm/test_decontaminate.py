@@ -90,3 +90,33 @@ def test_removal(spark):
             assert hit <= 0.2 * n and len(words(kept[doc])) <= n - hit
         else:
             assert hit > 0
+
+
+def test_removal_in_blocks_is_the_same(spark):
+    docs, items = items_and_docs(spark)
+    rnd = random.Random(8)
+    own = [" ".join(f"{name}{k}" for k in range(10)) for name in ("left", "right", "outer")]
+    items = items.unionByName(spark.createDataFrame(list(enumerate(own, 100)), "item_id long, text string"))
+    outer = own[2].split(" ")
+    extra = [
+        (1000, f"{own[0]} {prose(rnd, 45)} {own[1]}"),  # 20 of 65 words by two items
+        (1001, f"{' '.join(outer[:5])} {own[0]} {' '.join(outer[5:])} {prose(rnd, 120)}"),  # a window after the cut
+        (None, f"{own[1]} {prose(rnd, 90)}"),
+        (None, None),
+    ]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).unionByName(docs.limit(4)).selectExpr("doc_id", "text", "doc_id as _leak_row", "length(text) as hit")
+    one, many = (sorted(map(tuple, dc.remove_contaminated(docs, items, max_bytes=m).collect()), key=str) for m in (1 << 20, 150))
+    assert len(dc._blocks(items, "item_id", "text", 150)) > 3
+    assert one == many
+    kept = {r[0]: r[1] for r in many}
+    assert 1000 not in kept and not set(words(kept[1001])) & set(outer)
+
+
+def test_items_without_id_hit(spark):
+    passage = " ".join(f"secret{k}" for k in range(10))
+    items = spark.createDataFrame([(None, passage), (7, "Known words"), (None, "Known words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} " + "after " * 60), (2, "some known words here"), (3, "nothing")], "doc_id long, text string")
+    for m in (1 << 20, 40):
+        found = {r.doc_id: (sum(s.b - s.a for s in r.spans), list(r["items"])) for r in dc.hits(docs, items, max_bytes=m).collect()}
+        assert found == {1: (10, []), 2: (2, ["7"]), 3: (0, [])}
+        assert "secret" not in {r.doc_id: r.text for r in dc.remove_contaminated(docs, items, max_bytes=m).collect()}[1]
