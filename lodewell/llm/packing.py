@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import os
 import zlib
 from collections.abc import Iterable
 
@@ -42,27 +44,41 @@ _encoders: dict = {}
 
 
 def vocabulary_path() -> str:
-    """Ranks of the same vocabulary as byte_bpe_50k.json, in the form that the fast encoder reads."""
+    """Ranks of the same vocabulary as byte_bpe_50k.json, in the form that the fast encoder reads; its added tokens are in the json beside."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def encoder(path: str):
-    """A byte-level BPE encoder of the ranks at ``path``; one per worker process."""
+    """A byte-level BPE encoder of the ranks at ``path`` and the added tokens of the json beside it, if any; one per worker process."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
     return _encoders[path]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the vocabulary's json adds to its ranks: they are cut out of a text wherever they stand in it."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError("only added tokens that are matched literally are supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a whole text, with the end id."""
-    return np.append(np.asarray(encoder(path).encode_ordinary(text), "<u4"), np.uint32(END_ID)).astype("<u4")
+    own = encoder(path)
+    ids = own.encode(text, allowed_special="all") if any(t in text for t in own.special_tokens_set) else own.encode_ordinary(text)
+    return np.append(np.asarray(ids, "<u4"), np.uint32(END_ID)).astype("<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -96,3 +96,13 @@ def test_plan_uses_every_piece_once():
         left = (spaces.pop(k) if k < len(spaces) else 1024) - length
         bisect.insort(spaces, left)
     assert bins <= len(spaces) and bins <= volume * 1.015
+
+
+def test_added_tokens_are_cut_out():
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<", " ", "\n\n", "word", " two words", "é日", "'s", "12"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>"] + ["".join(rnd.choices(parts, k=rnd.randrange(9))) for _ in range(2000)]
+    assert packing.token_ids(texts[0], packing.vocabulary_path()).tolist() == [64, 220, 50256, 275, 2]
+    for text in texts:
+        assert packing.token_ids(text, packing.vocabulary_path()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], text
