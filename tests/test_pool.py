@@ -319,6 +319,15 @@ def test_carved_roots(spark, history_pool):
     assert all(r.member == 0 for r in got)
 
 
+def test_dump_reports_every_lost_block(spark, history_pool, tmp_path, monkeypatch):
+    paths, *_ = history_pool
+    found, pool = scanned(spark, paths)
+    lost = spark.range(10_050).selectExpr("id as blkid", "id * 8192 as off", "'zeroed' as state", "cast(null as binary) as data", "'checksum' as reason")
+    monkeypatch.setattr(commands, "read_volume", lambda *a, **b: lost)
+    report = commands.dump(spark, found, pool, "tank/vol", str(tmp_path / "v"))
+    assert report["blocks_zeroed"] == 10_050 and [x["blkid"] for x in report["bad"]] == list(range(10_050))
+
+
 def test_resumed_dump(spark, history_pool, tmp_path):
     paths, vol, *_ = history_pool
     found, pool = scanned(spark, paths)
