@@ -7,6 +7,8 @@ boilerplate of its host if more distinct documents than the host's limit have
 it: ``MIN_DOCS``, or ``SHARE`` of the host's documents if that is more. It
 counts as removed from all but the first of them (the smallest id). A
 document whose removed words are more than ``DEPLETED`` of all is rejected.
+``verdicts`` counts all this; ``cleaned`` gives the kept documents without
+their removed lines.
 
 The number of rows with a line bounds its number of documents from above, so
 only lines over the least limit are counted exactly.
@@ -26,7 +28,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import write_table
@@ -76,30 +78,40 @@ def shape(text: str) -> tuple[int, int, int, int, int]:
     return len(w), word_chars, n_symbols, n_dup, repeated_words(w)
 
 
+def line_key(line: str) -> tuple[int, int]:
+    """(key, words) of a lower-cased line."""
+    w = line.encode().split()
+    return xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63), len(w)
+
+
 def line_counts(text: str, min_words: int = MIN_WORDS) -> list[dict]:
     """(key, words) of each distinct eligible line; words counts all its instances."""
     out: dict[int, int] = {}
-    for line in text.lower().split("\n"):
-        w = line.encode().split()
-        if len(w) >= min_words:
-            key = xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63)
-            out[key] = out.get(key, 0) + len(w)
+    for key, n in map(line_key, text.lower().split("\n")):
+        if n >= min_words:
+            out[key] = out.get(key, 0) + n
     return [{"key": k, "words": n} for k, n in out.items()]
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """doc_id, the shape counts, removed_words, base_failed and kept for every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _without(text: str, keys: set[int], min_words: int = MIN_WORDS) -> str:
+    """The text without its eligible lines of these keys."""
+    pairs = zip(text.split("\n"), map(line_key, text.lower().split("\n")), strict=True)
+    return "\n".join(line for line, (key, n) in pairs if n < min_words or key not in keys)
+
+
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _rated(numbered: DataFrame, min_docs: int, share: float, depleted: float) -> tuple[DataFrame, DataFrame]:
+    """For (rid, doc_id, host, text): each row's verdict with its rid, and (rid, key, words) of the lines that it loses."""
 
     def fn(batch: pa.RecordBatch) -> dict:
         texts = strings_of(batch, "text")
         found = [shape(t) for t in texts]
-        return {"doc_id": batch.column("doc_id"), "host": batch.column("host"), "lines": [line_counts(t) for t in texts]} | {name: [x[k] for x in found] for k, name in enumerate(names)}
+        return {k: batch.column(k) for k in ("rid", "doc_id", "host")} | {"lines": [line_counts(t) for t in texts]} | {name: [x[k] for x in found] for k, name in enumerate(_NAMES)}
 
-    schema = "doc_id long, host string, lines array<struct<key:long,words:long>>, " + ", ".join(f"{n} long" for n in names)
-    counted = map_batches(own, fn, schema).withColumn("rid", F.monotonically_increasing_id())
-    base = write_table(counted, "rules-base")
+    schema = "rid long, doc_id long, host string, lines array<struct<key:long,words:long>>, " + ", ".join(f"{n} long" for n in _NAMES)
+    base = write_table(map_batches(numbered, fn, schema), "rules-base")
 
     lines = base.df.select("rid", "doc_id", "host", F.explode("lines").alias("line")).select("rid", "doc_id", "host", "line.key", "line.words")
     hosts = base.df.groupBy("host").agg(F.count("doc_id").alias("docs"))
@@ -108,11 +120,37 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     maybe = write_table(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "key", "first", limit.alias("most")), "rules-often")
     exact = lines.join(maybe.joinable(), ["host", "key"]).groupBy("host", "key").agg(F.min("first").alias("first"), F.min("most").alias("most"), F.count_distinct("doc_id").alias("n"))
     over = write_table(exact.filter(F.col("n") > F.col("most")).select("host", "key", "first"), "rules-over")
-    removed = lines.join(over.joinable(), ["host", "key"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first"))).groupBy("rid").agg(F.sum("words").alias("removed"))
+    lost = lines.join(over.joinable(), ["host", "key"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first"))).select("rid", "key", "words")
     gone = F.coalesce("removed", F.lit(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT)
-    joined = base.df.drop("lines").join(removed, "rid", "left")
-    return joined.select("doc_id", *names, gone.alias("removed_words"), failed.alias("base_failed"), (~failed & (gone <= F.lit(depleted) * F.col("n_words"))).alias("kept"))
+    joined = base.df.drop("lines").join(lost.groupBy("rid").agg(F.sum("words").alias("removed")), "rid", "left")
+    return joined.select("rid", "doc_id", *_NAMES, gone.alias("removed_words"), failed.alias("base_failed"), (~failed & (gone <= F.lit(depleted) * F.col("n_words"))).alias("kept")), lost
+
+
+def _numbered(docs: DataFrame, rid: Column, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """doc_id, the shape counts, removed_words, base_failed and kept for every row."""
+    return _rated(_numbered(docs, F.monotonically_increasing_id(), id_col, text_col, host_col), min_docs, share, depleted)[0].drop("rid")
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """The documents that ``verdicts`` keeps, without the lines it counts as removed; columns unchanged."""
+    rid, keys = "_rules_row", "_rules_keys"
+    while {rid, keys} & set(docs.columns):
+        rid, keys = rid + "_", keys + "_"
+    rows = write_table(docs.withColumn(rid, F.monotonically_increasing_id()), "rules-docs").df
+    rated, lost = _rated(_numbered(rows, F.col(rid), id_col, text_col, host_col), min_docs, share, depleted)
+    lists = lost.groupBy(F.col("rid").alias(rid)).agg(F.collect_list("key").alias(keys))
+    kept = rows.join(rated.filter("kept").select(F.col("rid").alias(rid)), rid, "left_semi").join(lists, rid, "left")
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        texts = [t if k is None else _without(t, set(k)) for t, k in zip(batch.column(text_col).to_pylist(), batch.column(keys).to_pylist(), strict=True)]
+        return {f: batch.column(f) for f in batch.schema.names} | {text_col: texts}
+
+    return map_batches(kept.select(*docs.columns, keys), fn, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

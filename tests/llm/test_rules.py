@@ -87,3 +87,20 @@ def test_repeated_words():
 def test_the_same_without_broadcasts(documents, monkeypatch):
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
     check(documents, min_docs=2)
+
+
+def test_removed_lines_are_cut(spark, odd, empty):
+    body = " ".join(f"word{k}" for k in range(30))
+    shared = "All  of our Offers end this week"
+    rows = [(k, f"{shared}\n{body} {k}\n\n  ALL of our offers\tend this week \nTwo words", "h") for k in range(25)]
+    rows += [(100 + k, f"{shared}\n{body} {k}", "few") for k in range(5)] + [(200, "\n".join([shared] * 40 + ["own line here"]), "h"), (201, "short", "h"), (None, f"{shared}\n{body}", "h"), (3, f"{shared}\n{body} again", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _rules_row", "doc_id as rid")
+    out = rules.cleaned(df)
+    assert out.columns == df.columns
+    want = [(0, rows[0][1])] + [(k, f"{body} {k}\n\nTwo words") for k in range(1, 25)] + [(100 + k, f"{shared}\n{body} {k}") for k in range(5)] + [(None, body), (3, f"{body} again")]
+    got = out.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    # The columns of op7 say the same of the documents before.
+    lost = {(r.doc_id, r.n_words): r.removed_words for r in rules.digest(df).filter("kept").collect()}
+    assert sum(lost.values()) == sum(len((t or "").split()) for d, t, _ in rows if d not in (200, 201)) - sum(len(r.text.split()) for r in got)
+    assert rules.cleaned(odd).columns == odd.columns and rules.cleaned(empty).collect() == []
