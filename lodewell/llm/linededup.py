@@ -1,22 +1,24 @@
 """Cross-site line dedup with HyperLogLog spread, in DataFrame functions only.
 
-A line is normalised (trimmed, lower-cased) and hashed. Lines with
-``min_spaces`` or more spaces that stand on ``sites`` or more distinct sites
-are boilerplate. Lines whose least and greatest site hash are equal have one
+A line is normalised (trimmed, lower-cased) and hashed. Lines with any
+character left that stand on ``sites`` or more distinct sites are boilerplate,
+however short they are and whatever their script. Lines whose least and greatest site hash are equal have one
 site and are out at once, which is exact and spares a sketch for nearly every
 line of a corpus. For the others a HyperLogLog sketch of the sites is built
 before the shuffle, one for each line hash and task, and merged after it. An
 estimate far from the limit decides by itself; within ``margin`` of it the
 line's sites are counted exactly, so the outcome equals exact counting.
 
+What a text loses is listed by its id and a hash of it, so a list never is
+longer than one text has lines, however many rows share an id or have none.
+
 A boilerplate line is removed from every document but the first that has it
 (the smallest id), which keeps one instance of what is lost elsewhere; with
 ``keep_first=False`` it goes everywhere. The other lines stay, in order.
 
 Defined results: null texts stay null and blank lines stay; a null site counts
-as one site (the empty name); a null doc_id is never the first and its
-documents share one removal list; rows with equal ids are one document; an
-empty table gives an empty result; further columns are kept as they are.
+as one site (the empty name); a null doc_id is never the first; rows with
+equal ids are one document, each with its own text; an empty table gives an empty result; further columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from ..runtime import Table, write_table
 
 SITES = 10
-MIN_SPACES = 2
 #: log2 of a sketch's buckets, and the relative band about the limit that is counted exactly: over four standard errors.
 LG_K = 10
 MARGIN = 0.15
@@ -42,12 +43,15 @@ def _key(doc: Column) -> Column:
     return F.coalesce(doc.cast("string"), F.lit("\x00"))
 
 
-def lines_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_spaces: int = MIN_SPACES) -> Table:
-    """Written rows (doc, site, key): one for each eligible line, hashed."""
-    own = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
-    normal = own.select("doc", "site", normal_line(F.col("line")).alias("line"))
-    enough = F.substring_index("line", " ", min_spaces) != F.col("line") if min_spaces else F.col("line") != ""
-    return write_table(normal.filter(enough).select("doc", "site", F.xxhash64("line").alias("key")), "lines")
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def lines_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> Table:
+    """Written rows (doc, text_key, site, key): one for each non-blank line, hashed."""
+    own = docs.select(F.col(id_col).alias("doc"), _text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
+    normal = own.select("doc", "text_key", "site", normal_line(F.col("line")).alias("line"))
+    return write_table(normal.filter("line != ''").select("doc", "text_key", "site", F.xxhash64("line").alias("key")), "lines")
 
 
 def boilerplate(lines: Table, sites: int = SITES, margin: float = MARGIN) -> Table:
@@ -63,20 +67,20 @@ def boilerplate(lines: Table, sites: int = SITES, margin: float = MARGIN) -> Tab
     return write_table(sure.unionByName(exact.filter(F.col("n") >= sites).select("key", "first")), "line-boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, min_spaces: int = MIN_SPACES, keep_first: bool = True, drop_emptied: bool = False) -> tuple[DataFrame, Table]:
-    """(``docs`` with cleaned texts, the removal list (doc_key, keys) of each document that lost lines).
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, keep_first: bool = True, drop_emptied: bool = False) -> tuple[DataFrame, Table]:
+    """(``docs`` with cleaned texts, the removal list (doc_key, text_key, keys) of each text that lost lines).
 
     With ``drop_emptied`` a document that had words and keeps none goes; one
     that was blank before stays.
     """
-    lines = lines_table(docs, id_col, text_col, site_col, min_spaces)
+    lines = lines_table(docs, id_col, text_col, site_col)
     known = boilerplate(lines, sites)
     found = lines.df.join(known.joinable(), "key")
     if keep_first:
         found = found.filter(F.col("first").isNull() | F.col("doc").isNull() | (F.col("doc") != F.col("first")))
-    lost = write_table(found.groupBy(_key(F.col("doc")).alias("doc_key")).agg(F.collect_set("key").alias("keys")), "line-lost")
+    lost = write_table(found.groupBy(_key(F.col("doc")).alias("doc_key"), "text_key").agg(F.collect_set("key").alias("keys")), "line-lost")
     side = lost.joinable()
-    joined = docs.join(side, _key(docs[id_col]) == side["doc_key"], "left")
+    joined = docs.join(side, (_key(docs[id_col]) == side["doc_key"]) & (_text_key(docs[text_col]) == side["text_key"]), "left")
     kept = F.filter(F.split(docs[text_col], "\n", -1), lambda line: ~F.array_contains(side["keys"], F.xxhash64(normal_line(line))))
     text = F.when(side["keys"].isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
     if drop_emptied:
@@ -109,7 +113,7 @@ with lines as (
   from documents, lateral (select unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos) u
 ), spread as (
   select normal, min(doc_id) as first_doc from lines
-  where length(normal) - length(replace(normal, ' ', '')) >= {MIN_SPACES}
+  where normal <> ''
   group by normal having count(distinct site) >= {SITES}
 ), marked as (
   select l.doc_id, l.pos, l.line, s.normal is not null and l.doc_id <> s.first_doc as gone
@@ -119,4 +123,6 @@ select doc_id, count(*) as n_lines,
        case when count(*) filter (where not gone) = 0 then 1 else count(*) filter (where not gone) end as n_kept,
        md5(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as text_md5
 from marked group by doc_id
+union all
+select doc_id, 0, 0, null from documents where text is null
 """

@@ -114,7 +114,7 @@ def _rated(numbered: DataFrame, min_docs: int, share: float, depleted: float) ->
     base = write_table(map_batches(numbered, fn, schema), "rules-base")
 
     lines = base.df.select("rid", "doc_id", "host", F.explode("lines").alias("line")).select("rid", "doc_id", "host", "line.key", "line.words")
-    hosts = base.df.groupBy("host").agg(F.count("doc_id").alias("docs"))
+    hosts = base.df.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))
     often = lines.groupBy("host", "key").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > min_docs)
     maybe = write_table(often.join(hosts, "host").filter(F.col("n") > limit).select("host", "key", "first", limit.alias("most")), "rules-often")
@@ -181,7 +181,7 @@ with docs as (
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
   from lines
 ), eligible as (select * from normal where words >= {MIN_WORDS}),
-hosts as (select host, count(*) as docs from docs group by host),
+hosts as (select host, count(distinct doc_id) as docs from docs group by host),
 over_limit as (
   select e.host, e.norm, min(e.doc_id) as first_doc
   from eligible e join hosts h on e.host = h.host

@@ -17,7 +17,7 @@ def slow(rows, sites, keep_first=True):
     for doc, site, text in rows:
         for line in (text or "").split("\n"):
             n = normal(line)
-            if n.count(" ") >= 2:
+            if n:
                 having[n].add(site or "")
                 if doc is not None:
                     first[n] = min(first.get(n, doc), doc)
@@ -63,6 +63,24 @@ def test_margin_covers_sketch_errors(spark):
     assert known.df.count() == 2
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    """One-word lines, tabs between words and lines without any space spread like others do."""
+    lines = ["Home", "a\tb\tc", "這是一個沒有空格的樣板行", "two words", "three words here"]
+    rows = [(i, "\n".join([*lines, f"own {i}"]), f"s{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in ld.remove_boilerplate(df)[0].collect()}
+    assert got == {i: t if i == 0 else f"own {i}" for i, t, _ in rows}
+
+
+def test_lists_are_of_one_text(spark):
+    """Many rows without an id, or with one id, have removal lists of their own lines only."""
+    rows = [(None if i % 2 else 7, f"own line {i} of it\nshared by all of them", f"s{i % 12}") for i in range(200)] + [(1, "shared by all of them", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned, lost = ld.remove_boilerplate(df)
+    assert lost.df.selectExpr("max(size(keys))").first()[0] == 1
+    assert sorted(((r.doc_id, r.text) for r in cleaned.collect()), key=str) == slow([(d, s, t) for d, t, s in rows], ld.SITES)
+
+
 def test_odd_rows(odd, clashing, empty):
     for df in (odd, clashing):
         rows = [(r.doc_id, r.source, r.text) for r in df.select("doc_id", "source", "text").collect()]

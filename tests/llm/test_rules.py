@@ -21,10 +21,11 @@ def slow_shape(text):
 
 
 def slow_verdicts(rows, min_docs, share):
-    hosts, lines, docs = defaultdict(int), defaultdict(set), []
+    hosts, lines, docs = defaultdict(set), defaultdict(set), []
     for doc, host, text in rows:
         host, text = host or "", text or ""
-        hosts[host] += doc is not None
+        if doc is not None:
+            hosts[host].add(doc)
         mine = Counter()
         for line in text.lower().split("\n"):
             w = WORD.findall(line)
@@ -39,7 +40,7 @@ def slow_verdicts(rows, min_docs, share):
         gone = 0
         for line, n in mine.items():
             having = lines[host, line]
-            if len(having) > max(min_docs, share * hosts[host]) and (doc is None or doc != min(having)):
+            if len(having) > max(min_docs, share * len(hosts[host])) and (doc is None or doc != min(having)):
                 gone += n
         s = slow_shape(text)
         failed = s[0] < 20 or 100 * s[4] > 30 * s[0]
@@ -64,6 +65,13 @@ def test_verdicts(documents, odd, clashing, empty):
     assert rules.verdicts(empty).collect() == []
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    """60 rows of 5 ids share a line: the host has five documents, all of them with the line."""
+    rows = [(i % 5, f"one shared line of words\nown {i} words stay", "h") for i in range(60)]
+    found = check(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=4, share=0.5)
+    assert sum(r[6] > 0 for r in found) == 48
+
+
 def test_depleted_documents_go(spark):
     body = "one two three four five six seven eight nine ten"
     more = "red orange yellow green blue indigo violet black white grey brown pink teal cyan"
