@@ -7,16 +7,16 @@ every k segments (the pigeonring principle). With t = 2 and five segments the
 first two segments of such a chain must be equal, so they are the bucket key;
 the longer chains prune the bucket's pairs before the full Hamming check.
 
-Buckets hold bounded groups only: one with more than ``BUCKET`` distinct
-fingerprints (a large family of near copies, or sheer volume) goes another
-exact way: two fingerprints are within two bits just if they share a one-bit
-neighbour, and no neighbour has more than 65 of them. Both ways emit spanning
-links, at most one a member, so nothing is quadratic in a group.
+A bucket with more than ``BUCKET`` distinct fingerprints (a large family of
+near copies, or sheer volume) is split by the chain's next segments, one after
+the other, within the remaining budget: two members that differ in at most two
+bits there are both within one bit of some value between them, so each goes to
+the buckets of its own value and of those one bit away. A bucket split by all
+segments holds 40 fingerprints at most, so nothing is quadratic in a family.
+Buckets emit spanning links, at most one a member.
 
-A fingerprint may be taken in several views: the shingles' hashes are mixed anew
-for each, which gives an independent fingerprint of the same shingles. Near
-copies that one view puts three or more bits apart are then linked by another;
-two documents are linked if any view links them. One view is the plain SimHash.
+``near_dedup`` keeps one document of each group of near duplicates by shingle
+similarity, see the module ``neardup``.
 
 Defined results: null and blank texts have fingerprint zero and are one group;
 rows with equal text share a fingerprint; an empty table gives an empty
@@ -26,16 +26,14 @@ a null component_id); further columns are ignored.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import unsigned
 from ..runtime import Table, write_table
+from . import neardup
 from .common import id_text, lower_words, map_batches, texts_of
 from .components import connected_components
 
@@ -46,52 +44,40 @@ STARTS = tuple(sum(WIDTHS[:i]) for i in range(SEGMENTS))
 BUCKET = 64
 SEED = 42
 _BLOCK = 1 << 15
-_WORD = Decimal(1 << 64)
-
-
-def _mixed(h: np.ndarray, view: int) -> np.ndarray:
-    """The hashes as they are for view 0, mixed to new ones for another."""
-    if not view:
-        return h
-    x = h ^ np.uint64(0x9E3779B97F4A7C15 * view & (1 << 64) - 1)
-    for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
-        x = (x ^ x >> np.uint64(33)) * factor
-    return x ^ x >> np.uint64(33)
 
 
-def fingerprint(text: bytes, shingle: int = 3, views: int = 1) -> np.ndarray:
-    """The unsigned 64-bit SimHash of a text's lower-cased word shingles in each view; 0 without words."""
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text's lower-cased word shingles; 0 without words."""
     w = lower_words(text)
     if not w:
-        return np.zeros(views, np.uint64)
+        return 0
     n = max(1, len(w) - shingle + 1)
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else iter([b" ".join(w)])
-    ones = np.zeros((views, 64), np.int64)
+    ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
         size = min(_BLOCK, n - at)
         h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for _, g in zip(range(size), grams, strict=False)), np.uint64, size)
-        for v in range(views):
-            bits = np.unpackbits(_mixed(h, v).view(np.uint8), bitorder="little").reshape(size, 64)
-            ones[v] += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(size, 64)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, views: int = 1) -> DataFrame:
-    """One row (doc_id, fps) per document; fps holds each view's fingerprint bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row (doc_id, fp) per document; fp holds the fingerprint's bits as a signed long."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fps": [fingerprint(t, shingle, views).view(np.int64) for t in texts_of(batch, "text")]}
+        return {"doc_id": batch.column("doc_id"), "fp": np.array([fingerprint(t, shingle) for t in texts_of(batch, "text")], np.uint64).view(np.int64)}
 
-    return map_batches(id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), fn, "doc_id long, fps array<long>")
+    return map_batches(id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), fn, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, STARTS[i % SEGMENTS]).bitwiseAND(F.lit((1 << WIDTHS[i % SEGMENTS]) - 1))
 
 
-def bucket_keys(view: Column, fp: Column) -> Column:
-    """For each start on the ring: the view, the start and its first two segments in one long."""
-    return F.array(*(F.shiftleft(view.cast("long") * SEGMENTS + i, 32) + F.shiftleft(_segment(fp, i), 16) + _segment(fp, i + 1) for i in range(SEGMENTS)))
+def bucket_keys(fp: Column) -> Column:
+    """For each start on the ring: the start, and its first two segments in one long."""
+    return F.array(*(F.struct(F.lit(i).alias("start"), (F.shiftleft(_segment(fp, i), 16) + _segment(fp, i + 1)).alias("key")) for i in range(SEGMENTS)))
 
 
 def _ring_links(fps: np.ndarray, start: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,107 +112,87 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def _bit(b: int) -> Column:
+    return F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long")
+
+
+def _split(hot: DataFrame, depth: int) -> DataFrame:
+    """Rows (start, key, fp, used) of large buckets, dealt to buckets of the chain's segment ``depth``.
+
+    ``used`` says that a row stands one bit off its own value already; no row stands two off.
+    """
+    centre, moves = None, None
+    for start in range(SEGMENTS):
+        i = (start + depth) % SEGMENTS
+        off = F.array(F.lit(0).cast("long"), *(_bit(b) for b in range(STARTS[i], STARTS[i] + WIDTHS[i])))
+        value = _segment(F.col("fp").bitwiseXOR(F.col("mask")), i)
+        here = F.col("start") == start
+        moves = F.when(here, off) if moves is None else moves.when(here, off)
+        centre = F.when(here, value) if centre is None else centre.when(here, value)
+    dealt = hot.select("start", "key", "fp", "used", F.explode(F.when(F.col("used"), F.array(F.lit(0).cast("long"))).otherwise(moves)).alias("mask"))
+    return dealt.select("start", F.xxhash64("key", F.lit(depth), centre).alias("key"), "fp", (F.col("used") | (F.col("mask") != 0)).alias("used"))
+
+
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Spanning links (view, u, v) between distinct fingerprints (view, fp) of a view at ``distance`` (0 to 2) or fewer bits.
+    """Spanning links (u, v) between distinct fingerprints (fp) at ``distance`` (0 to 2) or fewer bits.
 
-    Every two fingerprints that near are connected by the links; each link is
-    itself such a pair, or leads over one.
+    Every two fingerprints that near are connected by the links, and each link
+    is such a pair.
     """
     if not 0 <= distance <= 2:
-        raise ValueError("the ring of five segments and one-bit neighbours serve distances up to 2")
-    keyed = distinct.select("view", "fp", F.explode(bucket_keys(F.col("view"), F.col("fp"))).alias("key"))
+        raise ValueError("the ring of five segments serves distances up to 2")
+    rows = distinct.select("fp", F.explode(bucket_keys(F.col("fp"))).alias("b")).select("b.start", "b.key", "fp", F.lit(False).alias("used"))
     # One pass counts the buckets and already names both members of the many that have two.
-    sizes = write_table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "simhash-buckets")
-    large = write_table(sizes.df.filter("n > 2").select("key", "n"), "simhash-large")
-    held = keyed.join(large.joinable(), "key")
-    lists = held.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    cold = sizes.df.filter("n = 2").select("key", F.array("lo", "hi").alias("fps")).unionByName(lists)
+    sizes = write_table(rows.groupBy("start", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "simhash-buckets")
+    buckets = sizes.df.filter("n = 2").select("start", F.array("lo", "hi").alias("fps"))
+    for depth in range(2, SEGMENTS + 1):
+        last = depth == SEGMENTS  # split by every segment
+        large = write_table(sizes.df.filter("n > 2").select("start", "key", "n"), "simhash-large")
+        held = rows.join(large.joinable(), ["start", "key"])
+        buckets = buckets.unionByName(held.filter("true" if last else F.col("n") <= BUCKET).groupBy("start", "key").agg(F.collect_list("fp").alias("fps")).select("start", "fps"))
+        if last or large.df.filter(F.col("n") > BUCKET).isEmpty():
+            break
+        rows = write_table(_split(held.filter(F.col("n") > BUCKET), depth), "simhash-split").df
+        sizes = write_table(rows.groupBy("start", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "simhash-buckets")
+        buckets = buckets.unionByName(sizes.df.filter("n = 2").select("start", F.array("lo", "hi").alias("fps")))
 
     def fn(batch: pa.RecordBatch) -> dict:
-        out: dict = {"view": [], "u": [], "v": []}
-        for key, fps in zip(batch.column("key").to_pylist(), batch.column("fps").to_pylist(), strict=True):
+        out: dict = {"u": [], "v": []}
+        for start, fps in zip(batch.column("start").to_pylist(), batch.column("fps").to_pylist(), strict=True):
             fps = sorted(fps)
             own = np.array(fps, np.int64)
-            view, start = divmod(key >> 32, SEGMENTS)
             a, b = _ring_links(own.view(np.uint64), start, distance)
             for i, j in _spanning(len(own), a, b):
-                out["view"].append(view)
                 out["u"].append(fps[i])
                 out["v"].append(fps[j])
         return out
 
-    near = map_batches(cold, fn, "view int, u long, v long")
-
-    hot = held.filter(F.col("n") > BUCKET).select("view", "fp").distinct()
-    masks = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in range(64)))
-    around = hot.select("view", "fp", F.explode(masks).alias("mask")).select("view", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
-    if distance == 2:  # members of one neighbour are two bits apart at most, and 65 at most
-        groups = around.groupBy("view", "centre").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        star = groups.select("view", F.array_min("fps").alias("u"), F.explode("fps").alias("v")).filter("u != v")
-    else:
-        other = hot.select("view", F.col("fp").alias("centre"))
-        star = around.join(other, ["view", "centre"], "left_semi").select("view", F.col("fp").alias("u"), F.col("centre").alias("v")).filter("u != v" if distance else "false")
-    return near.unionByName(star.select(F.col("view").cast("int").alias("view"), "u", "v"))
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, views: int = 1) -> Table:
-    """A written table (doc_id, fp, component_id): the smallest doc_id reachable over links; fp is view 0's."""
-    own = write_table(fingerprints(docs, id_col, text_col, shingle, views), "simhash-fp")
-    first = own.df.select("doc_id", F.col("fps")[0].alias("fp"), "fps")
-    distinct = write_table(first.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    if views == 1:
-        found = links(distinct.df.select(F.lit(0).alias("view"), "fp"), distance).select("u", "v")
-        roots = connected_components(found).df
-    else:
-        roots = _view_components(first, distance)
+    return map_batches(buckets, fn, "u long, v long")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> Table:
+    """A written table (doc_id, fp, component_id): the smallest doc_id reachable over links."""
+    own = write_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    distinct = write_table(own.df.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    roots = connected_components(links(distinct.df.select("fp"), distance)).df
     linked = roots.join(distinct.df, roots["node"] == distinct.df["fp"]).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
     by_fp = write_table(distinct.df.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-by-fp")
     # A plain join of two scans: a fingerprint with very many rows is a skewed partition that adaptive execution splits.
-    return write_table(first.select("doc_id", "fp").join(by_fp.df, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
-
-
-def _view_components(first: DataFrame, distance: int) -> DataFrame:
-    """(node, root) of view 0's fingerprints over the links of all views.
-
-    Nodes are fingerprints of views. Besides the links of each view there is an
-    edge from a document's fingerprint in view 0 to its one in another view,
-    wherever that one is shared by, or linked to, another's.
-    """
-    pairs = write_table(first.select("fp", F.posexplode("fps").alias("view", "other")).distinct(), "simhash-views")
-    found = write_table(links(pairs.df.select("view", F.col("other").alias("fp")).distinct(), distance), "simhash-links")
-    shared = pairs.df.filter("view > 0").groupBy("view", "other").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select("view", "other")
-    ends = found.df.select("view", F.col("u").alias("other")).unionByName(found.df.select("view", F.col("v").alias("other"))).filter("view > 0")
-    wanted = write_table(shared.unionByName(ends).distinct(), "simhash-wanted")
-    across = pairs.df.join(wanted.joinable(), ["view", "other"]).select(_node(F.lit(0), F.col("fp")).alias("u"), _node(F.col("view"), F.col("other")).alias("v"))
-    within = found.df.select(_node(F.col("view"), F.col("u")).alias("u"), _node(F.col("view"), F.col("v")).alias("v"))
-    roots = connected_components(across.unionByName(within)).df
-    plain = F.when(F.col("node") >= F.lit(_WORD / 2), F.col("node") - F.lit(_WORD)).otherwise(F.col("node")).cast("long")
-    return roots.filter(F.col("node") < F.lit(_WORD)).select(plain.alias("node"), "root")
-
-
-def _node(view: Column, fp: Column) -> Column:
-    """A view's fingerprint as one number; view 0's are the unsigned fingerprints themselves."""
-    return (view.cast("decimal(6,0)") * F.lit(_WORD) + unsigned(fp)).cast("decimal(28,0)")
+    return write_table(own.df.join(by_fp.df, "fp").select("doc_id", "fp", "component_id"), "simhash-components")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, views: int = 1) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = neardup.SHINGLE, similarity: float = neardup.SIMILARITY) -> DataFrame:
     """The documents with one row of each group of near duplicates: the one with the smallest id.
 
-    Columns are unchanged. Repeated ids count as copies, one of their rows
-    stays; rows without an id can't be told apart and always stay.
+    A group is connected by pairs whose word shingles have a Jaccard similarity
+    of ``similarity`` or more. Columns are unchanged. Repeated ids count as
+    copies, one of their rows stays; rows without an id can't be told apart and
+    always stay.
     """
-    found = components(docs, id_col, text_col, shingle, distance, views)
-    gone = write_table(found.df.filter("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    lost = gone.joinable()
-    kept = docs.join(lost, docs[id_col].cast("long") == lost["_gone"], "left_anti")
-    again = write_table(found.df.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
-    if again.df.isEmpty():
-        return kept
-    more = again.joinable()
-    once = kept.join(more, kept[id_col].cast("long") == more["_again"], "left_semi").dropDuplicates([id_col])
-    return kept.join(more, kept[id_col].cast("long") == more["_again"], "left_anti").unionByName(once)
+    found = neardup.groups(docs, id_col, text_col, shingle, similarity)
+    return neardup.one_of_each(docs, found.df, id_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:

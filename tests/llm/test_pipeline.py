@@ -1,10 +1,8 @@
-import numpy as np
-
 import corpus_pipeline
-from lodewell.llm import decontaminate, linededup, packing, quality, simhash
+from lodewell.llm import decontaminate, linededup, packing, quality
 from lodewell.runtime import write_table
 from tests.llm.test_linededup import slow as slow_lines
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_neardup import slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,9 +25,7 @@ def test_stages_against_their_own_inputs(spark):
     want = [(d, t) for d, t in slow_lines([(r["doc_id"], r["source"], r["text"]) for r in before], linededup.SITES) if t.strip()]
     assert sorted((r["doc_id"], r["text"]) for r in after) == sorted(want)
     before, after = out["near_dedup"]
-    plain = slow_components([(r["doc_id"], slow_fingerprint(r["text"].encode())) for r in before])
-    groups = slow_components([(r["doc_id"], simhash.fingerprint(r["text"].encode(), views=corpus_pipeline.VIEWS)) for r in before], lambda a, b: (np.bitwise_count(a ^ b) <= 2).any())
-    assert sorted(r["doc_id"] for r in after) == sorted(set(groups)) and set(groups) <= set(plain)
+    assert sorted(r["doc_id"] for r in after) == sorted(set(slow_groups([(r["doc_id"], r["text"]) for r in before]).values()))
     before, after = out["decontaminate"]
     items = [(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = decontaminate.WindowSet(items)
@@ -47,4 +43,3 @@ def test_run_equals_the_stages(spark):
         docs = write_table(stage(spark, docs, SF), f"test-{name}").df
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(corpus_pipeline.run(spark, SF).select(*keys).collect()) == sorted(docs.select(*keys).collect())
-    assert simhash.SEGMENTS == 5
