@@ -4,10 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodewell.llm import lm
 
-SMALL = {"head_words": 60, "classed_words": 40, "core_words": 20, "classes": 8}
+SMALL = {"head_words": 60, "core_words": 20, "classes": 8}
 
 
 def slow(rows):
@@ -32,42 +33,97 @@ def test_empty(empty):
 
 
 def test_model_is_a_distribution(spark, documents):
-    """Class transitions sum to one, and so do each class's emissions with the unknown word's share."""
+    """Class transitions sum to one, and so do each class's emissions with the share of expected unseen words."""
     df = documents.selectExpr("doc_id", "true as train", "text")
-    model, words, _ = lm.train_model(df, **SMALL)
+    model, tail, _ = lm.train_model(df, **SMALL)
     assert np.allclose((10**model.transition).sum(1), 1)
-    counts = {r.word.encode(): r.c for r in words.df.collect()}
-    numbers = model.head.lookup()
-    per_class = Counter()
-    for w, c in counts.items():
-        if w == b"":
-            per_class[0] += 1.0
-        elif w in numbers and model.classes[numbers[w]] != lm.RARE:
-            per_class[int(model.classes[numbers[w]])] += 10 ** model.emission[numbers[w]]
-        else:
-            per_class[lm.RARE] += c / (model.rare + model.singles)
-    per_class[lm.RARE] += model.singles / (model.rare + model.singles)
+    emission, _ = model.numbered()
+    per_class = Counter({0: 10 ** emission[lm.END]})
+    for k in range(lm.FIRST, len(model.classes)):
+        per_class[int(model.classes[k])] += 10 ** emission[k]
+    counts = Counter(w for r in documents.collect() for w in (r.text or "").encode().lower().split())
+    rows = tail.df.collect()
+    assert {r.word.encode(): r.c for r in rows} == {w: c for w, c in counts.items() if w not in model.head.lookup()}
+    for r in rows:
+        assert (r["class"] == lm.RARE) == (r.c == 1)
+        per_class[r["class"]] += 10 ** float(model.emission(np.array([r.c]), np.array([r["class"]]))[0])
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    per_class[lm.RARE] += 10**model.unknown * max(1, once * once / (2 * max(1, twice)))
     assert all(abs(x - 1) < 1e-9 for x in per_class.values()), per_class
 
 
 def test_score_by_hand(documents):
     df = documents.selectExpr("doc_id", "doc_id % 7 <> 2 as train", "text")
-    model, words, encoded = lm.train_model(df, **SMALL)
-    counts = {r.word.encode(): r.c for r in words.df.collect()}
-    numbers = model.head.lookup()
+    model, tail, rows = lm.train_model(df, **SMALL)
+    numbers, emission = model.head.lookup(), model.numbered()[0]
+    rest = {r.word.encode(): (r.c, r["class"]) for r in tail.df.collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
-    for r in lm.score(encoded, model, words).collect():
+    pairs = np.zeros((8, 8))
+    for r in documents.collect():
+        before = 0
+        for w in r.text.encode().lower().split() + [b""]:
+            c = lm.END if w == b"" else model.classes[numbers[w]] if w in numbers else rest.get(w, (0, lm.RARE))[1]
+            pairs[before, c] += r.doc_id % 7 != 2
+            before = c
+    unigram = (pairs.sum(0) + 1) / (pairs.sum() + 8)
+    assert np.allclose(model.transition, np.log10((pairs + lm.PRIOR * unigram) / (pairs.sum(1, keepdims=True) + lm.PRIOR)))
+    for r in lm.score(rows, model).collect():
         before, want = 0, 0.0
         for w in texts[r.doc_id].encode().lower().split() + [b""]:
-            k = lm.END if w == b"" else numbers.get(w, lm.RARE)
-            c = model.classes[k]
+            if w == b"" or w in numbers:
+                k = lm.END if w == b"" else numbers[w]
+                c = model.classes[k]
+                want += emission[k]
+            else:
+                n, c = rest.get(w, (0, lm.RARE))
+                want += math.log10(n / model.in_class[c]) if n else model.unknown
             want += model.transition[before, c]
-            want += model.emission[k] if k != lm.RARE else math.log10((counts.get(w, 0) or model.singles) / (model.rare + model.singles))
             before = c
         assert abs(r.score - want) < 1e-6
         assert abs(r.perplexity - 10 ** (-want / r.n_tokens)) < 1e-6 * r.perplexity
 
 
+def test_every_word_met_twice_is_placed(documents):
+    """Whatever the number of numbered words, only words met once are rare."""
+    df = documents.selectExpr("doc_id", "true as train", "text")
+    for sizes in (SMALL, {"head_words": 5, "core_words": 5, "classes": 6}, {}):
+        model, tail, _ = lm.train_model(df, **sizes)
+        assert (model.classes[lm.FIRST :] > lm.RARE + 1).all()
+        assert tail.df.filter(f"c > 1 and class <= {lm.RARE + 1}").count() == 0
+
+
+def test_best_classes_gain_most():
+    """Against the plain gain of each word in each class; a word in its class is taken out of the table first."""
+    rnd = np.random.default_rng(5)
+    table = rnd.integers(20, 60, (7, 7))
+    words, old = [], rnd.integers(3, 7, 50)
+    for _ in range(50):
+        both = rnd.integers(0, 4, 14) * (rnd.random(14) < 0.4)
+        both[rnd.integers(0, 14)] += 1
+        words.append(both)
+    starts = np.cumsum([0, *(np.count_nonzero(w) for w in words)])[:-1]
+    cell = np.concatenate([np.flatnonzero(w) for w in words])
+    n = np.concatenate([w[w > 0] for w in words])
+    new = lm.best_classes(table, 3, starts, cell, n)
+    for w, c in zip(words, new, strict=True):
+        gain = lm.gains(table, w[:7], w[7:])[3:]
+        assert gain[c - 3] >= gain.max() - 1e-9
+    stay = lm.best_classes(table, 3, starts, cell, n, old)
+    for w, o, c in zip(words, old, stay, strict=True):
+        out = table.copy()
+        out[o] -= w[7:]
+        out[:, o] -= w[:7]
+        full = lm.gains(table, w[:7], w[7:])
+        full[o] = 0.0  # what the class loses without the word, with no pair of the word counted twice
+        for g, k in enumerate(w[7:]):
+            full[o] += lm._xlogx(table[o, g]) - lm._xlogx(table[o, g] - k)
+        for g, k in enumerate(w[:7]):
+            full[o] += lm._xlogx(table[g, o]) - lm._xlogx(table[g, o] - k)
+        full[o] -= lm._xlogx(table[o].sum()) - lm._xlogx(table[o].sum() - w[7:].sum())
+        full[o] -= lm._xlogx(table[:, o].sum()) - lm._xlogx(table[:, o].sum() - w[:7].sum())
+        assert full[c] >= full[3:].max() - 1e-9
+
+
 def test_exchange_raises_the_likelihood():
     rnd = np.random.default_rng(1)
     hidden = rnd.integers(0, 3, 40)
@@ -85,7 +141,9 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(of[3:][hidden == h])) == 1 for h in range(3))
 
 
-def test_beats_the_unigram(spark):
+def test_held_out_text(spark):
+    """Held-out text scores better than with the unigram, and worse than training text does."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    held = lm.digest(df).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert held.s > held.b
+    rows = {r.held_out: r for r in lm.digest(df).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).collect()}
+    assert rows[True].s > rows[True].b
+    assert rows[True].s / rows[True].n < rows[False].s / rows[False].n
