@@ -8,10 +8,13 @@ before it, its surroundings, and its variety of characters. The candidate's
 votes and discrete features make a pattern.
 
 Expectation-maximisation over the counts of distinct patterns (their number is
-bounded by the votes and features, whatever the corpus) estimates how reliable
-each labeler is and how likely each pattern is to be personal data; a logistic
-span classifier is trained on these probabilities. Candidates that it accepts
-are added where they overlap no other span. Base spans always stay.
+bounded by the votes and features, whatever the corpus) estimates, for each
+kind, how often each labeler votes for and against what is personal data and
+what is not. Two ends are held: base spans are personal data by definition, and
+a card number or address that fails its check, with no word for it before it,
+is none. A logistic span classifier is trained on the resulting probabilities. Candidates
+that it accepts are added where they overlap no other span. Base spans always
+stay.
 
 Defined results: null and empty texts have no spans; repeated rows are
 reported one by one; a null doc_id stays null; an empty table gives an empty
@@ -20,6 +23,7 @@ result; further columns are ignored. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable
@@ -52,7 +56,10 @@ _IDENTITY = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-
 _CREDENTIAL = re.compile(r"(?:\bAKIA[0-9A-Z]{16}\b)|(?:\b(?:password|passwd|secret|token|api_?key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,128}\"?)", re.IGNORECASE)
 
 # Gazetteers (fixed values): top-level domains, card issuer digits, calling codes, credential names.
-TOP_LEVEL = frozenset({"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "eu"})
+TOP_LEVEL = frozenset(
+    "at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov gr hu id ie il in info int io it jp kr me mil mx name net nl no nz org "
+    "pl pt ro ru se sg sk th tr tv tw ua uk us za".split()
+)
 ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "34", "37", "6011", "65", "35", "36")
 CALLING = ("1", "7", "20", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
 NAMED = ("akia", "password", "passwd", "secret", "token", "api")
@@ -122,17 +129,33 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     lowered = text.lower()
     if "akia" in lowered or any(w in lowered for w in NAMED[1:]):
         wide += [(5, *m.span()) for m in _CREDENTIAL.finditer(text)]
-    taken = sorted((a, b) for _, a, b, _ in found)
-    found += [(k, a, b, False) for k, a, b in sorted(set(wide)) if not _overlaps(taken, a, b)]
+    taken = Taken((a, b) for _, a, b, _ in found)
+    found += [(k, a, b, False) for k, a, b in sorted(set(wide)) if taken.free(a, b)]
     return sorted(found)
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    import bisect
+class Taken:
+    """Stretches of a text that spans take; overlapping ones are merged, so one look finds any overlap."""
 
-    i = bisect.bisect_left(taken, (b,))
-    # Base kinds may overlap one another, so look back over those that could reach ``a``.
-    return any(e > a for _, e in taken[max(0, i - 4) : i])
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return not i or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Take a stretch that is free."""
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
 
 
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int, ...]:
@@ -147,11 +170,11 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
         form = 1 if max(parts) <= 255 else -1
         known = -1 if parts[0] in (0, 127) or parts[0] >= 224 else 1
     elif name == "phone":
-        form = 1 if 8 <= len(digits) <= 15 else -1
+        form = 1 if 8 <= len(digits) <= 15 and (span[0] in "+(" or "-" in span) else -1  # groups between spaces or dots alone are any numbers
         known = (1 if digits.startswith(CALLING) else -1) if span.startswith("+") else (1 if "555" in span or span.startswith("(") else 0)
     elif name == "email":
         form = 1 if base else 0
-        known = 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in TOP_LEVEL else 0
+        known = 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in TOP_LEVEL else -1
     elif name == "id_number":
         form = 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1
         known = 0
@@ -160,9 +183,10 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
         known = 1 if span.lower().startswith(NAMED) else 0
     before = text[max(0, start - 40) : start].lower()
     context = 1 if any(w in before for w in CONTEXT[name]) else 0
-    edge = -1 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else 1
+    # The last two only ever speak against: nearly everything stands free and varies.
+    edge = -1 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else 0
     variety = len(set(digits if name in ("card", "phone", "id_number") else span))
-    varied = 1 if variety >= 4 else -1
+    varied = 0 if variety >= 4 else -1
     return form, known, context, edge, varied
 
 
@@ -186,31 +210,56 @@ def unpack(code: int) -> tuple[int, list[int], int, int]:
     return code, out[::-1], size, base
 
 
-def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """EM for a two-class naive Bayes of labelers: (probability of each pattern, accuracy of each labeler).
+#: What the rates begin as, and how many candidates that belief is worth: a labeler mostly speaks for personal data, seldom against it, and the other way round.
+FOR, AGAINST, STRENGTH = 0.8, 0.1, 20.0
+
+
+def anchor(kind: int, v: Iterable[int], base: int) -> float:
+    """1 for what is personal data for certain, 0 for what is not, NaN for what is to be found out."""
+    form, _, context, *_ = v
+    return 1.0 if base else 0.0 if KINDS[kind] in ("card", "ip") and form < 0 and context <= 0 else np.nan
+
+
+def reliabilities(kind: np.ndarray, v: np.ndarray, n: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """EM for a two-class naive Bayes of labelers: (probability of each pattern, rates[kind, class, labeler]).
 
-    ``v`` holds votes of distinct patterns, ``n`` their counts; labelers start
-    as better than chance, which fixes which class is which.
+    ``v`` holds votes of distinct patterns, ``n`` their counts, ``held`` the
+    probabilities that are certain, else NaN. A rate is the share of a labeler's
+    votes for, among its votes on what is (class 1) or isn't (0) personal data;
+    an abstention says nothing. A labeler that only ever speaks on one side is
+    judged by how often it speaks.
     """
-    prior, accuracy = 0.5, np.full(v.shape[1], 0.8)
-    p = np.full(len(v), 0.5)
+    kinds = int(kind.max(initial=-1)) + 1
+    start = np.array([AGAINST, FOR])[None, :, None] * np.ones((kinds, 2, v.shape[1]))
+    rates, prior = start.copy(), np.full(kinds, 0.5)
+    one_sided = np.array([[not ((v[kind == k] > 0).any(axis=0) & (v[kind == k] < 0).any(axis=0))[j] for j in range(v.shape[1])] for k in range(kinds)]).reshape(kinds, -1)
+    p, open_ = np.where(np.isnan(held), 0.5, held), held != 1.0
     for _ in range(rounds):
-        say = np.log(accuracy / (1 - accuracy))
-        odds = np.log(prior / (1 - prior)) + v @ say
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        right = (n[:, None] * ((v > 0) * p[:, None] + (v < 0) * (1 - p[:, None]))).sum(0)
-        cast = (n[:, None] * (v != 0)).sum(0)
-        accuracy = np.clip((right + 8) / (cast + 10), 0.51, 0.99)
-        prior = float(np.clip((n @ p + 1) / (n.sum() + 2), 0.05, 0.95))
-    return p, accuracy
+        odds = np.log(prior / (1 - prior))[kind]
+        for vote in (1, -1):
+            say = rates if vote > 0 else 1 - rates
+            odds = odds + np.where(v == vote, np.log(say[kind, 1] / say[kind, 0]), 0.0).sum(axis=1)
+        p = np.where(np.isnan(held), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), held)
+        for k in range(kinds):
+            mine = kind == k
+            for c, share in ((0, 1 - p), (1, p)):
+                weight = (n * share)[mine][:, None]
+                yes, cast = (weight * (v[mine] > 0)).sum(0), (weight * (v[mine] != 0)).sum(0)
+                rates[k, c] = np.where(one_sided[k], start[k, c], (yes + STRENGTH * start[k, c]) / (cast + STRENGTH))
+            asked = mine & open_  # base spans don't make the others likelier
+            prior[k] = np.clip((n[asked] @ p[asked] + 1) / (n[asked].sum() + 2), 0.05, 0.95)
+    return p, rates
 
 
 def _inputs(codes: Iterable[int]) -> np.ndarray:
+    """A row for each pattern: each kind's intercept and votes, and the class of digits."""
     rows = []
     for code in codes:
         kind, v, size, _ = unpack(code)
-        rows.append([1.0, *v, *(float(kind == k) for k in range(len(KINDS))), *(float(size == s) for s in range(4))])
-    return np.array(rows, float).reshape(-1, 1 + LABELERS + len(KINDS) + 4)
+        row = np.zeros((len(KINDS), 1 + LABELERS))
+        row[kind] = [1.0, *v]
+        rows.append([*row.ravel(), *(float(size == s) for s in range(4))])
+    return np.array(rows, float).reshape(-1, len(KINDS) * (1 + LABELERS) + 4)
 
 
 def train(counts: dict[int, int]) -> dict[int, float]:
@@ -219,14 +268,16 @@ def train(counts: dict[int, int]) -> dict[int, float]:
         return {}
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
+    parts = [unpack(c) for c in codes]
+    p, _ = reliabilities(np.array([k for k, *_ in parts]), np.array([v for _, v, _, _ in parts]), n, np.array([anchor(k, v, base) for k, v, _, base in parts]))
     x = _inputs(codes)
-    p, _ = reliabilities(x[:, 1 : 1 + LABELERS], n)
     w = np.zeros(x.shape[1])
     weight = n / n.sum() * min(n.sum(), 1e4)
-    for _ in range(30):
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (weight * (p - q)) - 0.1 * w)
+        step = np.linalg.solve(h, x.T @ (weight * (p - q)) - 0.1 * w)
+        w += step / max(1.0, np.abs(step).max())
     return dict(zip(codes, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
@@ -249,11 +300,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         out = []
         for found in batch.column("found").to_pylist():
             kept = [(c["kind"], c["start"], c["end"], True) for c in found if c["base"]]
-            taken: list[tuple[int, int]] = []
+            taken = Taken()
             added = sorted((-odds[c["pattern"]], c["kind"], c["start"], c["end"]) for c in found if not c["base"] and odds[c["pattern"]] >= threshold)
             for _, kind, a, b in added:
-                if all(b <= s or e <= a for s, e in taken):
-                    taken.append((a, b))
+                if taken.free(a, b):
+                    taken.add(a, b)
                     kept.append((kind, a, b, False))
             out.append([{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in sorted(kept)])
         return {"doc_id": batch.column("doc_id"), "spans": out}
@@ -276,12 +327,12 @@ def joined(found: Iterable[dict]) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans."""
+    """doc_id, counts and digest of the base spans, all spans, and their number with that of the added ones."""
 
     def fn(batch: pa.RecordBatch) -> dict:
         every = batch.column("spans").to_pylist()
         base = [[s for s in x if s["base"]] for x in every]
         out = {f"n_{k}": [sum(s["kind"] == k for s in x) for x in base] for k in BASE_KINDS}
-        return out | {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(joined(x).encode()).hexdigest() for x in base], "spans": [joined(x) for x in every]}
+        return out | {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(joined(x).encode()).hexdigest() for x in base], "spans": [joined(x) for x in every], "n_spans": [len(x) for x in every], "n_added": [len(x) - len(y) for x, y in zip(every, base, strict=True)]}
 
-    return map_batches(spans(docs), fn, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(spans(docs), fn, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")

@@ -67,11 +67,66 @@ def test_em_finds_the_reliable_labelers():
     truth = rnd.random(4000) < 0.6
     accuracy = [0.95, 0.9, 0.75, 0.6, 0.85]
     v = np.where(truth[:, None], 1, -1) * np.where(rnd.random((4000, 5)) < accuracy, 1, -1) * (rnd.random((4000, 5)) < 0.8)
-    p, found = pii.reliabilities(v, np.ones(4000))
-    assert np.abs(found - accuracy).max() < 0.06
+    p, rates = pii.reliabilities(np.zeros(4000, int), v, np.ones(4000), np.full(4000, np.nan))
+    assert np.abs(rates[0, 1] - accuracy).max() < 0.06 and np.abs(1 - rates[0, 0] - accuracy).max() < 0.06
     assert ((p > 0.5) == truth).mean() > 0.93
 
 
+def test_reliabilities_are_of_a_kind():
+    """A labeler that is right on one kind and wrong on another gets other rates there."""
+    rnd = np.random.default_rng(1)
+    truth, kind = rnd.random(6000) < 0.5, rnd.integers(0, 2, 6000)
+    right = rnd.random((6000, 4)) < np.where(kind[:, None] == 0, [0.95, 0.9, 0.9, 0.6], [0.6, 0.9, 0.9, 0.95])
+    v = np.where(truth[:, None] == right, 1, -1)
+    _, rates = pii.reliabilities(kind, v, np.ones(6000), np.full(6000, np.nan))
+    assert rates[0, 1, 0] > 0.9 > 0.7 > rates[1, 1, 0] and rates[1, 1, 3] > 0.9 > 0.7 > rates[0, 1, 3]
+
+
+PLANTED = {  # what the method should add, and what it should leave
+    True: ["write to jo{n} (at) example (dot) org", "call (0{d}7) 555-{n}1 please", "amex 3782822463100{m}", "ssn 123-4{d}-6{n}", "password=abc{n}def456", "AKIAABCDEFGHIJKLM{n}"],
+    False: ["order 41111111{n}11{n}", "serial 98079157628{n}0", "version 1.2.{n}.4{n}", "sum {n} {n} {n}", "from 300.{n}.1.1", "year {n} to {n}", "at a dot"],
+}
+
+
+def test_precision_and_recall_of_what_is_added(spark):
+    rnd, rows, want = random.Random(3), [], set()
+    for i in range(1200):
+        good = i % 2 == 0
+        form = rnd.choice(PLANTED[good])
+        n = rnd.randrange(100, 999)
+        text = form.format(n=n, m=f"{n % 100:02d}", d=n % 10)
+        digits = re.sub("[^0-9]", "", text)
+        if form.startswith("amex"):  # the last digit makes the sum right
+            text = text[:-1] + next(c for c in "0123456789" if pii.luhn(digits[:-1] + c))
+        elif form.startswith(("order", "serial")) and pii.luhn(digits):
+            text = text[:-1] + str((int(text[-1]) + 1) % 10)
+        rows.append((i, f"some words {text} and more"))
+        if good:
+            want.add(i)
+    base = [(2000 + i, t) for i, t in enumerate(["card 4111 1111 1111 1111 ok", "x@mail.example.com", "+1 (415) 555-2671 x", "10.20.30.40 up"] * 50)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows + base, "doc_id long, text string")).collect()}
+    found = {d for d, r in got.items() if r.n_added}
+    assert all(r.n_spans == r.n_added + r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values())
+    assert len(found & want) / len(want) > 0.98 and len(found & want) / len(found) > 0.98
+
+
+def test_no_candidate_inside_a_base_span():
+    text = "x" * 3 + " 1.1.1.1 2.2.2.2 3.3.3.3 4.4.4.4 5.5.5.5 " + "a" * 70 + ".123-45-6789." + "b" * 9 + "@host.example.com"
+    start = text.index("a" * 70)
+    many = text + " " + " ".join(f"{k}.1.1.1" for k in range(9))
+    for t in (text, many, "%" + "1.1.1.1" * 5 + "123-45-6789@h.com"):
+        found = pii.candidates(t)
+        base = [(a, b) for _, a, b, yes in found if yes]
+        assert all(b <= c or d <= a for _, a, b, yes in found if not yes for c, d in base), t
+    assert start
+
+
+def test_digits_that_fail_the_checksum_are_no_cards(spark):
+    texts = ["number 9807915762804490 in prose"] * 30 + ["number 3627072101032238 too"] * 8 + ["number 4845168114407329 too"] * 40
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_spans for r in sorted(got)] == [0] * 38 + [1] * 40
+
+
 def test_pattern_round_trip():
     text = "call +1 (415) 555-2671 or 4111 1111 1111 1112 x"
     for k, a, b, base in pii.candidates(text):
