@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 import zstandard
 
 from . import Damage
@@ -14,29 +15,38 @@ CODES = {v: k for k, v in NAMES.items()}
 
 
 def lzjb(src: bytes, size: int) -> bytes:
+    """A control byte says for each of the next eight items, from its lowest bit, whether it is a match or a literal."""
     out = bytearray()
-    at, mask, control = 0, 0x80, 0
+    at = 0
     while len(out) < size:
-        mask <<= 1
-        if mask == 0x100:
-            if at >= len(src):
-                raise Damage("lzjb: input ends early")
-            control, mask, at = src[at], 1, at + 1
-        if control & mask:
-            if at + 1 >= len(src):
-                raise Damage("lzjb: input ends early")
-            length = (src[at] >> 2) + 3
-            back = (src[at] & 3) << 8 | src[at + 1]
-            at += 2
-            if not 0 < back <= len(out):
-                raise Damage("lzjb: offset outside output")
-            for _ in range(min(length, size - len(out))):
-                out.append(out[-back])
-        else:
-            if at >= len(src):
-                raise Damage("lzjb: input ends early")
-            out.append(src[at])
-            at += 1
+        if at >= len(src):
+            raise Damage("lzjb: input ends early")
+        control, at = src[at], at + 1
+        if not control and at + 8 <= len(src) and len(out) + 8 <= size:
+            out += src[at : at + 8]
+            at += 8
+            continue
+        for bit in range(8):
+            if len(out) >= size:
+                break
+            if control >> bit & 1:
+                if at + 1 >= len(src):
+                    raise Damage("lzjb: input ends early")
+                length = min((src[at] >> 2) + 3, size - len(out))
+                back = (src[at] & 3) << 8 | src[at + 1]
+                at += 2
+                if not 0 < back <= len(out):
+                    raise Damage("lzjb: offset outside output")
+                start = len(out) - back
+                if back >= length:
+                    out += out[start : start + length]
+                else:
+                    out += (bytes(out[start:]) * (length // back + 1))[:length]
+            else:
+                if at >= len(src):
+                    raise Damage("lzjb: input ends early")
+                out.append(src[at])
+                at += 1
     return bytes(out)
 
 
@@ -56,7 +66,8 @@ def zle(src: bytes, size: int, level: int = 64) -> bytes:
     return bytes(out)
 
 
-def lz4_block(src: bytes, size: int) -> bytes:
+def _lz4_plain(src: bytes, size: int) -> bytes:
+    """By the format's rules alone: the library also wants a block's last match well before its end."""
     out = bytearray()
     at = 0
     while at < len(src):
@@ -105,6 +116,31 @@ def lz4_block(src: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+_LZ4 = pa.Codec("lz4_raw")
+
+
+def lz4_block(src: bytes, size: int) -> bytes:
+    """One LZ4 block of exactly ``size`` bytes.
+
+    The library does not say how much it wrote, so a block whose result would
+    fit into one byte less is damage, too. What the library refuses is decoded
+    plainly, which says what is wrong with it.
+    """
+
+    def decoded(n: int) -> bytes | None:
+        try:
+            return _LZ4.decompress(src, decompressed_size=n, asbytes=True)
+        except OSError:
+            return None
+
+    out = decoded(size) if size > 1 else None
+    if out is None:
+        return _lz4_plain(src, size)
+    if decoded(size - 1) is not None:
+        raise Damage("lz4: wrong output size")
+    return out
+
+
 def lz4(src: bytes, size: int) -> bytes:
     """A big-endian length, then one LZ4 block."""
     n = int.from_bytes(src[:4], "big")

@@ -26,6 +26,17 @@ def test_codecs_round_trip_and_refuse_wrong_sizes(codec):
             compress.decompress(code, packed[: len(packed) // 2], len(data))
 
 
+def test_lz4_has_exactly_its_size():
+    for data in samples():
+        body = compress.compress("lz4", data)[4:]
+        assert compress.lz4_block(body, len(data)) == data
+        for wrong in (len(data) - 1, len(data) + 1, len(data) + 300, 0):
+            if 0 <= wrong != len(data):
+                with pytest.raises(Damage):
+                    compress.lz4_block(body, wrong)
+    assert compress.lz4_block(b"\0", 0) == b""
+
+
 def test_known_blocks():
     assert compress.lz4_block(bytes.fromhex("10610100") + b"\x50aaaaa", 10) == b"a" * 10
     assert compress.lzjb(b"\x02a\x00\x01", 4) == b"aaaa"
@@ -204,6 +215,45 @@ def test_signatures():
     assert [(f.kind, f.size, f.label) for f in found] == [("ext", 1024000, "root")]
 
 
+def test_every_signature():
+    """Each kind alone, built by its published layout; an empty volume has none."""
+
+    def disk(*parts):
+        out = bytearray(0x11000)
+        for at, data in parts:
+            out[at : at + len(data)] = data
+        return lambda at, n: bytes(out[at : at + n])
+
+    def le(value, n):
+        return value.to_bytes(n, "little")
+
+    cases = {
+        "ext": (disk((1080, b"\x53\xef"), (1028, le(1000, 4)), (1048, le(2, 4)), (1144, b"root")), 1080, 4096000, "root"),
+        "swap": (disk((4086, b"SWAPSPACE2"), (1028, le(99, 4)), (1052, b"sw")), 4086, 409600, "sw"),
+        "xfs": (disk((0, b"XFSB"), (4, (4096).to_bytes(4, "big")), (8, (50).to_bytes(8, "big")), (108, b"data")), 0, 204800, "data"),
+        "btrfs": (disk((0x10040, b"_BHRfS_M"), (0x10070, le(1 << 30, 8)), (0x1012B, b"vol")), 0x10040, 1 << 30, "vol"),
+        "ntfs": (disk((3, b"NTFS    "), (11, le(512, 2)), (40, le(800, 8))), 3, 409600, ""),
+        "fat32": (disk((82, b"FAT32   "), (11, le(512, 2)), (32, le(900, 4)), (71, b"USB        ")), 82, 460800, "USB"),
+        "ufs2": (disk((65536 + 1372, le(0x19540119, 4)), (65536 + 680, b"ufs")), 65536 + 1372, None, "ufs"),
+        "luks": (disk((0, b"LUKS\xba\xbe")), 0, None, ""),
+        "gpt": (disk((512, b"EFI PART")), 512, None, ""),
+        "pool": (disk((16384, b"\1\1\0\0")), 16384, None, ""),
+    }
+    for kind, (read, at, size, label) in cases.items():
+        assert [(f.kind, f.offset, f.size, f.label) for f in media.signatures(read)] == [(kind, at, size, label)]
+    assert media.signatures(disk()) == []
+
+
+def test_a_pool_inside_a_volume(tmp_path):
+    from lodewell.fixtures.builder import Builder
+
+    b = Builder(str(tmp_path), "single", 1, size=8 << 20)
+    path = b.finish()[0]
+    with open(path, "rb") as f:
+        data = f.read(0x11000)
+    assert [x.kind for x in media.signatures(lambda at, n: data[at : at + n])] == ["pool"]
+
+
 def test_first_structural_reason():
     node = blocks.build_dnode(23, 8192, 1, 17, 0, [blocks.build_blkptr([blocks.Dva(0, 4096, 8192, False)], 8192, 8192, 2, 7, 23, 0, 50, 1, (0, 0, 0, 0))])
     assert carve.judge(node)[1] is None

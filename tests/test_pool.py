@@ -158,6 +158,34 @@ def test_silent_damage_is_rebuilt(tmp_path):
     assert b"".join(obj.read(i) for i in range(size // 8192)) == image_of(vol)
 
 
+@pytest.mark.parametrize(("kind", "disks", "parity"), [("raidz", 8, 2), ("raidz", 12, 3), ("draid", 6, 2)])
+def test_healthy_blocks_are_put_together_once(tmp_path, monkeypatch, kind, disks, parity):
+    """No parity is read or solved for a block whose columns verify; with a bad column the tries end with the budget."""
+    b = Builder(str(tmp_path), kind, disks, parity, size=SIZE)
+    vol = volume(4, "off", "sha256")
+    b.commit(7, 10, {"": ROOT, "vol": Item(2, vol, 6)})
+    paths = b.finish()
+    devices = [assemble.scan(p, i) for i, p in enumerate(paths)]
+    r = reader.Reader(assemble.choose(assemble.assemble(devices)).pool)
+    root = next(s.ub for s in devices[0].labels[0].slots if s.status == "verified").rootbp
+    solved, reads = [], []
+    solve, leaf = reader.raidz.reconstruct, reader.Reader._leaf
+    monkeypatch.setattr(reader.raidz, "reconstruct", lambda *a: solved.append(1) or solve(*a))
+    monkeypatch.setattr(reader.Reader, "_leaf", lambda *a: reads.append(a[2]) or leaf(*a))
+    ds = next(d for d in datasets.Meta(r, root).walk("tank").datasets if d.name == "tank/vol")
+    obj, size = datasets.volume(r, ds)
+    bp = obj.locate(0)
+    reads.clear()
+    assert obj.read(0) == image_of(vol)[:8192] and not solved
+    columns = [c for row in r.pool.tops[bp.dva[0].vdev].rows(bp.dva[0].offset, bp.psize) for c in row[parity:] if c.size]
+    assert len(reads) == len(columns) * len([d for d in bp.dva if not d.empty][:1])
+    monkeypatch.setattr(reader, "verdict", lambda *a, **k: reader.MISMATCH)
+    monkeypatch.setattr(reader.Budget, "__init__", lambda self: setattr(self, "left", 5))
+    with pytest.raises(reader.Unreadable):
+        r.raw(bp, [])
+    assert len(solved) <= 5
+
+
 def test_unreadable_blocks_are_zeroed_or_strict(spark, tmp_path):
     b = Builder(str(tmp_path), "single", 1, size=SIZE)
     vol = volume(5, "off", "fletcher4")
