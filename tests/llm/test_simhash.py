@@ -89,13 +89,15 @@ def test_the_same_without_broadcasts(odd, monkeypatch):
     check(odd)
 
 
-def test_components_of_stars_chains_and_loops(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_stars_chains_and_loops(spark, monkeypatch, few):
     """Hot nodes, long chains and loops against plain union-find."""
     import random
 
     from lodewell.llm import components
 
     monkeypatch.setattr(components, "HOT_ROWS", 5)
+    monkeypatch.setattr(components, "FEW", few)
     rnd = random.Random(4)
     edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(300, 301), (301, 302), (302, 300), (5, 5)] + [(rnd.randrange(400, 500), rnd.randrange(400, 500)) for _ in range(60)]
     rnd.shuffle(edges)
