@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import write_table
@@ -50,56 +53,126 @@ def _sweep(both: DataFrame, keys: Sequence[str], start: str, end: str, keep) ->
     return merge(pieces, keys, start, end)
 
 
-def replay(log: DataFrame, keys: Sequence[str], seq: str, kind: str, start: str = "start", end: str = "end", alloc: str = "alloc") -> DataFrame:
-    """Allocated ranges after an ordered log of alloc and free entries: the last writer of each elementary piece decides.
+def _painted(s: np.ndarray, e: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+    """The runs whose last writer (greatest ``q``) is odd: ranges paint from the last back, each only what is still bare."""
+    at = np.unique(np.concatenate([s, e]))
+    first, last = np.searchsorted(at, s).tolist(), np.searchsorted(at, e).tolist()
+    bare = list(range(len(at)))  # from each piece to the next one that is bare
+    odd = np.zeros(len(at) + 1, bool)
+    for i in np.argsort(-q, kind="stable").tolist():
+        j, stop, colour = first[i], last[i], bool(q[i] & 1)
+        while True:
+            here = j
+            while bare[here] != here:
+                bare[here] = here = bare[bare[here]]
+            if here >= stop:
+                break
+            odd[here + 1] = colour
+            bare[here] = here + 1
+            j = here + 1
+    edges = np.flatnonzero(odd[1:] != odd[:-1]).tolist()  # the piece past the last boundary stays bare
+    return [(int(at[a]), int(at[b])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
 
-    Entries meet the elementary pieces they cover through the sorted list of
-    boundaries of their key, not by comparing every entry with every piece.
-    ``seq`` is not negative and below 2^62.
+def replay(log: DataFrame, keys: Sequence[str], seq: str, kind: str, start: str = "start", end: str = "end", alloc: str = "alloc") -> DataFrame:
+    """Allocated ranges after an ordered log of alloc and free entries: the last writer of every position decides.
+
+    A key's positions are cut into blocks of about equally many boundaries. An
+    entry goes, cut off, to the blocks where it begins and ends; what lies
+    between is covered whole, and such covers meet in a binary tree over the
+    blocks, a logarithmic number of nodes for each entry, of which only the
+    last writer counts. Each block is then painted by itself, so neither a key
+    with most of the log nor entries that span all others are gathered or
+    compared piece by piece. ``seq`` is not negative and below 2^62.
     """
     # Order and kind in one number, so that the last writer is a plain maximum.
     mark = F.col(seq).cast("long") * 2 + (F.col(kind) == alloc).cast("long")
-    own = log.filter(F.col(end) > F.col(start)).select(*keys, mark.alias("q"), F.col(start).alias("s"), F.col(end).alias("e"))
-    bounds = write_table(own.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct(), "bounds").df
-    pieces = next_value(bounds, keys, "at", "to").filter("to is not null")
-    covered = overlap_join(own, pieces.select(*(F.col(k) for k in keys), F.col("at"), F.col("to")), keys, ("s", "e"), ("at", "to"))
-    last = covered.groupBy(*keys, "at", "to").agg(F.max("q").alias("q")).filter("q % 2 = 1")
-    return merge(last.select(*keys, F.col("at").alias(start), F.col("to").alias(end)), keys, start, end)
-
-
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int | None = None, how: str = "inner") -> DataFrame:
-    """Pairs of a key whose ranges overlap, as an equi-join on bins of ``width``.
-
-    A range is dealt to each bin it touches; a pair is kept in the bin of the
-    later start only, so it comes once. ``width`` defaults to the mean length
-    of both sides' ranges, which keeps bins per range near two.
+    own = log.filter(F.col(end) > F.col(start)).select(*keys, mark.alias("q"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    entries = write_table(own.groupBy(*keys, "s", "e").agg(F.max("q").alias("q")), "entries").df
+    points = entries.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct()
+    # Written once: blocks are whatever the range sampling made of the partitions.
+    dealt = write_table(points.repartitionByRange(*keys, "at").groupBy(*keys, F.spark_partition_id().alias("b")).agg(F.min("at").alias("lo")), "blocks")
+    cuts = write_table(dealt.df.groupBy(*keys).agg(F.array_sort(F.collect_set("lo")).alias("cuts")), "cuts")  # one number for each partition at most
+
+    def block(position: Column) -> Column:
+        return F.size(F.filter("cuts", lambda c: c <= position)) - 1
+
+    placed = write_table(entries.join(cuts.joinable(), list(keys)).withColumn("i", block(F.col("s"))).withColumn("j", block(F.col("e") - 1)), "placed").df
+    inner = placed.filter("i = j").select(*keys, F.col("i").alias("b"), "s", "e", "q")
+    head = placed.filter("i < j").select(*keys, F.col("i").alias("b"), "s", F.col("cuts")[F.col("i") + 1].alias("e"), "q")
+    tail = placed.filter("i < j").select(*keys, F.col("j").alias("b"), F.col("cuts")[F.col("j")].alias("s"), "e", "q")
+    most = placed.agg(F.max(F.size("cuts"))).first()[0] or 0
+    levels = max(1, most.bit_length())
+    nodes = []
+    for k in range(levels):  # the whole blocks [i + 1, j) as nodes of the tree
+        left, right = F.ceil((F.col("i") + 1) / F.lit(1 << k)), F.floor(F.col("j") / F.lit(1 << k))
+        nodes.append(F.when((left < right) & (left % 2 == 1), F.struct(F.lit(k).alias("_level"), left.cast("int").alias("_node"))))
+        nodes.append(F.when((left < right) & (right % 2 == 1), F.struct(F.lit(k).alias("_level"), (right - 1).cast("int").alias("_node"))))
+    covers = placed.filter("i + 1 < j").select(*keys, "q", F.explode(F.array_compact(F.array(*nodes))).alias("_n")).select(*keys, "q", "_n.*").groupBy(*keys, "_level", "_node").agg(F.max("q").alias("q"))
+    above = cuts.df.filter(F.size("cuts") > 2).select(*keys, "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 2)).alias("b")).select(*keys, "cuts", "b", F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), F.shiftright("b", k).alias("_node")) for k in range(levels)))).alias("_n"))
+    whole = above.select(*keys, "cuts", "b", "_n.*").join(covers, [*keys, "_level", "_node"]).groupBy(*keys, "b").agg(F.max("q").alias("q"), F.first("cuts").alias("cuts")).select(*keys, "b", F.col("cuts")[F.col("b")].alias("s"), F.col("cuts")[F.col("b") + 1].alias("e"), "q")
+    # Equal pieces of a block, as cut-off entries often are, go as one.
+    pieces = reduce(DataFrame.unionByName, (inner, head, tail, whole)).groupBy(*keys, "b", "s", "e").agg(F.max("q").alias("q"))
+    schema = ", ".join([*(f"`{k}` {log.schema[k].dataType.simpleString()}" for k in keys), "s long", "e long"])
+
+    def paint(group: pd.DataFrame) -> pd.DataFrame:
+        runs = _painted(group["s"].to_numpy(), group["e"].to_numpy(), group["q"].to_numpy())
+        out = pd.DataFrame(runs, columns=["s", "e"])
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out[[*keys, "s", "e"]]
+
+    painted = pieces.groupBy(*keys, "b").applyInPandas(paint, schema)
+    return merge(painted.withColumnsRenamed({"s": start, "e": end}), keys, start, end)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """Pairs of a key whose ranges overlap, as equi-joins on cells of the longer range's size.
+
+    A range's level is the least power of two that holds it. Two ranges meet at
+    the higher of their levels, where each touches two cells at most, so a long
+    range meets what lies in about its own length and short ranges meet in short
+    cells, whatever else the table has. The shorter side goes to each level
+    that the other side has; a pair is kept in the cell of the later start
+    only, so it comes once.
     """
     ls, le = left_range
     rs, re_ = right_range
-    if width is None:
-        mean = left.select((F.col(le) - F.col(ls)).alias("n")).unionByName(right.select((F.col(re_) - F.col(rs)).alias("n"))).agg(F.avg("n")).first()[0]
-        width = max(1, int(mean or 1))
     lname = [c for c in left.columns if c not in keys]
     rname = [c for c in right.columns if c not in keys]
 
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)
-        return df.filter(F.col(e) > F.col(s)).withColumn("_bin", F.explode(F.sequence(first, last)))
+    def levelled(df: DataFrame, s: str, e: str) -> DataFrame:
+        span = F.col(e).cast("long") - F.col(s).cast("long")
+        return df.filter(F.col(e) > F.col(s)).withColumn("_level", F.when(span == 1, 0).otherwise(F.length(F.bin(span - 1))).cast("int"))
+
+    def at(s: str | Column) -> Column:
+        return F.call_function("shiftright", (F.col(s) if isinstance(s, str) else s).cast("long"), F.col("_level"))
+
+    def celled(df: DataFrame, s: str, e: str) -> DataFrame:
+        return df.withColumn("_cell", F.explode(F.sequence(at(s), at(F.col(e) - 1))))
+
+    a, b = levelled(left, ls, le), levelled(right, rs, re_)
+    both = a.select(F.lit(0).alias("side"), "_level").unionByName(b.select(F.lit(1).alias("side"), "_level")).distinct().collect()  # 128 rows at most
+    levels = [sorted(r["_level"] for r in both if r["side"] == side) for side in (0, 1)]
+
+    def raised(df: DataFrame, to: list[int], s: str, e: str, equal: bool) -> DataFrame:
+        higher = F.filter(F.array(*map(F.lit, to)).cast("array<int>"), lambda x: x >= F.col("_level") if equal else x > F.col("_level"))
+        return celled(df.withColumn("_level", F.explode(higher)), s, e)
 
-    a, b = binned(left, ls, le), binned(right, rs, re_)
-    joined = a.join(b, [*keys, "_bin"], how)
-    once = F.floor(F.greatest(F.col(ls), F.col(rs)) / width) == F.col("_bin")
-    return joined.filter((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & once).select(*keys, *lname, *rname)
+    one = raised(a, levels[1], ls, le, True).join(celled(b, rs, re_), [*keys, "_level", "_cell"])
+    two = celled(a, ls, le).join(raised(b, levels[0], rs, re_, False), [*keys, "_level", "_cell"])
+    met = one.select(*keys, "_level", "_cell", *lname, *rname).unionByName(two.select(*keys, "_level", "_cell", *lname, *rname))
+    return met.filter((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & (at(F.greatest(F.col(ls), F.col(rs))) == F.col("_cell"))).select(*keys, *lname, *rname)
 
 
-def remap(reads: DataFrame, mapping: DataFrame, keys: Sequence[str], read_id: str, width: int | None = None) -> DataFrame:
+def remap(reads: DataFrame, mapping: DataFrame, keys: Sequence[str], read_id: str) -> DataFrame:
     """Pieces of each read (off, len) through mapping entries (src, len, dst), in order, and whether they cover it whole.
 
     A gap makes the whole read an error (``covered`` false), never a short read.
     """
     r = reads.select(*keys, read_id, F.col("off").alias("a"), (F.col("off") + F.col("len")).alias("b"))
     m = mapping.select(*keys, F.col("src").alias("c"), (F.col("src") + F.col("len")).alias("d"), "dst")
-    pieces = overlap_join(r, m, keys, ("a", "b"), ("c", "d"), width)
+    pieces = overlap_join(r, m, keys, ("a", "b"), ("c", "d"))
     cut = pieces.select(*keys, read_id, F.greatest("a", "c").alias("from_off"), F.least("b", "d").alias("to_off"), (F.col("dst") + F.greatest("a", "c") - F.col("c")).alias("dst_off"))
     sums = cut.groupBy(*keys, read_id).agg(F.sum(F.col("to_off") - F.col("from_off")).alias("got"), F.count("*").alias("pieces"))
     whole = r.join(sums, [*keys, read_id], "left").select(*keys, read_id, (F.coalesce("got", F.lit(0)) == F.col("b") - F.col("a")).alias("covered"), F.coalesce("pieces", F.lit(0)).alias("pieces"))

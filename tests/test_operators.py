@@ -81,9 +81,12 @@ def test_interval_algebra(spark):
             assert as_set(intervals.intersect(a, b, ["k"]), key) == cells(one, key) & cells(two, key)
         rows = sorted(tuple(r) for r in merged.collect())
         assert all(k1 != k2 or e1 < s2 for (k1, _, e1), (k2, s2, _) in zip(rows, rows[1:], strict=False))
-        for width in (None, 1, 7, 1000):
-            pairs = intervals.overlap_join(a.selectExpr("k", "start s", "end e"), b, ["k"], ("s", "e"), ("start", "end"), width).collect()
-            want = sorted((k, s, e, s2, e2) for k, s, e in one for k2, s2, e2 in two if k == k2 and max(s, s2) < min(e, e2))
+        wide = [("x", -50, 900), ("x", 3, 3), ("x", 64, 128), ("y", -7, -5), ("y", 1 << 60, (1 << 60) + 3)]
+        more, others = one + wide, [*two, ("x", -(1 << 40), 1 << 61), ("y", -6, 70), ("y", (1 << 60) + 2, (1 << 60) + 9)]
+        c, d = (spark.createDataFrame(x, "k string, start long, end long") for x in (more, others))
+        for left, right, x, y in ((a, b, one, two), (c, d, more, others)):
+            pairs = intervals.overlap_join(left.selectExpr("k", "start s", "end e"), right, ["k"], ("s", "e"), ("start", "end")).collect()
+            want = sorted((k, s, e, s2, e2) for k, s, e in x for k2, s2, e2 in y if k == k2 and max(s, s2) < min(e, e2))
             assert sorted((r.k, r.s, r.e, r.start, r.end) for r in pairs) == want
 
 
@@ -97,6 +100,42 @@ def test_replay(spark):
     assert as_set(got, "v") == state
 
 
+def test_replay_over_many_blocks(spark):
+    """Entries that span whole blocks, among short ones; keys of very different sizes; the state after every position is the last writer's."""
+    import numpy as np
+
+    rnd = random.Random(17)
+    log, size = [], 6000
+    for q in range(3000):
+        s = rnd.randrange(size)
+        n = rnd.choice([1, 3, 10, 10, 200, 4000]) if q % 50 == 0 else rnd.randrange(1, 12)
+        log.append((rnd.choice("aaaaaab"), q, rnd.choice(["alloc", "free"]), s, s + n))
+    log += [("c", 0, "alloc", 5, 9), ("c", 1, "free", 9, 9), ("d", 0, "free", 0, 4)]
+    df = spark.createDataFrame(log, "k string, seq long, kind string, start long, end long")
+    got = intervals.replay(df, ["k"], "seq", "kind")
+    for key in "abcd":
+        state = np.zeros(size + 5000, bool)
+        for k, _, kind, s, e in log:
+            if k == key:
+                state[s:e] = kind == "alloc"
+        assert as_set(got, key) == set(np.flatnonzero(state).tolist()), key
+
+
+def test_ranks_without_a_limit(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "score long, k long")
+    got = {r.k: r.id for r in classify.ranked_ids(df, [F.desc("score"), F.col("k")]).collect()}
+    want = {k: f"c{n:04d}" for n, (_, k) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    assert got == want
+    assert classify.ranked_ids(df.limit(0), [F.col("k")]).collect() == []
+
+
+def test_margin_winner(spark):
+    rows = [("a", 1, 9), ("a", 2, 4), ("a", 3, 4), ("b", 5, 8), ("b", 4, 8), ("c", 1, 7), ("d", 2, 20), ("d", 1, 11)]
+    got = {r.k: (r.t, r.n, r.runner_up, r.clear) for r in classify.margin_winner(spark.createDataFrame(rows, "k string, t long, n long"), ["k"], "n", "t").collect()}
+    assert got == {"a": (1, 9, 4, True), "b": (4, 8, 8, False), "c": (1, 7, 0, False), "d": (2, 20, 11, False)}
+
+
 def test_remap_gap_is_an_error(spark):
     reads = spark.createDataFrame([(0, 1, 5, 10), (0, 2, 25, 10), (1, 3, 0, 5)], "vdev long, id long, off long, len long")
     mapping = spark.createDataFrame([(0, 0, 10, 1000), (0, 10, 20, 5000)], "vdev long, src long, len long, dst long")
