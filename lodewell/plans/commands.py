@@ -322,7 +322,7 @@ def dump_resumable(spark: SparkSession, scanned: Scanned, pool: topology.Assembl
     The state names the volume, its version and shape, how many blocks are
     done, what was lost and the digest of the image so far. It is replaced
     atomically after each stretch. A state of another volume, or an image that
-    has changed, is refused.
+    has changed, is refused. A call reads each byte of the image once to hash it.
     """
     image.guard(output, pool.pool.paths)
     ub, ds, reader = _find(pool, select_root(candidates(scanned, pool), txg), name)
@@ -336,10 +336,12 @@ def dump_resumable(spark: SparkSession, scanned: Scanned, pool: topology.Assembl
             state = json.load(f)
         if state["identity"] != identity:
             raise ValueError("the state file is of another volume or version")
-        if _prefix_digest(output, min(size, state["blocks_done"] * step)) != state["prefix_sha256"]:
+        sha = _prefix_digest(output, 0, min(size, state["blocks_done"] * step))
+        if sha.hexdigest() != state["prefix_sha256"]:
             raise ValueError("the image has changed since the state was written")
     else:
         image.create(output, size)
+        sha = hashlib.sha256()
     total, done = -(-size // step), 0
     while state["blocks_done"] < total and (stop_after is None or done < stop_after):
         first, last = state["blocks_done"], min(total, state["blocks_done"] + stretch)
@@ -347,7 +349,7 @@ def dump_resumable(spark: SparkSession, scanned: Scanned, pool: topology.Assembl
         bad = image.write_blocks(part, output, ["blkid", "off", "state", "reason"]).filter("state = 'zeroed'").orderBy("blkid").collect()
         state["bad"] += [{"blkid": r["blkid"], "offset": r["off"], "reason": r["reason"]} for r in bad]
         state["blocks_done"], done = last, done + 1
-        state["prefix_sha256"] = _prefix_digest(output, min(size, last * step))
+        state["prefix_sha256"] = _prefix_digest(output, first * step, min(size, last * step), sha).hexdigest()
         with open(state_path + ".new", "w") as f:
             json.dump(state, f)
         os.replace(state_path + ".new", state_path)
@@ -356,13 +358,15 @@ def dump_resumable(spark: SparkSession, scanned: Scanned, pool: topology.Assembl
     return {"dataset": name, "output": output, "complete": finished, "sha256": state["prefix_sha256"] if finished else None, "status": status} | state
 
 
-def _prefix_digest(path: str, n: int) -> str:
-    sha = hashlib.sha256()
+def _prefix_digest(path: str, first: int, last: int, sha=None):
+    """``sha`` (a new one if none is given) carried on over the bytes from ``first`` to ``last``."""
+    sha = hashlib.sha256() if sha is None else sha
     with open(path, "rb") as f:
-        while n and (part := f.read(min(n, 1 << 20))):
+        f.seek(first)
+        while first < last and (part := f.read(min(last - first, 1 << 20))):
             sha.update(part)
-            n -= len(part)
-    return sha.hexdigest()
+            first += len(part)
+    return sha
 
 
 def image_names(datasets: list[tuple[str, int]]) -> list[str]:
@@ -384,7 +388,7 @@ def dump_all(spark: SparkSession, scanned: Scanned, pool: topology.Assembly, pre
     for r, name in zip(rows, image_names([(r["name"], r["guid"] % (1 << 64)) for r in rows]), strict=True):
         path, key = os.path.join(folder, name), (r["name"], r["guid"], r["txg"])
         old = earlier.get(key)
-        if old and os.path.exists(path) and _prefix_digest(path, old["volsize"]) == old["sha256"]:
+        if old and os.path.exists(path) and _prefix_digest(path, 0, old["volsize"]).hexdigest() == old["sha256"]:
             out.append(old | {"kept": True})
             continue
         if os.path.exists(path):
@@ -690,23 +694,41 @@ def _inside(folder: str, path: bytes) -> bytes:
 
 
 def list_objects(scanned: Scanned, pool: topology.Assembly, spark: SparkSession, name: str, txg: int | None = None) -> DataFrame:
-    """Every object of a dataset with the digest of its contents."""
+    """Every object of a dataset with the digest of its contents; one task finds the numbers, all of them read the contents."""
+    roots = select_root(candidates(scanned, pool), txg)
 
-    def one(roots):
+    def numbers(roots):
         _, ds, reader = _find(pool, roots, name)
-        for number, node in Objects(reader, ds.bp).numbers():
-            if isinstance(node, Damage):
-                yield (number, None, None, None, None, None, 1)
-                continue
-            obj, sha, errors = Object(reader, node), hashlib.sha256(), 0
-            for blkid in range(node.maxblkid + 1):
+        for number, _ in Objects(reader, ds.bp).numbers():
+            yield (number,)
+
+    found = write_table(_tasks(spark, [roots], numbers, "object long"), "objects")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        objects = None
+        for batch in batches:
+            if objects is None:
+                _, ds, reader = _find(pool, roots, name)
+                objects = Objects(reader, ds.bp)
+            rows = []
+            for number in batch.column("object").to_pylist():
                 try:
-                    sha.update(obj.read(blkid))
+                    node = objects.get(number)
                 except Damage:
-                    errors += 1
-            yield (number, object_type(node.type), node.type, node.blocksize, signed(node.maxblkid), sha.hexdigest() if not errors else None, errors)
+                    rows.append((number, None, None, None, None, None, 1))
+                    continue
+                obj, sha, errors = Object(reader, node), hashlib.sha256(), 0
+                for blkid in range(node.maxblkid + 1):
+                    try:
+                        sha.update(obj.read(blkid))
+                    except Damage:
+                        errors += 1
+                rows.append((number, object_type(node.type), node.type, node.blocksize, signed(node.maxblkid), sha.hexdigest() if not errors else None, errors))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["object", "kind", "type_code", "blocksize", "maxblkid", "sha256", "errors"])
 
-    return _tasks(spark, [select_root(candidates(scanned, pool), txg)], one, "object long, kind string, type_code int, blocksize long, maxblkid long, sha256 string, errors long").orderBy("object")
+    dealt = found.df.repartition(spark.sparkContext.defaultParallelism * 2, "object")
+    return dealt.mapInArrow(run, "object long, kind string, type_code int, blocksize long, maxblkid long, sha256 string, errors long").orderBy("object")
 
 
 # -- report
