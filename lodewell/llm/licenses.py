@@ -15,7 +15,7 @@ template, so a unit with fewer bigrams known to any template is no match.
 Defined results: null and empty texts match nothing; a unit of fewer than two
 words has no bigrams and matches nothing; equal coefficients go to the least
 template id; repeated rows are reported one by one; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns, clashing ones too, are ignored.
 """
 
 from __future__ import annotations

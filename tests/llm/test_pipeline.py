@@ -43,3 +43,28 @@ def test_run_equals_the_stages(spark):
         docs = write_table(stage(spark, docs, SF), f"test-{name}").df
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(corpus_pipeline.run(spark, SF).select(*keys).collect()) == sorted(docs.select(*keys).collect())
+
+
+def test_odd_tables(spark, odd, clashing, empty):
+    """Nulls, blanks, repeats, clashing columns and no rows at all go through every stage."""
+    for df in (odd, clashing, empty):
+        docs, before = df, df.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = write_table(stage(spark, docs, SF), f"test-odd-{name}").df
+            if name != "packing":
+                assert docs.columns == df.columns and docs.count() <= before
+                before = docs.count()
+        assert docs.select("doc_id").distinct().count() <= before and (docs.count() > 0) == (before > 0)
+
+
+def test_run_on_odd_documents(spark, odd, tmp_path):
+    """The whole run over a folder whose documents are the odd rows, twice, without one usable label."""
+    odd.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (4, None, 0), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "no id at all here"), ("x", None), ("y", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and {r.doc_id for r in rows} <= {None, *range(1, 10)}
+    lengths = {}
+    for r in rows:
+        lengths.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and sorted(x)[0][0] == 0 for x in lengths.values())
