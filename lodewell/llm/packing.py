@@ -88,7 +88,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and a row number that no two rows share once they are written."""
     path = vocabulary or vocabulary_path()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     out[name].append(value)
         return out
 
-    return map_batches(id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), fn, schema)
+    return map_batches(id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), fn, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -170,11 +170,11 @@ def pack(cut_pieces: Table, capacity: int = CAPACITY) -> DataFrame:
     rows = {r["length"]: r["n"] for r in df.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     table = slots(plan(rows, capacity))
     # A length with many pieces is dealt to salts, so that no task orders more than about GROUP_ROWS of them. The salt
-    # hangs on the row's values alone, so a task that runs again deals alike.
+    # hangs on the written row number alone, so equal rows part and a task that runs again deals alike.
     salts = df.sparkSession.createDataFrame([(k, -(-n // GROUP_ROWS)) for k, n in rows.items()] or [(0, 1)], "length long, salts long")
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    dealt = F.pmod(F.xxhash64("row"), F.col("salts"))
     salted = df.join(F.broadcast(salts), "length").withColumn("salt", dealt).drop("salts")
-    ordered = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    ordered = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(ordered) - F.lit(1))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

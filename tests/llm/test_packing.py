@@ -106,3 +106,13 @@ def test_added_tokens_are_cut_out():
     assert packing.token_ids(texts[0], packing.vocabulary_path()).tolist() == [64, 220, 50256, 275, 2]
     for text in texts:
         assert packing.token_ids(text, packing.vocabulary_path()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_equal_rows_part(spark, monkeypatch):
+    """Many rows without id and text are dealt to many groups, and still fill their sequences without a gap."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    df = spark.range(4000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    written = packing.write_table(packing.pieces(df), "test-pieces")
+    assert written.df.select("row").distinct().count() == 4000
+    got = packing.pack(written).collect()
+    assert sorted((r.sequence_id, r.offset) for r in got) == [(k // 1024, k % 1024) for k in range(4000)]
