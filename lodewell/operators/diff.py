@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import write_table
 from .prefix import prefix_max
 
 
@@ -40,7 +41,7 @@ def version_events(states: DataFrame, version: str, key: str, fact: str, version
     created, changed, destroyed. The first version is the base.
     """
     known = versions.select(F.col(version).alias("v"), "next", (F.col(version) == F.min(version).over(Window.partitionBy(F.lit(0)))).alias("base"))
-    rows = states.select(F.col(version).alias("v"), F.col(key).alias("k"), F.col(fact).alias("f")).join(F.broadcast(known), "v")
+    rows = states.select(F.col(version).alias("v"), F.col(key).alias("k"), F.col(fact).alias("f")).join(write_table(known, "versions").joinable(), "v")
     nothing = F.lit(None).cast(states.schema[fact].dataType)
     here = F.when(~F.col("base"), F.struct(F.col("v").alias("at"), F.lit(False).alias("had"), F.lit(True).alias("has"), nothing.alias("old"), F.col("f").alias("new")))
     later = F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), F.lit(True).alias("had"), F.lit(False).alias("has"), F.col("f").alias("old"), nothing.alias("new")))

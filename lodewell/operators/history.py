@@ -24,7 +24,7 @@ def presence(states: DataFrame, versions: DataFrame, unread: DataFrame, version:
     rows = states.withColumn("_prev", F.lag(F.struct(*states.columns)).over(w)).withColumn("_next", F.lead(version).over(w))
     later = versions.select(F.col(version).alias("_at"))
     gaps = rows.select(F.col(version).alias("_v"), F.col(key).alias("_k"), F.col(name).alias("_name"), "_next")
-    # Versions are few (a ring's slots); a state meets those between it and its key's next state.
+    # Versions are at most the slots of all members' rings, some hundreds of rows each; a state meets those between it and its key's next state.
     cand = gaps.join(F.broadcast(later), (F.col("_at") > F.col("_v")) & (F.col("_next").isNull() | (F.col("_at") < F.col("_next"))))
     hidden = F.broadcast(unread.select(F.col(version).alias("_at"), "prefix"))
     inside = (F.col("_name") == F.col("prefix")) | F.col("_name").startswith(F.concat("prefix", F.lit("/"))) | F.col("_name").startswith(F.concat("prefix", F.lit("@")))
