@@ -58,7 +58,7 @@ WORD_BYTES = 64
 #: Words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 #: Tokens that a task gathers before it counts pairs.
-FOLD = 1 << 22
+FOLD = 1 << 21
 PRIOR = 8.0
 FOLDS, HELD = 7, 2
 #: Word numbers and classes 0 and 1 are the end and the rare words; the end's word is empty, which no word is.
