@@ -33,12 +33,13 @@ def describe(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, K, M, G or T with one decimal below ten units."""
-    out = F.format_string("%dB", n)
-    for unit, size in (("K", 10), ("M", 20), ("G", 30), ("T", 40)):
-        x = n / F.lit(float(1 << size))
-        out = F.when(n >= (1 << size), F.when(x < 10, F.format_string(f"%.1f{unit}", x)).otherwise(F.format_string(f"%.0f{unit}", x))).otherwise(out)
+def human_size(n: Column, units: str = "KMGT") -> Column:
+    """Bytes as B or one of ``units`` with one decimal below ten units; what is beyond the last unit stays in it."""
+    out = F.when(n.isNotNull(), F.format_string("%dB", n))
+    for i, unit in enumerate(units, 1):
+        size = 1 << 10 * i
+        x = n / F.lit(float(size))
+        out = F.when(n >= size, F.when(x < 10, F.format_string(f"%.1f{unit}", x)).otherwise(F.format_string(f"%.0f{unit}", x))).otherwise(out)
     return out
 
 

@@ -1,6 +1,7 @@
 """Every catalogue query against its SQL on the smallest tables, as sorted rows."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -47,3 +48,20 @@ def test_entry(spark):
     assert df.count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def differences(spark, folder, name, **tables):
+    """(rows only the query has, rows only its SQL has) over the given DuckDB tables."""
+    con = duckdb.connect()
+    for table, sql in tables.items():
+        con.sql(f"copy ({sql}) to '{folder}/{table}.parquet'")
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    got = Counter(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    want = Counter(map(lambda r: tuple(map(plain, r)), con.execute(f"select {', '.join(sorted(df.columns))} from ({catalog.ORACLE[name]})").fetchall()))
+    return got - want, want - got
+
+
+def test_human_size_of_large_and_null_keys(spark, tmp_path):
+    keys = "select unnest([0, 18, 19, 59, 591, 1869, 5912, 18918, 18919, 90000, 900000, 20000000, null]::bigint[]) as c_custkey"
+    assert differences(spark, tmp_path, "q_human_size", customer=keys) == (Counter(), Counter())
