@@ -184,10 +184,13 @@ def overlap_flag(ranges: DataFrame, taken: DataFrame, keys: Sequence[str], range
 
     ``known`` lists the keys whose maps exist, with the number of unreadable
     ones; a key that is not listed, or has unreadable maps and no hit, is null.
+    A hit depends on the key and the range alone, so rows that repeat an id, or
+    have none, are flagged each by its own.
     """
     t = taken.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    hits = overlap_join(ranges.select(*keys, range_id, start, end), t, keys, (start, end), ("_s", "_e")).select(range_id).distinct().withColumn("_hit", F.lit(True))
-    out = ranges.join(hits, range_id, "left")
+    asked = ranges.select(*keys, start, end).distinct()
+    hits = overlap_join(asked, t, keys, (start, end), ("_s", "_e")).select(*keys, start, end).distinct().withColumn("_hit", F.lit(True))
+    out = ranges.join(hits, [*keys, start, end], "left")
     hit = F.coalesce("_hit", F.lit(False))
     if known is None:
         return out.withColumn("allocated", hit).drop("_hit")

@@ -65,3 +65,20 @@ def differences(spark, folder, name, **tables):
 def test_human_size_of_large_and_null_keys(spark, tmp_path):
     keys = "select unnest([0, 18, 19, 59, 591, 1869, 5912, 18918, 18919, 90000, 900000, 20000000, null]::bigint[]) as c_custkey"
     assert differences(spark, tmp_path, "q_human_size", customer=keys) == (Counter(), Counter())
+
+
+def test_overlap_flag_rounds_seconds_as_its_sql(spark, tmp_path):
+    rows = [  # a click's minute ends, or a session's two hours do, within a second of the other's start
+        (1, "2024-01-01 00:00:00.4", 1, "click"), (2, "2024-01-01 00:01:00.2", 1, "purchase"),
+        (3, "2024-01-01 00:00:00.5", 2, "click"), (4, "2024-01-01 00:00:59.6", 2, "purchase"),
+        (5, "2024-01-01 00:00:00.7", 4, "click"), (6, "2024-01-01 00:01:00.2", 4, "purchase"),
+        (7, "2024-01-01 02:00:01.5", 5, "click"), (8, "2024-01-01 00:00:00.5", 5, "purchase"),
+        (9, "2024-01-01 02:00:00.9", 7, "click"), (10, "2024-01-01 00:00:01.1", 7, "purchase"),
+        (11, "1969-12-31 23:59:58.5", 8, "click"), (12, "1970-01-01 00:00:58.5", 8, "purchase"),
+        (13, "2024-01-01 00:00:00.7", 3, "click"), (14, "2024-01-01 00:00:00.7", 3, "purchase"),
+        (15, "2024-01-01 00:00:00.7", 10, "click"), (16, "2024-01-01 09:00:00.7", 10, "error"),
+        (1, "2024-01-05 00:00:00.4", 1, "click"), (5, "2024-01-05 00:00:00.7", 1, "click"),
+        ("null", "2024-01-01 00:00:30", 1, "click"), (17, "2024-01-01 00:00:30", "null", "click"),
+    ]
+    events = "select * from (values " + ", ".join(f"({i}::bigint, timestamp '{ts}', {user}::bigint, '{kind}')" for i, ts, user, kind in rows) + ") v(event_id, ts, user_id, event_type)"
+    assert differences(spark, tmp_path, "q_overlap_flag", events=events) == (Counter(), Counter())
