@@ -18,11 +18,18 @@ ring prunes them before the full check:
    values instead, of which a pair at 0.8 shares one with a probability of
    0.9994. What is over ``BUCKET`` even there is a family of near copies: each
    node meets the bucket's pivot, another one in each bucket, so the work is
-   linear in the family.
+   linear in the family. That is a start only, see 6.
 5. The remaining pairs are verified on the whole sets, but those that verified
    ones have connected already need no check: first each node meets its nearest
    candidate, then, round by round, more and more of the nearest pairs between
    each two components do, until no unchecked pair joins two components.
+6. Larger buckets are then settled exactly: their nodes are dealt to blocks, and
+   in each pair of blocks all sets that the links so far have not connected are
+   compared whole, but for those of sizes too different and those that share an
+   earlier table's bucket, where they met already. A component with a block or
+   more of a bucket has blocks of its own, which do not meet each other. So
+   two nodes that share any bucket, however large, are linked if they are
+   similar enough.
 
 Groups are the components over the verified links.
 
@@ -37,7 +44,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Table, write_table
@@ -54,6 +61,8 @@ MINIMA, PAIRS, DEEP, DEPTH = 32, 8, 14, 4
 BUCKET = 32
 #: Pairs between two components that the first round after the nearest checks, and how many times as many each further one does.
 FIRST, MORE = 4, 16
+#: Nodes and shingles that a block of a larger bucket has on average at most, and shingles that are counted at a time.
+BLOCK, WEIGHT, COUNTED = 512, 1 << 18, 4096
 _BLOCK = 4096
 
 
@@ -62,7 +71,8 @@ def _odd(seed: int, n: int) -> np.ndarray:
 
 
 _STEP, _FACTORS, _OFFSETS, _MIXES = _odd(1, 1)[0], _odd(2, MINIMA), _odd(3, MINIMA), _odd(4, VIEWS)
-#: Which least values make the key of each deep bucket.
+#: Which least values make the key of each bucket, and of each deep one.
+PAIR_KEYS = [[2 * t, 2 * t + 1] for t in range(PAIRS)]
 DEEP_KEYS = [sorted(np.random.default_rng(100 + t).choice(MINIMA, DEPTH, replace=False).tolist()) for t in range(DEEP)]
 
 
@@ -133,8 +143,17 @@ def prune(sizes: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.nda
     return a[keep], b[keep], bits[keep]
 
 
-def _bucketed(keyed: DataFrame, similarity: float, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs (u, v, bits) of the buckets of 2 to BUCKET nodes, rows in larger ones) of (key, node, size, fp)."""
+def _keyed(nodes: DataFrame, keys: list[list[int]], *columns: str) -> DataFrame:
+    """(node, size, columns, table, key): each node in the bucket of each table that its least values give."""
+    return nodes.select("node", "size", *columns, F.posexplode(_keys(keys)).alias("table", "key"))
+
+
+def _keys(keys: list[list[int]]) -> Column:
+    return F.array(*(F.xxhash64(F.lit(t), *(F.col("least")[i] for i in key)) for t, key in enumerate(keys)))
+
+
+def _bucketed(keyed: DataFrame, similarity: float, name: str) -> tuple[DataFrame, Table]:
+    """(pairs (u, v, bits) of the buckets of 2 to BUCKET nodes, written keys of larger ones) of (key, node, size, fp)."""
     sizes = write_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-buckets")
     small = write_table(sizes.df.filter(F.col("n") <= BUCKET).select("key"), f"{name}-small")
     large = write_table(sizes.df.filter(F.col("n") > BUCKET).select("key"), f"{name}-large")
@@ -150,7 +169,7 @@ def _bucketed(keyed: DataFrame, similarity: float, name: str) -> tuple[DataFrame
             out["bits"] += bits.tolist()
         return out
 
-    return map_batches(lists, fn, "u long, v long, bits int"), keyed.join(large.joinable(), "key")
+    return map_batches(lists, fn, "u long, v long, bits int"), large
 
 
 def _stars(hot: DataFrame, similarity: float) -> DataFrame:
@@ -163,19 +182,16 @@ def _stars(hot: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), "bits")
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> Table:
-    """Written pairs (u, v, bits) of (node, size, fp, least) that may be similar."""
-
-    def keyed(rows: DataFrame, keys: list[list[int]]) -> DataFrame:
-        every = F.array(*(F.xxhash64(F.lit(t), *(F.col("least")[i] for i in key)) for t, key in enumerate(keys)))
-        return rows.select("node", "size", "fp", F.explode(every).alias("key"))
-
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[Table, Table]:
+    """(Written pairs (u, v, bits) of (node, size, fp, least) that may be similar, written keys of the buckets that are not paired wholly)."""
     shared = nodes.filter("size > 0")
-    pairs, hot = _bucketed(keyed(shared, [[2 * t, 2 * t + 1] for t in range(PAIRS)]), similarity, "near")
-    left = write_table(hot.select("node").distinct(), "near-hot")
-    deep, hotter = _bucketed(keyed(shared.join(left.joinable(), "node"), DEEP_KEYS), similarity, "near-deep")
-    every = pairs.unionByName(deep).unionByName(_stars(hotter, similarity))
-    return write_table(every.groupBy("u", "v").agg(F.min("bits").alias("bits")), "near-pairs")
+    keyed = _keyed(shared, PAIR_KEYS, "fp")
+    pairs, large = _bucketed(keyed, similarity, "near")
+    left = write_table(keyed.join(large.joinable(), "key").select("node").distinct(), "near-hot")
+    again = _keyed(shared.join(left.joinable(), "node"), DEEP_KEYS, "fp")
+    deep, larger = _bucketed(again, similarity, "near-deep")
+    every = pairs.unionByName(deep).unionByName(_stars(again.join(larger.joinable(), "key"), similarity))
+    return write_table(every.groupBy("u", "v").agg(F.min("bits").alias("bits")), "near-pairs"), large
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -194,9 +210,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("u", "v", "left", "right"), fn, "u long, v long")
 
 
-def _sets(own: DataFrame, nodes: DataFrame, pairs: Table, shingle: int) -> Table:
-    """Written (node, own) for the nodes of the pairs, computed again from their texts."""
-    wanted = pairs.df.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _sets(own: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> Table:
+    """Written (node, own) for the wanted nodes, computed again from their texts."""
     chosen = write_table(nodes.select("node", "set_id", "rep").join(wanted, "node"), "near-chosen")
     texts = own.join(chosen.joinable(), own["doc_id"] == F.col("rep")).select("node", "set_id", "text")
 
@@ -236,14 +251,118 @@ def _links(pairs: Table, sets: Table, similarity: float) -> DataFrame:
         rest, found, most = open_.df.filter(F.col("place") > most).drop("place"), found.unionByName(links.df), most * MORE
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
+    """The edges (u, v) that join two trees of the ones before them."""
+    root: dict = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for a, b in np.unique(np.stack([u, v], axis=1), axis=0).tolist():
+        p, q = find(a), find(b)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            kept[0].append(a)
+            kept[1].append(b)
+    return kept
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the one side shares with each of the other."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), COUNTED):
+        part = shared[at : at + COUNTED]
+        has = []
+        for values, rows, side in zip(flat, owner, (left, right), strict=True):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            found = part[place] == values
+            one = np.zeros((len(side), len(part)), np.float32)  # sums up to COUNTED are exact
+            one[rows[found], place[found]] = 1
+            has.append(one)
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out
+
+
+def compared(table: int, root: np.ndarray, keys: np.ndarray, own: list[np.ndarray], first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Edges (u, v) of a spanning forest over the roots of the similar sets ``own`` of two blocks of a table's bucket, or of one block, given twice.
+
+    Sets of one root are connected already; sets that share an earlier table's bucket have met there.
+    """
+    sizes = np.array([len(x) for x in own])
+    wide, long = np.ix_(first, second)
+    open_ = (root[wide] != root[long]) & (np.minimum(sizes[wide], sizes[long]) >= similarity * np.maximum(sizes[wide], sizes[long]))
+    for t in range(table):
+        open_ &= keys[:, t][wide] != keys[:, t][long]
+    if first is second:
+        open_ = np.triu(open_, 1)
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return [], []
+    first, second, open_ = first[rows], second[columns], open_[np.ix_(rows, columns)]
+    common = _common([own[i] for i in first], [own[i] for i in second])
+    i, j = np.nonzero(open_ & (common >= similarity * (sizes[first][:, None] + sizes[second] - common) - 1e-9))
+    ends = root[first[i]], root[second[j]]
+    return _forest(np.minimum(*ends), np.maximum(*ends))
+
+
+def _large_links(nodes: DataFrame, large: Table, roots: DataFrame, own: DataFrame, similarity: float, shingle: int) -> DataFrame | None:
+    """Links (u, v) between roots, or none, that all similar pairs within the ``large`` buckets of PAIR_KEYS give beyond ``roots`` (node, root)."""
+    if large.df.isEmpty():
+        return None
+    keyed = _keyed(nodes.filter("size > 0").withColumn("keys", _keys(PAIR_KEYS)), PAIR_KEYS, "keys")
+    held = keyed.join(large.joinable(), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = write_table(held, "near-large-rows").df
+    counts = write_table(rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("weight")), "near-large-counts").df
+    several = counts.groupBy("key").agg(F.count("*").alias("roots")).filter("roots > 1").select("key")
+    # Nodes are not negative, so -1 marks the roots that share blocks.
+    dealt = write_table(counts.join(several, "key", "left_semi").withColumn("part", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.lit(-1).cast("long"))), "near-large-dealt")
+    if dealt.df.isEmpty():
+        return None
+    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.sum("weight") / F.lit(WEIGHT))).cast("long")
+    parts = write_table(dealt.df.groupBy("key", "part").agg(blocks.alias("blocks")), "near-large-parts")
+    every = parts.df.select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    one, two = (every.select("key", F.col("part").alias(f"part_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    met = one.join(two, "key").filter("part_a < part_b or (part_a = -1 and part_b = -1 and block_a <= block_b)")
+    pair = ["key", "part_a", "block_a", "part_b", "block_b"]
+    met = write_table(met, "near-large-met").df
+    sides = met.select(*pair, F.col("part_a").alias("part"), F.col("block_a").alias("block"), F.lit(0).alias("side"))
+    sides = sides.unionByName(met.filter("part_a != part_b or block_a != block_b").select(*pair, F.col("part_b").alias("part"), F.col("block_b").alias("block"), F.lit(1).alias("side")))
+    placed = rows.join(dealt.df.select("key", "root", "part"), ["key", "root"]).join(parts.df, ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = write_table(placed.select("key", "part", "block", "table", "node", "root", "keys"), "near-large-placed").df
+    sets = _sets(own, nodes, placed.select("node").distinct(), shingle).df
+    spread = placed.join(sets, "node").join(sides, ["key", "part", "block"]).select(*pair, "side", "table", "root", "keys", "own")
+
+    def fn(group: pa.Table) -> pa.Table:
+        sides_ = group.column("side").to_numpy()
+        keys = np.array(group.column("keys").to_pylist(), np.int64)
+        first = np.flatnonzero(sides_ == 0)
+        second = np.flatnonzero(sides_ == 1) if group.column("block_a")[0] != group.column("block_b")[0] or group.column("part_a")[0] != group.column("part_b")[0] else first
+        sets_ = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        u, v = compared(group.column("table")[0].as_py(), group.column("root").to_numpy(), keys, sets_, first, second, similarity)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return write_table(spread.groupBy(*pair).applyInArrow(fn, "u long, v long"), "near-large-links").df
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> Table:
     """A written table (doc_id, group_id): the smallest doc_id that verified links reach, itself included."""
     own = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id is not null")
     signed = write_table(_signatures(own, shingle), "near-signed")
     merged = signed.df.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("least").alias("least"))
     nodes = write_table(merged.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    pairs = candidates(nodes.df, similarity)
-    roots = connected_components(_links(pairs, _sets(own, nodes.df, pairs, shingle), similarity)).df
+    pairs, large = candidates(nodes.df, similarity)
+    wanted = pairs.df.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = _links(pairs, _sets(own, nodes.df, wanted, shingle), similarity)
+    roots = connected_components(links).df
+    more = _large_links(nodes.df, large, roots, own, similarity, shingle)
+    if more is not None and not more.isEmpty():
+        roots = connected_components(links.unionByName(more)).df
     # Rows with one id are one document, so sets that share an id are one group too.
     return _least(signed.df.select("doc_id", "set_id"), nodes.df.select("node", "set_id"), roots)
 

@@ -111,3 +111,51 @@ def test_pruning_loses_no_near_pair():
     apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1)
     near = apart <= neardup.DISTANCE
     assert np.array_equal(a, i[near]) and np.array_equal(b, j[near]) and np.array_equal(bits, apart[near]) and 0 < near.sum() < len(near)
+
+
+def passage_rows(seed, pairs):
+    """Texts of about 0.77 to all others by a long common passage, each with one partner of about 0.85."""
+    rnd, rows = random.Random(seed), []
+    passage = prose(rnd, 250)
+    for k in range(pairs):
+        own = prose(rnd, 38)
+        rows += [(2 * k, passage + " " + own), (2 * k + 1, passage + " " + edited(rnd, own, 3))]
+    return rows
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_partners_in_buckets_that_nothing_parts(spark, monkeypatch, block):
+    """Nodes whose least values all lie in a passage that hundreds share meet their partner in large buckets only."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    found = check(spark.createDataFrame(passage_rows(15, 150), "doc_id long, text string"))
+    assert sum(found[2 * k + 1] == 2 * k for k in range(150)) > 100
+
+
+def test_large_components_have_blocks_of_their_own(spark, monkeypatch):
+    """A family that is one component already, beside strangers and their partners."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rnd, rows = random.Random(16), passage_rows(16, 60)
+    rows += [(1000 + i, edited(rnd, rows[0][1], 1)) for i in range(150)]
+    assert len(set(check(spark.createDataFrame(rows, "doc_id long, text string")).values())) > 50
+
+
+def test_blocks_against_all_pairs():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, 40, np.uint64)
+    own = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(20, 41), replace=False), rnd.integers(0, 1 << 63, 2, np.uint64)])) for _ in range(60)]
+    root, keys = rnd.integers(0, 45, 60), rnd.integers(0, 4, (60, neardup.PAIRS))
+    for table in (0, 1, 3):
+        for first, second in ((np.arange(60),) * 2, (np.arange(25), np.arange(25, 60))):
+            both = [(i, j) for i in first for j in second if i < j and (keys[i, :table] != keys[j, :table]).all()]
+            want = {(root[i], root[j]) for i, j in both if root[i] != root[j] and len(np.intersect1d(own[i], own[j])) >= 0.8 * len(np.union1d(own[i], own[j]))}
+            u, v = neardup.compared(table, root, keys, own, first, second, 0.8)
+            assert u and {tuple(sorted(p)) for p in zip(u, v)} <= {tuple(sorted(p)) for p in want}
+
+            def joined(edges):
+                top = {x: x for x in range(45)}
+                for a, b in edges:
+                    old, new = sorted((top[a], top[b]), reverse=True)
+                    top = {x: new if t == old else t for x, t in top.items()}
+                return top
+
+            assert joined(zip(u, v)) == joined(want) and len(u) < 45
